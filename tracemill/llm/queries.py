@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import audio, byte_bpe, common, cross_polytope, langid, packing, prefix_tokens, sharding, surrogates
+from tracemill.llm import audio, byte_bpe, common, cross_polytope, langid, ngram_join, packing, prefix_tokens, sharding, surrogates
 
 #: Key of the surrogates; a deployment passes its own.
 SURROGATE_KEY = "tracemill-demo-key"
@@ -28,6 +28,25 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.store_texts(common.read_table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(common.read_table(spark, sf_dir, "documents"), ngram_join.Rule(words=4, num=85, den=100))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), links AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS same FROM grams x JOIN grams y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN sizes sa ON sa.doc_id = p.a JOIN sizes sb ON sb.doc_id = p.b WHERE 100 * p.same >= 85 * (sa.n + sb.n - p.same)
+), reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT w.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m.low, w.doc_id))::BIGINT AS component_id
+FROM words w LEFT JOIN sizes s USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a) m USING (doc_id)
+"""
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.count_documents(common.read_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
@@ -59,8 +78,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_media_columns, op4_token_counts, op5_byte_bpe, op7_sharding, op8_nearest_neighbours, op9_pii, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_media_columns, op3_ngram_jaccard, op4_token_counts, op5_byte_bpe, op7_sharding, op8_nearest_neighbours, op9_pii, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_ngram_jaccard": OP3_SQL}
