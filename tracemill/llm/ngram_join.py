@@ -4,6 +4,10 @@ The product of the document by n-gram incidence with its transpose counts the n-
 Shuffled by n-gram, its blocks add up partial counts; bounds from the sizes of the two sets discard pairs:
 
 * sizes too far apart can't reach the threshold;
+* n-grams of a prefix that no other prefix holds, and that stand before a shared one, are not shared: too many of
+  them leave too few to share;
+* a set's parity sketch has a bit for each hash value, flipped by every n-gram; the bits in which two sketches differ
+  are at most the n-grams in which the sets differ;
 * with n-grams in one global order, the rare ones first, two similar sets share at least so many n-grams in their
   first few (the prefix) as `needed` says. So only prefixes enter the product, and pairs below that count go.
 
@@ -33,6 +37,9 @@ COMMON_MOST = 1 << 17
 #: Candidate ids are broadcast up to this number; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 LEADER_ROUNDS = 2
+#: Columns of the parity sketch, 64 bits each.
+SKETCH = ["s0", "s1", "s2", "s3"]
+COLUMNS = ["doc", "n", "own", "apart", *SKETCH]
 
 
 @dataclass(frozen=True)
@@ -56,6 +63,14 @@ class Rule:
         both = _up((a + b) * self.num, self.den + self.num)
         return F.greatest(F.lit(1), F.least(both - self.least(a) + self.extra(a), both - self.least(b) + self.extra(b)))
 
+    def may_link(self, x: str, y: str) -> Column:
+        """Whether the bounds let the documents of a row with columns x.n, y.n, ... be linked. own: n-grams known to be in one of the two sets only."""
+        of = lambda side, c: F.col(f"{c}_{side}")
+        a, b = of(x, "n"), of(y, "n")
+        least = _up((a + b) * self.num, self.den + self.num)
+        apart = sum((F.bit_count(of(x, c).bitwiseXOR(of(y, c))) for c in SKETCH), F.lit(0))
+        return self.sizes_fit(a, b) & (F.least(a - of(x, "own"), b - of(y, "own")) >= least) & (apart <= a + b - 2 * least)
+
     def sizes_fit(self, a: Column, b: Column) -> Column:
         return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
 
@@ -125,19 +140,21 @@ def _common(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signatures(docs: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n, two hashes of the whole set, and the prefix."""
+    """doc_id, n, two hashes of the whole set, the prefix and the sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def make():
         values, ranks = shared.value
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            n, h1, h2, prefixes = [], [], [], []
+            n, h1, h2, prefixes, sketches = [], [], [], [], []
             for t in common.texts_of(b):
                 s = shingles(t, rule.words)
                 n.append(len(s))
                 h1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                 h2.append(int(((s ^ s >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64).view(np.int64)))
+                odd = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+                sketch = np.packbits(odd.astype(np.uint8)).view(np.int64)
                 length = len(s) - rule.least(len(s)) + rule.extra(len(s)) if len(s) else 0
                 if len(values) and len(s):
                     at = np.minimum(np.searchsorted(values, s), len(values) - 1)
@@ -145,13 +162,15 @@ def _signatures(docs: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndar
                     if rank.any():
                         s = s[np.argsort(rank, kind="stable")]
                 prefixes.append(s[:length].view(np.int64))
+                sketches.append(sketch)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes)))
-            return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists], ["doc_id", "n", "h1", "h2", "prefix"])
+            sketches = [pa.array(np.ascontiguousarray(c)) for c in np.array(sketches).reshape(-1, len(SKETCH)).T]
+            return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists, *sketches], ["doc_id", "n", "h1", "h2", "prefix", *SKETCH])
 
         return run
 
-    return common.map_batches(docs, make, "doc_id long, n long, h1 long, h2 long, prefix array<long>")
+    return common.map_batches(docs, make, "doc_id long, n long, h1 long, h2 long, prefix array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, rule: Rule, scratch: common.Scratch) -> DataFrame:
@@ -224,28 +243,30 @@ def join(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "t
     sets = small.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     members = scratch.write(small.join(sets, ["h1", "h2", "n"]).select("doc_id", "n", "rep", "h1").distinct(), "members")
     reps = members.where("doc_id = rep").select("doc_id", "n", "h1")
-    prefixes = signatures.join(reps, ["doc_id", "n", "h1"], "left_semi").select(F.col("doc_id").alias("doc"), "n", F.explode("prefix").alias("shingle"))
-    by_shingle = Window.partitionBy("shingle")
-    lists = prefixes.withColumns({"low": F.min("doc").over(by_shingle), "high": F.max("doc").over(by_shingle)}).where("low < high").select("shingle", "doc", "n")
-    lists = scratch.write(lists, "lists")
+    prefixes = signatures.join(reps, ["doc_id", "n", "h1"], "left_semi").select(F.col("doc_id").alias("doc"), "n", *SKETCH, F.size("prefix").alias("length"), F.posexplode("prefix").alias("pos", "shingle"))
+    by_shingle, by_doc = Window.partitionBy("shingle"), Window.partitionBy("doc")
+    lists = prefixes.withColumns({"low": F.min("doc").over(by_shingle), "high": F.max("doc").over(by_shingle)}).where("low < high")
+    # own: n-grams before this one that are in no list; apart: all of the prefix that are in none
+    lists = lists.withColumns({"own": F.col("pos") - F.row_number().over(by_doc.orderBy("pos")) + 1, "apart": F.col("length") - F.count("*").over(by_doc)})
+    lists = scratch.write(lists.select("shingle", *COLUMNS), "lists")
     links = members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     comps = None
     for turn in range(LEADER_ROUNDS):
         open_ = _open(lists, comps)
-        order = F.struct("doc", "n") if turn == 0 else F.struct(F.xxhash64("doc", F.lit(turn)).alias("h"), "doc", "n")
-        leaders = open_.groupBy("shingle").agg(F.min(order).alias("lead")).select("shingle", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("lead_n"))
-        led = open_.join(leaders, "shingle").where(F.col("doc") != F.col("lead")).where(rule.sizes_fit(F.col("n"), F.col("lead_n")))
-        counted = led.groupBy("lead", "lead_n", "doc", "n").agg(F.count("*").alias("same"))
+        # a text that others were copied from has the fewest n-grams of its own
+        order = F.struct(F.col("apart").alias("first"), F.col("doc").alias("second"), *COLUMNS) if turn == 0 else F.struct(F.col("apart").alias("first"), F.xxhash64("doc", F.lit(turn)).alias("second"), *COLUMNS)
+        leaders = open_.groupBy("shingle").agg(F.min(order).alias("lead")).select("shingle", *[F.col(f"lead.{c}").alias(f"{c}_lead") for c in COLUMNS])
+        led = _side(open_, "doc").join(leaders, "shingle").where("doc_doc <> doc_lead").where(rule.may_link("doc", "lead"))
+        counted = led.groupBy("doc_lead", "n_lead", "doc_doc", "n_doc").agg(F.count("*").alias("same"))
         # half the count that all lists together must reach: these lists only show the n-grams that the leader leads
-        likely = counted.where(F.col("same") * 2 >= rule.needed(F.col("n"), F.col("lead_n"))).select(F.least("lead", "doc").alias("a"), F.greatest("lead", "doc").alias("b"))
+        likely = counted.where(F.col("same") * 2 >= rule.needed(F.col("n_doc"), F.col("n_lead"))).select(F.least("doc_lead", "doc_doc").alias("a"), F.greatest("doc_lead", "doc_doc").alias("b"))
         found = _verify(likely.distinct(), known, rule, scratch)
         links = links.union(found)
         comps = components(links, scratch)
     open_ = scratch.write(_open(lists, comps), "open")
-    x, y = open_.select("shingle", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")), open_.select("shingle", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
-    product = x.join(y, "shingle").where("a < b and ca <> cb").where(rule.sizes_fit(F.col("na"), F.col("nb")))
-    counted = product.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("same"))
-    found = _verify(counted.where(F.col("same") >= rule.needed(F.col("na"), F.col("nb"))).select("a", "b"), known, rule, scratch)
+    product = _side(open_, "a").join(_side(open_, "b"), "shingle").where("doc_a < doc_b and comp_a <> comp_b").where(rule.may_link("a", "b"))
+    counted = product.groupBy("doc_a", "doc_b", "n_a", "n_b").agg(F.count("*").alias("same"))
+    found = _verify(counted.where(F.col("same") >= rule.needed(F.col("n_a"), F.col("n_b"))).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")), known, rule, scratch)
     comps = components(links.union(found), scratch)
     rows = signatures.select(F.col("doc_id").alias("doc"), F.col("n").alias("n_shingles"))
     return _with_component(rows, comps).select(F.col("doc").alias("doc_id"), "n_shingles", F.col("comp").alias("component_id"))
@@ -257,7 +278,11 @@ def _open(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
         return lists
     by_shingle = Window.partitionBy("shingle")
     rows = _with_component(lists, comps).withColumns({"low": F.min("comp").over(by_shingle), "high": F.max("comp").over(by_shingle)})
-    return rows.where("low < high").select("shingle", "doc", "n", "comp")
+    return rows.where("low < high").select("shingle", *COLUMNS, "comp")
+
+
+def _side(lists: DataFrame, name: str) -> DataFrame:
+    return lists.select("shingle", *[F.col(c).alias(f"{c}_{name}") for c in lists.columns if c not in ("shingle", "apart")])
 
 
 def keep_one(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import audio, byte_bpe, common, cross_polytope, langid, ngram_join, packing, prefix_tokens, sharding, surrogates
+from tracemill.llm import attention_lm, audio, byte_bpe, common, cross_polytope, langid, ngram_join, packing, prefix_tokens, sharding, surrogates
 
 #: Key of the surrogates; a deployment passes its own.
 SURROGATE_KEY = "tracemill-demo-key"
@@ -34,7 +34,8 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), lambda x: x <> '') AS w FROM documents
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), lambda x: x <> '') AS w FROM documents
 ), grams AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM words
 ), sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
@@ -56,6 +57,13 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.read_table(spark, sf_dir, "documents")
+    trained = F.coalesce(common.crc_mod(docs["doc_id"], 7) != 2, F.lit(False))
+    out = attention_lm.score_documents(docs, trained, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", _held_out(7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard(common.read_table(spark, sf_dir, "documents"), shards=40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -78,7 +86,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_media_columns, op3_ngram_jaccard, op4_token_counts, op5_byte_bpe, op7_sharding, op8_nearest_neighbours, op9_pii, op10_packing)}
+    return {f.__name__: f for f in (op1_language_id, op2_media_columns, op3_ngram_jaccard, op4_token_counts, op5_byte_bpe, op6_lm_scoring, op7_sharding, op8_nearest_neighbours, op9_pii, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
