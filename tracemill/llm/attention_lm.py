@@ -26,7 +26,7 @@ HALF = 16
 #: The end token among words: no word holds white space.
 END = b"\n"
 #: Words a worker keeps with their subwords; beyond that it starts anew, so memory is bounded.
-KNOWN = 250_000
+KNOWN = 150_000
 #: The most frequent words, sent to all tasks; counts of the others are joined. A bound on that broadcast, not on the result.
 HOT = 1 << 17
 
@@ -66,37 +66,44 @@ class Subwords:
         self.encoding = _encoding(ranks_path, pattern)
         self.size = self.encoding.max_token_value + 2
         self.end = self.size - 1
+        self.spaced = np.array([t[:1] == b" " for _, t in sorted((self.encoding.encode_single_token(t), t) for t in self.encoding.token_byte_values())])
         self.reset()
 
     def reset(self) -> None:
         self.codes: dict[bytes, int] = {END: 0}
         self.words = [END]
-        self.flat, self.starts, self.lengths = [self.end], [0], [1]
-        self._arrays()
-
-    def _arrays(self) -> None:
-        self.flat_a, self.starts_a, self.lengths_a = (np.array(x, np.int64) for x in (self.flat, self.starts, self.lengths))
+        self.flat, self.starts, self.lengths = np.array([self.end]), np.array([0]), np.array([1])
+
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row and how many each has. Joined by spaces they are encoded at once: each word then begins with the one token that begins with a space."""
+        ids = np.array(self.encoding.encode_ordinary(" " + " ".join(words)), np.int64)
+        first = np.flatnonzero(self.spaced[ids])
+        if len(first) == len(words):
+            return ids, np.diff(first, append=len(ids))
+        if len(words) == 1:  # with other white space inside
+            return ids, np.array([len(ids)])
+        half = len(words) // 2
+        parts = [self._encode(words[:half]), self._encode(words[half:])]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def codes_of(self, words: list[bytes]) -> np.ndarray:
         if len(self.codes) > KNOWN:
             self.reset()
-        new = set(words) - self.codes.keys()
-        for w in new:
-            ids = self.encoding.encode_ordinary(" " + w.decode("utf-8", "replace"))
-            self.codes[w] = len(self.starts)
-            self.words.append(w)
-            self.starts.append(len(self.flat))
-            self.lengths.append(len(ids))
-            self.flat += ids
+        new = list(set(words) - self.codes.keys())
         if new:
-            self._arrays()
+            ids, n = self._encode([w.decode("utf-8", "replace") for w in new])
+            self.codes.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
+            self.words += new
+            self.starts = np.concatenate([self.starts, len(self.flat) + n.cumsum() - n])
+            self.lengths = np.concatenate([self.lengths, n])
+            self.flat = np.concatenate([self.flat, ids])
         return np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
 
     def ids_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and how many each has."""
-        n = self.lengths_a[codes]
+        n = self.lengths[codes]
         ends = n.cumsum()
-        return self.flat_a[np.repeat(self.starts_a[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
+        return self.flat[np.repeat(self.starts[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
 
 
 def windows(ids: np.ndarray, lengths: np.ndarray, bos: int, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,7 +253,7 @@ class Scorer:
         self.within = np.log((lm.pairs + prior * alone) / (of_class + prior)[:, lm.label]).astype(np.float32)
         self.before = lm.after(np.arange(len(lm.label) + 2))
 
-    def score(self, ids: np.ndarray, lengths: np.ndarray, step: int = 2048) -> np.ndarray:
+    def score(self, ids: np.ndarray, lengths: np.ndarray, step: int = 1024) -> np.ndarray:
         """Of each text the sum over its ids."""
         inputs, targets, text = windows(ids, lengths, self.bos, self.pad)
         out = np.zeros(len(lengths))
@@ -294,7 +301,7 @@ def _word_counts(train: DataFrame) -> DataFrame:
             for t in common.texts_of(b):
                 for w in words_of(t):
                     held[w] = held.get(w, 0) + 1
-                if len(held) > 400_000:
+                if len(held) > 200_000:
                     yield flush()
         yield flush()
 
