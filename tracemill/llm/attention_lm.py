@@ -38,7 +38,7 @@ class Settings:
     embedded: int = 8192  # ids with an embedding of their own; the others share `buckets`
     buckets: int = 256
     windows: int = 100_000  # at most so many training windows
-    epochs: int = 3
+    steps: int = 1200  # of gradient descent, whatever the number of windows
     batch: int = 256
     rate: float = 0.006
     prior: float = 20.0  # pairs that the counts alone stand for
@@ -186,7 +186,8 @@ class AttentionLM:
             "s": w(d, d, scale=d**-0.5), "b": np.zeros(d, np.float32), "o": w(d, s.classes, scale=0.1), "c": np.log(np.maximum(mass / mass.sum(), 1e-9)).astype(np.float32),
         }
         m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-        steps = [part for _ in range(s.epochs) for part in np.array_split(rng.permutation(len(inputs)), max(1, len(inputs) // s.batch))] if len(inputs) else []
+        parts = max(1, len(inputs) // s.batch)
+        steps = [part for _ in range(-(-s.steps // parts)) for part in np.array_split(rng.permutation(len(inputs)), parts)][: s.steps] if len(inputs) else []
         for t, part in enumerate(steps, 1):
             rate = s.rate * (1 - t / (len(steps) + 1)) + 1e-4
             for k, g in self._gradients(self.row[inputs[part]], targets[part]).items():
