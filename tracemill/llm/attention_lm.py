@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm import common
 
-HALF = 16
+HALF = 12
 #: The end token among words: no word holds white space.
 END = b"\n"
 #: Words a worker keeps with their subwords; beyond that it starts anew, so memory is bounded.
@@ -254,7 +254,7 @@ class Scorer:
         self.within = np.log((lm.pairs + prior * alone) / (of_class + prior)[:, lm.label]).astype(np.float32)
         self.before = lm.after(np.arange(len(lm.label) + 2))
 
-    def score(self, ids: np.ndarray, lengths: np.ndarray, step: int = 1024) -> np.ndarray:
+    def score(self, ids: np.ndarray, lengths: np.ndarray, step: int = 256) -> np.ndarray:
         """Of each text the sum over its ids."""
         inputs, targets, text = windows(ids, lengths, self.bos, self.pad)
         out = np.zeros(len(lengths))
