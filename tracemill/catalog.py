@@ -1,4 +1,9 @@
-"""Named queries over the driver's tables, with the SQL that says the same."""
+"""Named queries over the driver's tables, each with the SQL that says the same.
+
+The tables stand in for a recording: events are its trace (event_id the order, user_id the scope, event_type the
+command, value what is written), nations and regions its scope tree, a graph derived from nations its link graph,
+orders and line items its requirements, documents and pages its sources.
+"""
 
 from __future__ import annotations
 
@@ -8,17 +13,422 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tracemill.functions import text as X
+from tracemill.operators import compare, graph, temporal
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return df.withColumn("us", F.unix_micros(F.col("ts").cast("timestamp"))) if name == "events" else df
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The link graph: two edges of each nation."""
+    n = table(spark, sf_dir, "nation")
+    k, r = F.col("n_nationkey"), F.col("n_regionkey")
+    one = n.select(k.alias("src"), ((k * 3 + 1) % 25).alias("dst"), F.when(r == 0, "PRIVATE").when(r <= 2, "PUBLIC").otherwise("INTERFACE").alias("visibility"))
+    return one.unionByName(n.select(k.alias("src"), ((k * 5 + 2) % 25).alias("dst"), F.when(r <= 1, "PUBLIC").otherwise("PRIVATE").alias("visibility")))
+
+
+GRAPH = """edges AS (
+  SELECT n_nationkey AS src, (n_nationkey * 3 + 1) % 25 AS dst, CASE WHEN n_regionkey = 0 THEN 'PRIVATE' WHEN n_regionkey <= 2 THEN 'PUBLIC' ELSE 'INTERFACE' END AS visibility FROM nation
+  UNION ALL SELECT n_nationkey, (n_nationkey * 5 + 2) % 25, CASE WHEN n_regionkey <= 1 THEN 'PUBLIC' ELSE 'PRIVATE' END FROM nation)"""
+
+
+@query("""SELECT event_id, event_type, greatest(coalesce(lead(epoch_us(ts)) OVER (ORDER BY event_id) - epoch_us(ts), 0), 0)::BIGINT AS self_us FROM events""")
+def event_self_time(spark, sf):
+    return temporal.self_time(table(spark, sf, "events"), F.col("us"), "event_id").select("event_id", "event_type", "self_us")
+
+
+@query("""SELECT event_id, event_type, greatest(coalesce(lead(epoch_us(ts)) OVER (ORDER BY event_id) - epoch_us(ts), 0), 0)::BIGINT AS self_us FROM events ORDER BY self_us DESC, event_id LIMIT 20""")
+def slowest_events(spark, sf):
+    return event_self_time(spark, sf).orderBy(F.desc("self_us"), "event_id").limit(20)
+
+
+@query("""WITH t AS (SELECT event_type, greatest(coalesce(lead(epoch_us(ts)) OVER (ORDER BY event_id) - epoch_us(ts), 0), 0)::BIGINT AS self_us FROM events)
+SELECT event_type, count(*) AS calls, sum(self_us)::BIGINT AS total_us, (sum(self_us) // count(*))::BIGINT AS mean_us FROM t GROUP BY event_type""")
+def command_hotspots(spark, sf):
+    g = event_self_time(spark, sf).groupBy("event_type").agg(F.count("*").alias("calls"), F.sum("self_us").alias("total_us"))
+    return g.withColumn("mean_us", F.expr("total_us div greatest(calls, 1)"))
+
+
+@query("""SELECT n_name, count(*) AS calls, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS total_cents, (sum(round(o_totalprice * 100)::BIGINT) // count(*))::BIGINT AS mean_cents
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name""")
+def scope_hotspots(spark, sf):
+    o, c, n = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
+    j = o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+    g = j.groupBy("n_name").agg(F.count("*").alias("calls"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("total_cents"))
+    return g.withColumn("mean_cents", F.expr("total_cents div greatest(calls, 1)"))
+
+
+@query("""SELECT count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id, (max(epoch_us(ts)) - min(epoch_us(ts)))::BIGINT AS span_us FROM events""")
+def configure_span(spark, sf):
+    return table(spark, sf, "events").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"), (F.max("us") - F.min("us")).alias("span_us"))
+
+
+def _orders_by_priority(spark, sf, year):
+    o = table(spark, sf, "orders").where(F.year("o_orderdate") == year)
+    return o.groupBy("o_custkey").agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"))
+
+
+@query("""WITH a AS (SELECT o_custkey, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents FROM orders WHERE year(o_orderdate) = 1995 GROUP BY 1),
+b AS (SELECT o_custkey, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS cents FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1)
+SELECT coalesce(a.o_custkey, b.o_custkey) AS o_custkey, coalesce(a.cents, 0)::BIGINT AS before, coalesce(b.cents, 0)::BIGINT AS after,
+CASE WHEN a.cents IS NULL THEN 'added' WHEN b.cents IS NULL THEN 'removed' WHEN a.cents = b.cents THEN 'same' ELSE 'changed' END AS status,
+(coalesce(b.cents, 0) - coalesce(a.cents, 0))::BIGINT AS delta FROM a FULL JOIN b ON a.o_custkey = b.o_custkey ORDER BY abs(delta) DESC, o_custkey LIMIT 50""")
+def profile_compare(spark, sf):
+    d = compare.deltas(_orders_by_priority(spark, sf, 1995), _orders_by_priority(spark, sf, 1996), ["o_custkey"], "cents")
+    return d.orderBy(F.desc(F.abs("delta")), "o_custkey").limit(50)
+
+
+@query("""WITH leaf AS (SELECT n_regionkey, n_name, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2)
+SELECT r_name || ';' || n_name AS stack, n::BIGINT AS samples FROM leaf JOIN region ON r_regionkey = n_regionkey
+UNION ALL SELECT r_name, (1000000 - sum(n))::BIGINT FROM leaf JOIN region ON r_regionkey = n_regionkey GROUP BY r_name""")
+def flamegraph_exclusive(spark, sf):
+    n, c, r = (table(spark, sf, t) for t in ("nation", "customer", "region"))
+    leaf = n.join(c, n.n_nationkey == c.c_nationkey, "left").groupBy("n_regionkey", "n_name").agg(F.count("c_custkey").alias("n"))
+    named = leaf.join(r, leaf.n_regionkey == r.r_regionkey)
+    own = named.groupBy("r_name").agg((F.lit(1000000) - F.sum("n")).cast("long").alias("samples")).withColumnRenamed("r_name", "stack")
+    return named.select(F.concat_ws(";", "r_name", "n_name").alias("stack"), F.col("n").alias("samples")).unionByName(own)
+
+
+@query("""SELECT p_partkey, p_name FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 45)""")
+def dead_options(spark, sf):
+    p, l = table(spark, sf, "part"), table(spark, sf, "lineitem").where("l_quantity > 45")
+    return p.join(l, p.p_partkey == l.l_partkey, "left_anti").select("p_partkey", "p_name")
+
+
+@query("""SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000) AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_type = 'purchase')""")
+def dead_functions(spark, sf):
+    c, o, e = (table(spark, sf, t) for t in ("customer", "orders", "events"))
+    return c.join(o.where("o_totalprice > 300000"), c.c_custkey == o.o_custkey, "left_anti").join(e.where("event_type = 'purchase'"), c.c_custkey == F.col("user_id"), "left_anti").select("c_custkey")
+
+
+@query("""SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def dead_modules(spark, sf):
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_anti").select("doc_id", "source")
+
+
+@query("""SELECT user_id, min(event_id) AS first_event FROM events w WHERE event_type = 'click' AND NOT EXISTS (SELECT 1 FROM events r WHERE r.user_id = w.user_id AND r.event_type = 'purchase' AND r.value > 90) GROUP BY user_id""")
+def dead_variables(spark, sf):
+    e = table(spark, sf, "events")
+    return e.where("event_type = 'click'").join(e.where("event_type = 'purchase' and value > 90").select("user_id"), "user_id", "left_anti").groupBy("user_id").agg(F.min("event_id").alias("first_event"))
+
+
+CENTS = "round(value * 100)::BIGINT"
+
+
+@query(f"""WITH w AS (SELECT user_id, event_id, {CENTS} AS v, lead(event_id) OVER k AS next_event_id, lead({CENTS}) OVER k AS next_v FROM events WHERE event_type = 'click' WINDOW k AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_id, next_event_id, v, next_v FROM w WHERE v <> next_v AND NOT EXISTS (SELECT 1 FROM events r WHERE r.user_id = w.user_id AND r.event_type = 'view' AND r.event_id > w.event_id AND r.event_id < w.next_event_id)""")
+def clobbers(spark, sf):
+    e = table(spark, sf, "events")
+    w = temporal.next_write(e.where("event_type = 'click'").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("v")), ["user_id"], "event_id", ["v"]).where("v <> next_v")
+    # a read between the two: the dominating write of some read is the first of them
+    reads = temporal.dominating_write(e.where("event_type = 'view'").select("user_id", "event_id"), e.where("event_type = 'click'").select("user_id", "event_id", F.lit(1).alias("one")), ["user_id"], "event_id", "one")
+    seen = reads.where("write_id is not null").select("user_id", F.col("write_id").alias("event_id")).distinct()
+    return w.join(seen, ["user_id", "event_id"], "left_anti").select("user_id", "event_id", "next_event_id", "v", "next_v")
+
+
+@query(f"""SELECT r.user_id, r.event_id, w.event_id AS write_id, w.v AS value FROM (SELECT * FROM events WHERE event_type = 'view') r
+ASOF LEFT JOIN (SELECT user_id, event_id, {CENTS} AS v FROM events WHERE event_type IN ('click', 'purchase') AND value IS NOT NULL) w ON r.user_id = w.user_id AND r.event_id > w.event_id""")
+def dominating_write(spark, sf):
+    e = table(spark, sf, "events")
+    writes = e.where("event_type in ('click', 'purchase') and value is not null").select("user_id", "event_id", F.round(F.col("value") * 100).cast("long").alias("v"))
+    return temporal.dominating_write(e.where("event_type = 'view'").select("user_id", "event_id"), writes, ["user_id"], "event_id", "v")
+
+
+@query(f"""WITH w AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN NULL ELSE {CENTS} END AS v FROM events WHERE event_type IN ('error', 'click') AND value IS NOT NULL)
+SELECT r.user_id, r.event_id, CASE WHEN w.v IS NOT NULL THEN w.event_id END AS write_id, w.v AS value FROM (SELECT * FROM events WHERE event_type = 'view') r ASOF LEFT JOIN w ON r.user_id = w.user_id AND r.event_id > w.event_id""")
+def env_read_resolution(spark, sf):
+    e = table(spark, sf, "events")
+    v = F.when(F.col("event_type") != "error", F.round(F.col("value") * 100).cast("long"))
+    writes = e.where("event_type in ('error', 'click') and value is not null").select("user_id", "event_id", v.alias("v"))
+    return temporal.dominating_write(e.where("event_type = 'view'").select("user_id", "event_id"), writes, ["user_id"], "event_id", "v")
+
+
+@query(f"""SELECT user_id, event_id, coalesce(
+ (SELECT {CENTS} FROM events h WHERE h.user_id = e.user_id AND h.event_id < e.event_id AND h.event_type = 'purchase' AND h.value IS NOT NULL ORDER BY event_id DESC LIMIT 1),
+ (SELECT {CENTS} FROM events s WHERE s.user_id = e.user_id AND s.event_id < e.event_id AND s.event_type <> 'purchase' AND s.value IS NOT NULL ORDER BY event_id LIMIT 1)) AS state FROM events e WHERE value IS NOT NULL""")
+def cache_soft_hard(spark, sf):
+    e = table(spark, sf, "events").where("value is not null")
+    out = temporal.soft_hard(e, ["user_id"], "event_id", F.col("event_type") == "purchase", F.round(F.col("value") * 100).cast("long"))
+    return out.select("user_id", "event_id", "state")
+
+
+@query("""WITH d AS (SELECT conv_id, turn, turn % 2 AS depth, coalesce(lag(turn % 2) OVER (PARTITION BY conv_id ORDER BY turn) + 1 = turn % 2, false) AS opens FROM conversations)
+SELECT conv_id, turn, opens, max(CASE WHEN opens THEN turn END) OVER (PARTITION BY conv_id, depth ORDER BY turn) AS scope FROM d""")
+def scope_assignment(spark, sf):
+    c = table(spark, sf, "conversations").withColumn("depth", F.col("turn") % 2)
+    return temporal.scopes_by_depth(c, ["conv_id"], "depth", "turn").select("conv_id", "turn", "opens", "scope")
+
+
+@query("""SELECT l_orderkey, l_returnflag, count(*) AS n, count(DISTINCT l_linestatus) AS kinds FROM lineitem GROUP BY 1, 2 HAVING count(*) > 2""")
+def duplicate_links(spark, sf):
+    g = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.count("*").alias("n"), F.countDistinct("l_linestatus").alias("kinds"))
+    return g.where("n > 2")
+
+
+@query("""SELECT l_orderkey, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) > 1""")
+def multi_source_sites(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_suppkey").alias("suppliers")).where("suppliers > 1")
+
+
+@query("""SELECT l_orderkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1 HAVING count(*) = 1""")
+def single_use(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.min("l_partkey").alias("l_partkey")).where("n = 1").drop("n")
+
+
+@query("""SELECT user_id, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type <> 'view') AS others FROM events GROUP BY user_id""")
+def alias_reads(spark, sf):
+    view = F.col("event_type") == "view"
+    return table(spark, sf, "events").groupBy("user_id").agg(F.count_if(view).alias("views"), F.count_if(~view).alias("others"))
+
+
+@query("""WITH t AS (SELECT DISTINCT p_brand || '-' || p_size AS a FROM part WHERE p_size > 9)
+SELECT name, suggestion, d::INT AS distance FROM (SELECT x.a AS name, y.a AS suggestion, levenshtein(x.a, y.a) AS d, row_number() OVER (PARTITION BY x.a ORDER BY levenshtein(x.a, y.a), y.a) AS r
+FROM t x JOIN t y ON x.a <> y.a AND abs(length(x.a) - length(y.a)) <= 2 WHERE levenshtein(x.a, y.a) <= 2) WHERE r = 1""")
+def undefined_suggestion(spark, sf):
+    t = table(spark, sf, "part").where("p_size > 9").select(F.concat_ws("-", "p_brand", F.col("p_size").cast("string")).alias("name")).distinct()
+    return X.suggestions(t, t)
+
+
+@query("""SELECT user_id, event_type, count(*) AS evaluations FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3 AND min(floor(coalesce(value, 0) / 1000)) = max(floor(coalesce(value, 0) / 1000))""")
+def constant_conditions(spark, sf):
+    v = F.floor(F.coalesce("value", F.lit(0.0)) / 1000)
+    g = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("evaluations"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    return g.where("evaluations >= 3 and lo = hi").select("user_id", "event_type", "evaluations")
+
+
+@query("""WITH f AS (SELECT user_id, min(event_id) AS declared FROM events WHERE event_type = 'signup' GROUP BY 1)
+SELECT f.user_id, declared, count(*) AS earlier FROM f JOIN events e ON e.user_id = f.user_id AND e.event_id < declared AND e.event_type = 'view' GROUP BY 1, 2""")
+def option_after_use(spark, sf):
+    e = table(spark, sf, "events")
+    first = e.where("event_type = 'signup'").groupBy("user_id").agg(F.min("event_id").alias("declared"))
+    return e.where("event_type = 'view'").join(first, "user_id").where("event_id < declared").groupBy("user_id", "declared").agg(F.count("*").alias("earlier"))
+
+
+@query("""SELECT DISTINCT user_id, CASE WHEN EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'purchase') THEN 'warning' ELSE 'note' END AS severity FROM events e WHERE event_type = 'error'""")
+def scope_leaks_severity(spark, sf):
+    e = table(spark, sf, "events")
+    clash = e.where("event_type = 'purchase'").select("user_id").distinct().withColumn("clash", F.lit(True))
+    return e.where("event_type = 'error'").select("user_id").distinct().join(clash, "user_id", "left").select("user_id", F.when(F.col("clash"), "warning").otherwise("note").alias("severity"))
+
+
+@query("""SELECT user_id, count(*) AS runs FROM events GROUP BY 1 HAVING NOT bool_or(event_type = 'error' AND value > 90) AND NOT bool_or(event_type = 'purchase' AND value > 90)""")
+def exec_unchecked(spark, sf):
+    e = F.col("event_type")
+    g = table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("runs"), F.bool_or((e == "error") & (F.col("value") > 90)).alias("a"), F.bool_or((e == "purchase") & (F.col("value") > 90)).alias("b"))
+    return g.where("not a and not b").select("user_id", "runs")
+
+
+@query("""SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY 1""")
+def cache_force_sites(spark, sf):
+    return table(spark, sf, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
+
+
+@query("""SELECT doc_id, CASE WHEN regexp_matches(text, '[0-9a-f]{40}') THEN 'pinned' WHEN regexp_matches(text, '[0-9]') THEN 'mutable' ELSE 'none' END AS pinning FROM documents""")
+def pinning_class(spark, sf):
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", F.when(t.rlike("[0-9a-f]{40}"), "pinned").when(t.rlike("[0-9]"), "mutable").otherwise("none").alias("pinning"))
+
+
+@query("""SELECT n_name, rule FROM nation LEFT JOIN (VALUES (0, 'keep'), (1, 'warn'), (2, 'old')) p(k, rule) ON n_regionkey = k""")
+def policy_lookup(spark, sf):
+    rules = spark.createDataFrame([(0, "keep"), (1, "warn"), (2, "old")], "n_regionkey int, rule string")
+    return table(spark, sf, "nation").join(F.broadcast(rules), "n_regionkey", "left").select("n_name", "rule")
+
+
+@query("""SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING bool_and(l_discount = 0)""")
+def noop_calls(spark, sf):
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.bool_and(F.col("l_discount") == 0).alias("noop")).where("noop").select("l_orderkey")
+
+
+@query("""SELECT user_id, count(*) AS n, min(event_id) AS first_site, string_agg(event_id::VARCHAR, ',' ORDER BY event_id) AS sites FROM events WHERE event_type NOT IN ('view', 'click') AND user_id % 7 <> 0 GROUP BY 1""")
+def env_dependence(spark, sf):
+    e = table(spark, sf, "events").where("event_type not in ('view', 'click') and user_id % 7 <> 0")
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), ",")
+    return e.groupBy("user_id").agg(F.count("*").alias("n"), F.min("event_id").alias("first_site"), ids.alias("sites"))
+
+
+@query(f"WITH RECURSIVE {GRAPH}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src) SELECT src, dst FROM reach")
+def forward_closure(spark, sf):
+    return graph.closure(links(spark, sf))
+
+
+@query(f"WITH RECURSIVE {GRAPH}, c AS (SELECT dst AS target, src AS consumer, visibility FROM edges UNION SELECT c.target, e.src, e.visibility FROM c JOIN edges e ON e.dst = c.consumer WHERE c.visibility <> 'PRIVATE') SELECT DISTINCT target, consumer FROM c")
+def reverse_reexport(spark, sf):
+    return graph.consumers(links(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, p AS (SELECT src, dst, [src, dst] AS path FROM edges WHERE src < 5 AND dst <> src
+UNION ALL SELECT p.src, e.dst, list_append(path, e.dst) FROM p JOIN edges e ON e.src = p.dst WHERE e.visibility <> 'PRIVATE' AND p.dst <> 14 AND NOT list_contains(path, e.dst) AND len(path) < 7)
+SELECT array_to_string(path, '>') AS path, len(path)::INT - 1 AS hops FROM p WHERE dst = 14""")
+def simple_paths(spark, sf):
+    start = spark.range(5).select(F.col("id").cast("int").alias("src"))
+    paths = graph.simple_paths(links(spark, sf), start, lambda c: F.col(c) == 14, 6)
+    return paths.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), (F.size("path") - 1).alias("hops"))
+
+
+@query(f"WITH RECURSIVE {GRAPH}, reach AS (SELECT src, dst FROM edges UNION SELECT r.src, e.dst FROM reach r JOIN edges e ON r.dst = e.src) SELECT a.src AS node, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1")
+def cyclic_links(spark, sf):
+    return graph.cyclic(links(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, open AS (SELECT DISTINCT src, dst FROM edges WHERE visibility <> 'PRIVATE'), c AS (SELECT src, dst, 1 AS hops FROM open UNION SELECT c.src, o.dst, c.hops + 1 FROM c JOIN open o ON c.dst = o.src WHERE c.hops < 8),
+s AS (SELECT src, dst, min(hops) AS hops FROM c GROUP BY 1, 2), d AS (SELECT DISTINCT src, dst FROM edges)
+SELECT src, dst, via, hops FROM (SELECT a.src, a.dst, b.dst AS via, s.hops, row_number() OVER (PARTITION BY a.src, a.dst ORDER BY s.hops, b.dst) AS r FROM d a JOIN d b ON a.src = b.src AND b.dst <> a.dst AND b.dst <> a.src AND a.src <> a.dst JOIN s ON s.src = b.dst AND s.dst = a.dst) WHERE r = 1""")
+def redundant_links(spark, sf):
+    return graph.redundant(links(spark, sf))
+
+
+@query("""SELECT s_suppkey, s_name || ' <- ' || n_name || ' <- ' || r_name AS chain FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def call_chain(spark, sf):
+    s, n, r = (table(spark, sf, t) for t in ("supplier", "nation", "region"))
+    return s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("s_suppkey", F.concat_ws(" <- ", "s_name", "n_name", "r_name").alias("chain"))
+
+
+@query("""WITH f AS (SELECT o_custkey, min(o_orderkey) AS cmd FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) SELECT f.o_custkey, cmd, count(*) AS affected FROM f JOIN orders o ON o.o_custkey = f.o_custkey AND o.o_orderkey > cmd GROUP BY 1, 2""")
+def dir_command_targets(spark, sf):
+    o = table(spark, sf, "orders")
+    first = o.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.min("o_orderkey").alias("cmd"))
+    return o.join(first, "o_custkey").where("o_orderkey > cmd").groupBy("o_custkey", "cmd").agg(F.count("*").alias("affected"))
+
+
+@query("""WITH r AS (SELECT l_partkey, l_suppkey, 'direct' AS route FROM lineitem WHERE l_returnflag = 'A' UNION ALL SELECT l_partkey, l_suppkey, 'directory' FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_partkey, l_suppkey, 'transitive' FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'O')
+SELECT l_partkey, l_suppkey, count(DISTINCT route) AS routes FROM r GROUP BY 1, 2 HAVING count(DISTINCT route) >= 2""")
+def shadowed_routes(spark, sf):
+    l, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
+    part = lambda df, name: df.select("l_partkey", "l_suppkey", F.lit(name).alias("route"))
+    r = part(l.where("l_returnflag = 'A'"), "direct").unionByName(part(l.where("l_returnflag = 'R'"), "directory")).unionByName(part(l.join(o.where("o_orderstatus = 'O'"), l.l_orderkey == o.o_orderkey), "transitive"))
+    return r.groupBy("l_partkey", "l_suppkey").agg(F.countDistinct("route").alias("routes")).where("routes >= 2")
+
+
+def _year(spark, sf, year):
+    return table(spark, sf, "orders").where(F.year("o_orderdate") == year).select("o_custkey").distinct()
+
+
+@query("""WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1995), b AS (SELECT DISTINCT o_custkey FROM orders WHERE year(o_orderdate) = 1996)
+SELECT o_custkey, 'only_left' AS side FROM (FROM a EXCEPT FROM b) UNION ALL SELECT o_custkey, 'only_right' FROM (FROM b EXCEPT FROM a)""")
+def diff_targets(spark, sf):
+    return compare.difference(_year(spark, sf, 1995), _year(spark, sf, 1996), ["o_custkey"])
+
+
+@query("""WITH l AS (SELECT l_partkey, l_suppkey, year(l_shipdate) AS y FROM lineitem), a AS (SELECT DISTINCT l_partkey, l_suppkey FROM l WHERE y = 1995), b AS (SELECT DISTINCT l_partkey, l_suppkey FROM l WHERE y = 1996),
+r AS (SELECT l_partkey, string_agg(l_suppkey::VARCHAR, ',' ORDER BY l_suppkey) AS t FROM (FROM a EXCEPT FROM b) GROUP BY 1), d AS (SELECT l_partkey, string_agg(l_suppkey::VARCHAR, ',' ORDER BY l_suppkey) AS t FROM (FROM b EXCEPT FROM a) GROUP BY 1)
+SELECT coalesce(r.l_partkey, d.l_partkey) AS l_partkey, coalesce(r.t, '') AS removed, coalesce(d.t, '') AS added FROM r FULL JOIN d ON r.l_partkey = d.l_partkey""")
+def diff_requirements(spark, sf):
+    l = table(spark, sf, "lineitem")
+    side = lambda y: l.where(F.year("l_shipdate") == y).select("l_partkey", "l_suppkey")
+    return compare.set_difference(side(1995), side(1996), ["l_partkey"], "l_suppkey")
+
+
+@query("""SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1995 INTERSECT SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1996 INTERSECT SELECT o_custkey FROM orders WHERE year(o_orderdate) = 1997""")
+def intersect_recordings(spark, sf):
+    return compare.in_all([_year(spark, sf, y) for y in (1995, 1996, 1997)], ["o_custkey"])
+
+
+@query("""SELECT o_orderkey, o_custkey FROM orders o WHERE o_orderpriority = '1-URGENT' AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = o.o_custkey AND year(b.o_orderdate) = 1995)""")
+def baseline_ratchet(spark, sf):
+    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
+    return compare.not_in_baseline(o, _year(spark, sf, 1995), ["o_custkey"]).select("o_orderkey", "o_custkey")
+
+
+@query("""SELECT o_orderkey, coalesce(s, 'note') AS severity, CASE coalesce(s, 'note') WHEN 'error' THEN 2 WHEN 'warning' THEN 1 ELSE 0 END AS rank FROM orders LEFT JOIN (VALUES ('1-URGENT', 'error'), ('2-HIGH', 'warning')) v(p, s) ON p = o_orderpriority""")
+def severity_override(spark, sf):
+    v = spark.createDataFrame([("1-URGENT", "error"), ("2-HIGH", "warning")], "o_orderpriority string, s string")
+    s = F.coalesce("s", F.lit("note"))
+    return table(spark, sf, "orders").join(F.broadcast(v), "o_orderpriority", "left").select("o_orderkey", s.alias("severity"), F.when(s == "error", 2).when(s == "warning", 1).otherwise(0).alias("rank"))
+
+
+@query("""WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages) SELECT page_id, path FROM p WHERE path = (SELECT split_part(min(path), '/', 1) FROM p) OR starts_with(path, (SELECT split_part(min(path), '/', 1) FROM p) || '/')""")
+def path_filter(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("path"))
+    host = p.agg(F.split_part(F.min("path"), F.lit("/"), F.lit(1)).alias("host"))
+    return p.crossJoin(F.broadcast(host)).where(X.under("path", "host")).select("page_id", "path")  # one row on the right
+
+
+@query("""SELECT doc_id FROM documents WHERE regexp_matches(text, '(^|[^A-Za-z0-9_:.+-])License($|[^A-Za-z0-9_:.+-])')""")
+def mention_token(spark, sf):
+    return table(spark, sf, "documents").where(X.mentions_token(F.col("text"), "License")).select("doc_id")
+
+
+@query("""WITH g AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS k, count(*) OVER (PARTITION BY user_id) AS total FROM g)
+SELECT user_id, event_type, n, k::INT AS rank, total FROM r WHERE k <= 3""")
+def explain_arg_sets(spark, sf):
+    g = table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    by = W.partitionBy("user_id")
+    return g.withColumns({"rank": F.row_number().over(by.orderBy(F.desc("n"), "event_type")), "total": F.count("*").over(by)}).where("rank <= 3")
+
+
+@query("""WITH a AS (SELECT DISTINCT lower(c_mktsegment) AS k FROM customer), b AS (SELECT upper(o_orderpriority) AS p, o_orderkey FROM orders) SELECT c_mktsegment, count(*) AS n, min(o_orderkey) AS first_order FROM customer JOIN orders ON c_custkey = o_custkey WHERE lower(c_mktsegment) IN (SELECT k FROM a) GROUP BY 1""")
+def deps_inventory(spark, sf):
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    names = c.select(F.lower("c_mktsegment").alias("k")).distinct()
+    named = c.join(names, F.lower(c.c_mktsegment) == names.k, "left_semi")
+    return named.join(o, named.c_custkey == o.o_custkey).groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_order"))
+
+
+@query("""SELECT event_id, json_extract_string(props, '$.k') AS k FROM events""")
+def args_json_fields(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
+
+
+@query("""SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) WHERE word <> '' GROUP BY 1""")
+def list_flatten(spark, sf):
+    return table(spark, sf, "documents").select(F.explode(F.split("text", " ")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT o_orderkey, l_linenumber FROM (SELECT o_orderkey, l_linenumber, row_number() OVER (PARTITION BY o_orderkey ORDER BY (l_returnflag = 'A') DESC, l_linenumber) AS r FROM orders JOIN lineitem ON l_orderkey = o_orderkey) WHERE r = 1""")
+def event_node_join(spark, sf):
+    o, l = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    j = o.join(l, o.o_orderkey == l.l_orderkey)
+    return temporal.first_per_key(j, ["o_orderkey"], [F.desc(F.col("l_returnflag") == "A"), "l_linenumber"]).select("o_orderkey", "l_linenumber")
+
+
+@query("""WITH s AS (SELECT user_id, min(event_id) AS lo, max(event_id) AS hi FROM events WHERE event_type = 'click' GROUP BY 1) SELECT e.event_id, s.lo, s.hi FROM events e JOIN s ON e.user_id = s.user_id AND e.event_id BETWEEN s.lo AND s.hi""")
+def interval_containment(spark, sf):
+    e = table(spark, sf, "events")
+    s = e.where("event_type = 'click'").groupBy("user_id").agg(F.min("event_id").alias("lo"), F.max("event_id").alias("hi"))
+    return e.join(s, "user_id").where("event_id between lo and hi").select("event_id", "lo", "hi")
+
+
+@query("""WITH RECURSIVE a AS (SELECT n_nationkey AS name, CASE WHEN n_nationkey > 5 THEN n_nationkey // 2 END AS alias_of FROM nation), r AS (SELECT name, name AS cur FROM a UNION SELECT r.name, a.alias_of FROM r JOIN a ON a.name = r.cur WHERE a.alias_of IS NOT NULL)
+SELECT name, min(cur) AS resolved FROM r GROUP BY 1""")
+def alias_resolution(spark, sf):
+    k = F.col("n_nationkey")
+    return graph.resolve_aliases(table(spark, sf, "nation").select(k.alias("name"), F.when(k > 5, F.floor(k / 2).cast("int")).alias("alias_of")))
+
+
+USER_SQL = "SELECT 'events' AS file, event_id AS line, 'error of user ' || user_id AS message, 'warning' AS severity FROM events WHERE event_type = 'error' AND value > 50"
+
+
+@query(USER_SQL)
+def user_sql_pass(spark, sf):
+    return spark.sql(USER_SQL.replace("FROM events", "FROM {events}"), events=table(spark, sf, "events"))
+
 
-def slowest_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    timed = events.select("event_id", "event_type", (F.lead(micros).over(W.orderBy("event_id")) - micros).alias("self_us"))
-    return timed.withColumn("self_us", F.coalesce(F.greatest("self_us", F.lit(0)), F.lit(0))).orderBy(F.desc("self_us"), "event_id").limit(20)
+@query()
+def fingerprint(spark, sf):
+    return table(spark, sf, "nation").select("n_name", X.fnv1a(F.col("n_name")).alias("fingerprint"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"slowest_events": slowest_events}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
