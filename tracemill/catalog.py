@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tracemill import session
 from tracemill.functions import text as X
 from tracemill.operators import compare, graph, temporal
 
@@ -275,11 +276,11 @@ def reverse_reexport(spark, sf):
 
 
 @query(f"""WITH RECURSIVE {GRAPH}, p AS (SELECT src, dst, [src, dst] AS path FROM edges WHERE src < 5 AND dst <> src
-UNION ALL SELECT p.src, e.dst, list_append(path, e.dst) FROM p JOIN edges e ON e.src = p.dst WHERE e.visibility <> 'PRIVATE' AND p.dst <> 14 AND NOT list_contains(path, e.dst) AND len(path) < 7)
-SELECT array_to_string(path, '>') AS path, len(path)::INT - 1 AS hops FROM p WHERE dst = 14""")
+UNION ALL SELECT p.src, e.dst, list_append(path, e.dst) FROM p JOIN edges e ON e.src = p.dst WHERE e.visibility <> 'PRIVATE' AND p.dst <> 7 AND NOT list_contains(path, e.dst) AND len(path) < 7)
+SELECT array_to_string(path, '>') AS path, len(path)::INT - 1 AS hops FROM p WHERE dst = 7""")
 def simple_paths(spark, sf):
     start = spark.range(5).select(F.col("id").cast("int").alias("src"))
-    paths = graph.simple_paths(links(spark, sf), start, lambda c: F.col(c) == 14, 6)
+    paths = graph.simple_paths(links(spark, sf), start, lambda c: F.col(c) == 7, 6)
     return paths.select(F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"), (F.size("path") - 1).alias("hops"))
 
 
@@ -423,6 +424,7 @@ def user_sql_pass(spark, sf):
 
 @query()
 def fingerprint(spark, sf):
+    session.ship(spark)
     return table(spark, sf, "nation").select("n_name", X.fnv1a(F.col("n_name")).alias("fingerprint"))
 
 

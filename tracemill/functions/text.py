@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 #: Characters of a target or file name, for mentions of a whole token.
@@ -58,7 +59,7 @@ def suggestions(names: DataFrame, known: DataFrame) -> DataFrame:
     return near.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("name", "suggestion", "distance")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fnv(texts: pd.Series) -> pd.Series:
     def one(t: str | None) -> str | None:
         if t is None:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -27,3 +32,17 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
         return df.checkpoint()
     return df.persist()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable on the executors, once for each application."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parent
+    if getattr(sc, "_tracemill_shipped", False) or not root.is_dir():
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="tracemill-"), "tracemill.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, f"{root.name}/{p.relative_to(root)}")
+    sc.addPyFile(target)
+    sc._tracemill_shipped = True
