@@ -5,14 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill import session
+
 #: Rows and bytes of one Arrow batch sent to a Python worker; very long texts make batches of few rows.
 BATCH_ROWS = 2000
 BATCH_BYTES = 4 << 20
@@ -26,20 +26,10 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bounds Arrow batches and makes this package importable on the executors, once for each application."""
+    """Bounds Arrow batches and makes this package importable on the executors."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    sc = spark.sparkContext
-    if getattr(sc, "_tracemill_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    if root.is_dir():  # else it already runs from a shipped archive
-        target = os.path.join(tempfile.mkdtemp(prefix="tracemill-"), "tracemill.zip")
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-            for p in sorted(root.rglob("*.py")):
-                z.write(p, f"{root.name}/{p.relative_to(root)}")
-        sc.addPyFile(target)
-    sc._tracemill_shipped = True
+    session.ship(spark)
 
 
 def scratch_dir(spark: SparkSession) -> str:
