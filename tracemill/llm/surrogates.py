@@ -37,6 +37,8 @@ SYLLABLES = {
 }
 NAME = r"[\p{Lu}][\p{L}'’-]+"
 TITLE = r"\b(?:" + "|".join(TITLES_M + TITLES_F + TITLES_N) + r")\b\.?"
+#: First letters of titles: looked at before the words themselves, which is several times faster.
+TITLE_START = "(?=[" + "".join(sorted({t[0] for t in TITLES_M + TITLES_F + TITLES_N})) + "])"
 SECRET_LABEL = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?[ \t]?[=:][ \t]?[\"']?)"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: Kinds in the order they are tried, with their patterns (Java's).
@@ -49,11 +51,9 @@ PATTERNS = {
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "ipv4": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)|[0-9]{1,4})(?:[ .-]?[0-9]{2,4}){2,4}|\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4})(?![0-9])",
-    "person": TITLE + rf" {NAME}(?: {NAME}){{0,2}}",
+    "person": TITLE_START + TITLE + rf" {NAME}(?: {NAME}){{0,2}}",
 }
 MENTION = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What any mention holds: most texts go no further.
-HINT = r"[0-9@]|" + SECRET_LABEL + "|" + TITLE + " "
 ROUNDS = 60
 SEGMENTS = "array<struct<kind:string,pre:string,value:string>>"
 
@@ -214,7 +214,8 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", count_col: str |
 
     text_key, segs, news = free("text_key"), free("segs"), free("news")
     text = docs[text_col]
-    hit = F.coalesce(text.rlike(HINT) & text.rlike(MENTION), F.lit(False))
+    hint = text.rlike("[0-9@]") | ((F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(SECRET_LABEL)) | text.rlike(TITLE_START + TITLE + " ")
+    hit = F.coalesce(hint & text.rlike(MENTION), F.lit(False))
     counted = [count_col] if count_col else []
     clean = docs.where(~hit)
     if count_col:
