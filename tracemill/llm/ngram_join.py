@@ -36,10 +36,10 @@ COMMON = 6
 COMMON_MOST = 1 << 17
 #: Candidate ids are broadcast up to this number; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 3
 #: Columns of the parity sketch, 64 bits each.
-SKETCH = ["s0", "s1", "s2", "s3"]
-COLUMNS = ["doc", "n", "own", "apart", *SKETCH]
+SKETCH = [f"s{k}" for k in range(8)]
+COLUMNS = ["doc", "n", "pos", "own", "apart"]
 
 
 @dataclass(frozen=True)
@@ -63,13 +63,16 @@ class Rule:
         both = _up((a + b) * self.num, self.den + self.num)
         return F.greatest(F.lit(1), F.least(both - self.least(a) + self.extra(a), both - self.least(b) + self.extra(b)))
 
-    def may_link(self, x: str, y: str) -> Column:
+    def may_link(self, x: str, y: str, sketch: bool = False) -> Column:
         """Whether the bounds let the documents of a row with columns x.n, y.n, ... be linked. own: n-grams known to be in one of the two sets only."""
         of = lambda side, c: F.col(f"{c}_{side}")
         a, b = of(x, "n"), of(y, "n")
         least = _up((a + b) * self.num, self.den + self.num)
-        apart = sum((F.bit_count(of(x, c).bitwiseXOR(of(y, c))) for c in SKETCH), F.lit(0))
-        return self.sizes_fit(a, b) & (F.least(a - of(x, "own"), b - of(y, "own")) >= least) & (apart <= a + b - 2 * least)
+        apart = sum((F.bit_count(of(x, c).bitwiseXOR(of(y, c))) for c in SKETCH), F.lit(0)) if sketch else None
+        before = F.least(of(x, "pos") - of(x, "own"), of(y, "pos") - of(y, "own"))
+        most = before + F.least(a - of(x, "pos"), b - of(y, "pos"))  # shared ones before this n-gram, and it and what follows
+        out = self.sizes_fit(a, b) & (most >= least)
+        return out & (apart <= a + b - 2 * least) if sketch else out
 
     def sizes_fit(self, a: Column, b: Column) -> Column:
         return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
@@ -153,7 +156,7 @@ def _signatures(docs: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndar
                 n.append(len(s))
                 h1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                 h2.append(int(((s ^ s >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64).view(np.int64)))
-                odd = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+                odd = np.bincount((s >> np.uint64(64 - 9)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
                 sketch = np.packbits(odd.astype(np.uint8)).view(np.int64)
                 length = len(s) - rule.least(len(s)) + rule.extra(len(s)) if len(s) else 0
                 if len(values) and len(s):
@@ -243,11 +246,15 @@ def join(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "t
     sets = small.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     members = scratch.write(small.join(sets, ["h1", "h2", "n"]).select("doc_id", "n", "rep", "h1").distinct(), "members")
     reps = members.where("doc_id = rep").select("doc_id", "n", "h1")
-    prefixes = signatures.join(reps, ["doc_id", "n", "h1"], "left_semi").select(F.col("doc_id").alias("doc"), "n", *SKETCH, F.size("prefix").alias("length"), F.posexplode("prefix").alias("pos", "shingle"))
+    prefixes = signatures.join(reps, ["doc_id", "n", "h1"], "left_semi").select(F.col("doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "shingle"))
     by_shingle, by_doc = Window.partitionBy("shingle"), Window.partitionBy("doc")
     lists = prefixes.withColumns({"low": F.min("doc").over(by_shingle), "high": F.max("doc").over(by_shingle)}).where("low < high")
     # own: n-grams before this one that are in no list; apart: all of the prefix that are in none
-    lists = lists.withColumns({"own": F.col("pos") - F.row_number().over(by_doc.orderBy("pos")) + 1, "apart": F.col("length") - F.count("*").over(by_doc)})
+    lists = lists.withColumns({"own": F.col("pos") - F.row_number().over(by_doc.orderBy("pos")) + 1, "listed": F.count("*").over(by_doc)})
+    # sizes join only here: most n-grams are in one prefix and are gone
+    sizes = signatures.join(reps, ["doc_id", "n", "h1"], "left_semi").select(F.col("doc_id").alias("doc"), "n", F.size("prefix").alias("length"), *SKETCH).dropDuplicates(["doc"])
+    sizes = scratch.write(sizes, "sizes")
+    lists = lists.join(sizes.drop(*SKETCH), "doc").withColumn("apart", F.col("length") - F.col("listed"))
     lists = scratch.write(lists.select("shingle", *COLUMNS), "lists")
     links = members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     comps = None
@@ -263,8 +270,8 @@ def join(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "t
         found = _verify(likely.distinct(), known, rule, scratch)
         links = links.union(found)
         comps = components(links, scratch)
-    open_ = scratch.write(_open(lists, comps), "open")
-    product = _side(open_, "a").join(_side(open_, "b"), "shingle").where("doc_a < doc_b and comp_a <> comp_b").where(rule.may_link("a", "b"))
+    open_ = scratch.write(_open(lists, comps).join(sizes.select("doc", *SKETCH), "doc"), "open")  # sketches move only with what is left
+    product = _side(open_, "a").join(_side(open_, "b"), "shingle").where("doc_a < doc_b and comp_a <> comp_b").where(rule.may_link("a", "b", sketch=True))
     counted = product.groupBy("doc_a", "doc_b", "n_a", "n_b").agg(F.count("*").alias("same"))
     found = _verify(counted.where(F.col("same") >= rule.needed(F.col("n_a"), F.col("n_b"))).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")), known, rule, scratch)
     comps = components(links.union(found), scratch)
