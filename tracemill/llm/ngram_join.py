@@ -11,7 +11,8 @@ Shuffled by n-gram, its blocks add up partial counts; bounds from the sizes of t
 * with n-grams in one global order, the rare ones first, two similar sets share at least so many n-grams in their
   first few (the prefix) as `needed` says. So only prefixes enter the product, and pairs below that count go.
 
-Equal sets count once. Documents that share n-grams are first held against one leader of each list, in time linear
+Equal sets count once. N-grams held by the prefixes of the same documents are equal columns of the incidence and count
+as one list with a weight, so a pair does not move once for each n-gram that it shares. Documents that share n-grams are first held against one leader of each list, in time linear
 in the list; lists whose documents are then all in one component are done, so a group of near copies never spells
 out its pairs. What is left is multiplied out in full. Every pair that passes the bounds is compared exactly on
 whole sets before it counts as a link. How common n-grams are only sets their order: it changes no result.
@@ -39,7 +40,9 @@ BROADCAST_IDS = 1_000_000
 LEADER_ROUNDS = 3
 #: Columns of the parity sketch, 64 bits each.
 SKETCH = [f"s{k}" for k in range(8)]
-COLUMNS = ["doc", "n", "pos", "own", "apart"]
+#: What tells lists of different documents apart: the smallest and largest id, how many there are and two sums of hashes.
+MEMBERS = ["low", "high", "members", "sum1", "sum2"]
+COLUMNS = ["doc", "n", "pos", "own", "apart", "weight"]
 
 
 @dataclass(frozen=True)
@@ -248,31 +251,35 @@ def join(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "t
     reps = members.where("doc_id = rep").select("doc_id", "n", "h1")
     prefixes = signatures.join(reps, ["doc_id", "n", "h1"], "left_semi").select(F.col("doc_id").alias("doc"), F.posexplode("prefix").alias("pos", "shingle"))
     by_shingle, by_doc = Window.partitionBy("shingle"), Window.partitionBy("doc")
-    lists = prefixes.withColumns({"low": F.min("doc").over(by_shingle), "high": F.max("doc").over(by_shingle)}).where("low < high")
+    part = lambda seed: F.sum(F.xxhash64("doc", F.lit(seed)).bitwiseAND(F.lit(0x7FFFFFFF))).over(by_shingle)
+    held_by = {"low": F.min("doc").over(by_shingle), "high": F.max("doc").over(by_shingle), "members": F.count("*").over(by_shingle), "sum1": part(1), "sum2": part(2)}
+    lists = prefixes.withColumns(held_by).where("low < high")
     # own: n-grams before this one that are in no list; apart: all of the prefix that are in none
     lists = lists.withColumns({"own": F.col("pos") - F.row_number().over(by_doc.orderBy("pos")) + 1, "listed": F.count("*").over(by_doc)})
     # sizes join only here: most n-grams are in one prefix and are gone
     sizes = signatures.join(reps, ["doc_id", "n", "h1"], "left_semi").select(F.col("doc_id").alias("doc"), "n", F.size("prefix").alias("length"), *SKETCH).dropDuplicates(["doc"])
     sizes = scratch.write(sizes, "sizes")
     lists = lists.join(sizes.drop(*SKETCH), "doc").withColumn("apart", F.col("length") - F.col("listed"))
-    lists = scratch.write(lists.select("shingle", *COLUMNS), "lists")
+    # equal lists once; of their n-grams the last one bounds best, and all prefixes have them in the same order
+    lists = lists.groupBy(*MEMBERS, "doc").agg(F.max(F.struct("pos", "own", "n", "apart")).alias("last"), F.count("*").alias("weight"))
+    lists = scratch.write(lists.select(F.xxhash64(*MEMBERS).alias("list"), "doc", "last.*", "weight").select("list", *COLUMNS), "lists")
     links = members.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     comps = None
     for turn in range(LEADER_ROUNDS):
         open_ = _open(lists, comps)
         # a text that others were copied from has the fewest n-grams of its own
         order = F.struct(F.col("apart").alias("first"), F.col("doc").alias("second"), *COLUMNS) if turn == 0 else F.struct(F.col("apart").alias("first"), F.xxhash64("doc", F.lit(turn)).alias("second"), *COLUMNS)
-        leaders = open_.groupBy("shingle").agg(F.min(order).alias("lead")).select("shingle", *[F.col(f"lead.{c}").alias(f"{c}_lead") for c in COLUMNS])
-        led = _side(open_, "doc").join(leaders, "shingle").where("doc_doc <> doc_lead").where(rule.may_link("doc", "lead"))
-        counted = led.groupBy("doc_lead", "n_lead", "doc_doc", "n_doc").agg(F.count("*").alias("same"))
+        leaders = open_.groupBy("list").agg(F.min(order).alias("lead")).select("list", *[F.col(f"lead.{c}").alias(f"{c}_lead") for c in COLUMNS])
+        led = _side(open_, "doc").join(leaders, "list").where("doc_doc <> doc_lead").where(rule.may_link("doc", "lead"))
+        counted = led.groupBy("doc_lead", "n_lead", "doc_doc", "n_doc").agg(F.sum(F.least("weight_doc", "weight_lead")).alias("same"))
         # half the count that all lists together must reach: these lists only show the n-grams that the leader leads
         likely = counted.where(F.col("same") * 2 >= rule.needed(F.col("n_doc"), F.col("n_lead"))).select(F.least("doc_lead", "doc_doc").alias("a"), F.greatest("doc_lead", "doc_doc").alias("b"))
         found = _verify(likely.distinct(), known, rule, scratch)
         links = links.union(found)
         comps = components(links, scratch)
     open_ = scratch.write(_open(lists, comps).join(sizes.select("doc", *SKETCH), "doc"), "open")  # sketches move only with what is left
-    product = _side(open_, "a").join(_side(open_, "b"), "shingle").where("doc_a < doc_b and comp_a <> comp_b").where(rule.may_link("a", "b", sketch=True))
-    counted = product.groupBy("doc_a", "doc_b", "n_a", "n_b").agg(F.count("*").alias("same"))
+    product = _side(open_, "a").join(_side(open_, "b"), "list").where("doc_a < doc_b and comp_a <> comp_b").where(rule.may_link("a", "b", sketch=True))
+    counted = product.groupBy("doc_a", "doc_b", "n_a", "n_b").agg(F.sum(F.least("weight_a", "weight_b")).alias("same"))
     found = _verify(counted.where(F.col("same") >= rule.needed(F.col("n_a"), F.col("n_b"))).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")), known, rule, scratch)
     comps = components(links.union(found), scratch)
     rows = signatures.select(F.col("doc_id").alias("doc"), F.col("n").alias("n_shingles"))
@@ -283,13 +290,13 @@ def _open(lists: DataFrame, comps: DataFrame | None) -> DataFrame:
     """The lists whose documents aren't all in one component yet, with components."""
     if comps is None:
         return lists
-    by_shingle = Window.partitionBy("shingle")
-    rows = _with_component(lists, comps).withColumns({"low": F.min("comp").over(by_shingle), "high": F.max("comp").over(by_shingle)})
-    return rows.where("low < high").select("shingle", *COLUMNS, "comp")
+    by_list = Window.partitionBy("list")
+    rows = _with_component(lists, comps).withColumns({"low": F.min("comp").over(by_list), "high": F.max("comp").over(by_list)})
+    return rows.where("low < high").select("list", *COLUMNS, "comp")
 
 
 def _side(lists: DataFrame, name: str) -> DataFrame:
-    return lists.select("shingle", *[F.col(c).alias(f"{c}_{name}") for c in lists.columns if c not in ("shingle", "apart")])
+    return lists.select("list", *[F.col(c).alias(f"{c}_{name}") for c in lists.columns if c not in ("list", "apart")])
 
 
 def keep_one(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
