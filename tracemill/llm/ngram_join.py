@@ -6,8 +6,9 @@ Shuffled by n-gram, its blocks add up partial counts; bounds from the sizes of t
 * sizes too far apart can't reach the threshold;
 * n-grams of a prefix that no other prefix holds, and that stand before a shared one, are not shared: too many of
   them leave too few to share;
-* a set's parity sketch has a bit for each hash value, flipped by every n-gram; the bits in which two sketches differ
-  are at most the n-grams in which the sets differ;
+* a set's parity sketch has about as many bits as the set has n-grams, and each n-gram flips the bit of its hash; the
+  bits in which two sketches differ are at most the n-grams in which the sets differ;
+* a set whose prefix has fewer n-grams in lists than any link needs has no links;
 * with n-grams in one global order, the rare ones first, two similar sets share at least so many n-grams in their
   first few (the prefix) as `needed` says. So only prefixes enter the product, and pairs below that count go.
 
@@ -38,8 +39,8 @@ COMMON_MOST = 1 << 17
 #: Candidate ids are broadcast up to this number; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 LEADER_ROUNDS = 3
-#: Columns of the parity sketch, 64 bits each.
-SKETCH = [f"s{k}" for k in range(8)]
+#: Bits of the smallest parity sketch.
+SKETCH_BITS = 512
 #: What tells lists of different documents apart: the smallest and largest id, how many there are and two sums of hashes.
 MEMBERS = ["low", "high", "members", "sum1", "sum2"]
 COLUMNS = ["doc", "n", "pos", "own", "apart", "weight"]
@@ -66,16 +67,19 @@ class Rule:
         both = _up((a + b) * self.num, self.den + self.num)
         return F.greatest(F.lit(1), F.least(both - self.least(a) + self.extra(a), both - self.least(b) + self.extra(b)))
 
+    def fewest(self, n: Column) -> Column:
+        """What `needed` is at least, whatever the partner."""
+        return self.extra(F.floor(n * self.num / self.den))
+
     def may_link(self, x: str, y: str, sketch: bool = False) -> Column:
         """Whether the bounds let the documents of a row with columns x.n, y.n, ... be linked. own: n-grams known to be in one of the two sets only."""
         of = lambda side, c: F.col(f"{c}_{side}")
         a, b = of(x, "n"), of(y, "n")
         least = _up((a + b) * self.num, self.den + self.num)
-        apart = sum((F.bit_count(of(x, c).bitwiseXOR(of(y, c))) for c in SKETCH), F.lit(0)) if sketch else None
         before = F.least(of(x, "pos") - of(x, "own"), of(y, "pos") - of(y, "own"))
         most = before + F.least(a - of(x, "pos"), b - of(y, "pos"))  # shared ones before this n-gram, and it and what follows
         out = self.sizes_fit(a, b) & (most >= least)
-        return out & (apart <= a + b - 2 * least) if sketch else out
+        return out & (_apart(of(x, "sketch"), of(y, "sketch")) <= a + b - 2 * least) if sketch else out
 
     def sizes_fit(self, a: Column, b: Column) -> Column:
         return F.least(a, b) * self.den >= F.greatest(a, b) * self.num
@@ -85,6 +89,20 @@ def _up(x, d: int):
     return F.ceil(x / d).cast("long") if isinstance(x, Column) else -(-x // d)
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    bits = max(SKETCH_BITS, 1 << (len(s) - 1).bit_length()) if len(s) else SKETCH_BITS
+    odd = np.bincount((s >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """Bits in which two sketches differ. One of twice the length is folded; 0 where lengths are further apart."""
+    low, high = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
+    folded = lambda c: F.when(F.size(c) == low, c).otherwise(F.zip_with(F.slice(c, 1, low), F.slice(c, low + 1, low), lambda u, v: u.bitwiseXOR(v)))
+    bits = F.aggregate(F.zip_with(folded(x), folded(y), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, v: t + v)
+    return F.when(high > 2 * low, 0).otherwise(bits)
+
+
 class _Hashes(dict):
     """64-bit hashes of words, kept while they fit."""
 
@@ -145,6 +163,11 @@ def _common(docs: DataFrame, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
     return values[order], ranks[order]
 
 
+def _list_array(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts)))
+
+
 def _signatures(docs: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, n, two hashes of the whole set, the prefix and the sketch."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -159,8 +182,7 @@ def _signatures(docs: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndar
                 n.append(len(s))
                 h1.append(int(s.sum(dtype=np.uint64).view(np.int64)))
                 h2.append(int(((s ^ s >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)).sum(dtype=np.uint64).view(np.int64)))
-                odd = np.bincount((s >> np.uint64(64 - 9)).astype(np.int64), minlength=64 * len(SKETCH)) & 1
-                sketch = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                sketches.append(_sketch(s))
                 length = len(s) - rule.least(len(s)) + rule.extra(len(s)) if len(s) else 0
                 if len(values) and len(s):
                     at = np.minimum(np.searchsorted(values, s), len(values) - 1)
@@ -168,15 +190,12 @@ def _signatures(docs: DataFrame, rule: Rule, frequent: tuple[np.ndarray, np.ndar
                     if rank.any():
                         s = s[np.argsort(rank, kind="stable")]
                 prefixes.append(s[:length].view(np.int64))
-                sketches.append(sketch)
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prefixes)))
-            sketches = [pa.array(np.ascontiguousarray(c)) for c in np.array(sketches).reshape(-1, len(SKETCH)).T]
-            return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists, *sketches], ["doc_id", "n", "h1", "h2", "prefix", *SKETCH])
+            arrays = [_list_array(prefixes), _list_array(sketches)]
+            return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), *arrays], ["doc_id", "n", "h1", "h2", "prefix", "sketch"])
 
         return run
 
-    return common.map_batches(docs, make, "doc_id long, n long, h1 long, h2 long, prefix array<long>, " + ", ".join(f"{c} long" for c in SKETCH))
+    return common.map_batches(docs, make, "doc_id long, n long, h1 long, h2 long, prefix array<long>, sketch array<long>")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, rule: Rule, scratch: common.Scratch) -> DataFrame:
@@ -257,9 +276,9 @@ def join(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "t
     # own: n-grams before this one that are in no list; apart: all of the prefix that are in none
     lists = lists.withColumns({"own": F.col("pos") - F.row_number().over(by_doc.orderBy("pos")) + 1, "listed": F.count("*").over(by_doc)})
     # sizes join only here: most n-grams are in one prefix and are gone
-    sizes = signatures.join(reps, ["doc_id", "n", "h1"], "left_semi").select(F.col("doc_id").alias("doc"), "n", F.size("prefix").alias("length"), *SKETCH).dropDuplicates(["doc"])
+    sizes = signatures.join(reps, ["doc_id", "n", "h1"], "left_semi").select(F.col("doc_id").alias("doc"), "n", F.size("prefix").alias("length"), "sketch").dropDuplicates(["doc"])
     sizes = scratch.write(sizes, "sizes")
-    lists = lists.join(sizes.drop(*SKETCH), "doc").withColumn("apart", F.col("length") - F.col("listed"))
+    lists = lists.join(sizes.drop("sketch"), "doc").where(F.col("listed") >= rule.fewest(F.col("n"))).withColumn("apart", F.col("length") - F.col("listed"))
     # equal lists once; of their n-grams the last one bounds best, and all prefixes have them in the same order
     lists = lists.groupBy(*MEMBERS, "doc").agg(F.max(F.struct("pos", "own", "n", "apart")).alias("last"), F.count("*").alias("weight"))
     lists = scratch.write(lists.select(F.xxhash64(*MEMBERS).alias("list"), "doc", "last.*", "weight").select("list", *COLUMNS), "lists")
@@ -277,7 +296,9 @@ def join(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "t
         found = _verify(likely.distinct(), known, rule, scratch)
         links = links.union(found)
         comps = components(links, scratch)
-    open_ = scratch.write(_open(lists, comps).join(sizes.select("doc", *SKETCH), "doc"), "open")  # sketches move only with what is left
+    open_ = _open(lists, comps).withColumn("listed", F.sum("weight").over(by_doc)).where(F.col("listed") >= rule.fewest(F.col("n")))
+    open_ = _open(open_.drop("comp"), comps)
+    open_ = scratch.write(open_.join(sizes.select("doc", "sketch"), "doc"), "open")  # sketches move only with what is left
     product = _side(open_, "a").join(_side(open_, "b"), "list").where("doc_a < doc_b and comp_a <> comp_b").where(rule.may_link("a", "b", sketch=True))
     counted = product.groupBy("doc_a", "doc_b", "n_a", "n_b").agg(F.sum(F.least("weight_a", "weight_b")).alias("same"))
     found = _verify(counted.where(F.col("same") >= rule.needed(F.col("n_a"), F.col("n_b"))).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")), known, rule, scratch)
