@@ -173,6 +173,15 @@ def test_ngram_join_edges(spark, odd):
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [0, 1, 2, 3, 4, 5, 6, 7, 9, 10]
 
 
+def test_sketches_never_differ_in_more_bits_than_sets(spark):
+    hashes = np.random.default_rng(3).integers(0, 1 << 63, 6000, dtype=np.uint64)
+    sets = [hashes[a:b] for a, b in ((0, 0), (0, 1), (0, 500), (20, 530), (0, 1000), (0, 1100), (100, 1100), (0, 4000), (900, 4900), (0, 6000))]
+    pairs = [(ngram_join._sketch(x).tolist(), ngram_join._sketch(y).tolist(), len(np.setxor1d(x, y))) for x in sets for y in sets]
+    got = spark.createDataFrame(pairs, "x array<long>, y array<long>, apart int").select(ngram_join._apart(F.col("x"), F.col("y")).alias("bits"), "apart", F.size("x").alias("size_x"), F.size("y").alias("size_y")).collect()
+    assert all(r["bits"] <= r["apart"] for r in got)
+    assert any(r["bits"] > 40 and r["size_x"] != r["size_y"] for r in got) and all(r["bits"] == 0 for r in got if r["apart"] == 0)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (102, 101)], "a long, b long")
     got = {r["node"]: r["comp"] for r in ngram_join.components(links, common.Scratch(spark, "t")).collect()}
