@@ -256,7 +256,7 @@ def join(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "t
     """doc_id, n_shingles and component_id, the smallest doc_id reachable by links, of every row.
 
     Null texts and texts without a word have the empty set and are linked with nothing. Rows that share an id are
-    one document with the links of each of its texts. Rows with a null id are linked with nothing and have a null
+    one document and should hold one text: of different texts each links to its equals, but only one of them is compared further. Rows with a null id are linked with nothing and have a null
     component. Equal texts with a word are linked. An empty table gives an empty one; further columns are not read.
     """
     scratch = common.Scratch(docs.sparkSession, "ngrams")
