@@ -16,6 +16,10 @@ from pyspark.sql.window import Window as W
 from tracemill import session
 from tracemill.functions import text as X
 from tracemill.operators import compare, graph, temporal
+from tracemill.replay import sequential
+from tracemill.rules import dead, values
+from tracemill.rules.base import Config, Store
+from tracemill.sources import trace
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -428,6 +432,68 @@ def fingerprint(spark, sf):
     return table(spark, sf, "nation").select("n_name", X.fnv1a(F.col("n_name")).alias("fingerprint"))
 
 
+RECORDINGS = 16
+
+
+def replayed(spark: SparkSession, sf_dir: str, reads: str = "event_type = 'view'") -> dict[str, DataFrame]:
+    """The events as 16 recordings of a build: a click sets its user's variable, a purchase unsets it, a view that counts as a read reads it; each event is a line of its own."""
+    e = table(spark, sf_dir, "events").where(f"event_type in ('click', 'purchase') or ({reads})")
+    name, value = F.concat(F.lit("V"), F.col("user_id")), F.round(F.col("value") * 100).cast("long").cast("string")
+    cmd = F.when(F.col("event_type") == "click", "set").when(F.col("event_type") == "purchase", "unset").otherwise("message")
+    rows = e.select(
+        F.concat(F.lit("r"), F.col("user_id") % RECORDINGS).alias("recording"), F.lit("/src/a").alias("file"), F.col("event_id").alias("line"), cmd.alias("cmd"), cmd.alias("cmd_lower"),
+        F.when(F.col("event_type") == "click", F.array(name, value)).when(F.col("event_type") == "purchase", F.array(name)).otherwise(F.array(F.lit(""))).alias("args"),
+        (F.col("us") / 1e6).alias("time_abs"), F.lit(0).cast("long").alias("frame"), F.lit(1).cast("long").alias("global_frame"), name.alias("name"))
+    events = trace.number(rows, "line")
+    none = F.array().cast("array<string>")
+    commands = events.select(
+        "recording", "file", F.col("line").alias("node_id"), F.col("cmd").alias("name"), F.col("cmd").alias("name_lower"), F.lit("").alias("args_text"), F.transform("args", lambda a: F.struct(F.lit("bare").alias("kind"), a.alias("value"))).alias("args"),
+        "line", F.col("line").alias("byte_start"), F.col("line").alias("byte_end"), F.when(F.col("cmd") == "message", F.array("name")).otherwise(none).alias("var_refs"), none.alias("env_refs"), F.array().cast("array<struct<kind:string,node_id:bigint,head:string>>").alias("blocks"))
+    events = events.drop("name")
+    files = events.select("recording", F.col("file").alias("path")).distinct().withColumn("in_source", F.lit(1))
+    session.ship(spark)
+    # the plan stays whole where no shared checkpoint folder is set
+    log = session.cut(sequential.log(events, commands))
+    return {"files": files, "commands": commands} | sequential.tables(events, log)
+
+
+REPLAYED = f"""t AS (SELECT user_id, event_id, event_type, {CENTS} AS v FROM events)"""
+
+
+@query(f"""WITH {REPLAYED} SELECT r.event_id AS line, 'V' || r.user_id AS name, CASE WHEN w.event_type = 'click' THEN w.event_id END AS write_line, CASE WHEN w.event_type = 'click' THEN w.v::VARCHAR END AS value
+FROM (FROM t WHERE event_type = 'view') r ASOF LEFT JOIN (FROM t WHERE event_type IN ('click', 'purchase')) w ON r.user_id = w.user_id AND r.event_id > w.event_id""")
+def replayed_reads(spark, sf):
+    t = replayed(spark, sf)
+    at = t["events"].select("recording", "event_id", "line")
+    w = t["var_writes"].join(at, ["recording", "event_id"]).select("recording", F.col("write_id").alias("resolved_write_id"), F.col("line").alias("write_line"), "value")
+    return t["var_reads"].join(at, ["recording", "event_id"]).join(w, ["recording", "resolved_write_id"], "left").select("line", "name", "write_line", "value")
+
+
+@query(f"""WITH {REPLAYED}, w AS (SELECT *, lead(event_id) OVER k AS next_line, lead(v) OVER k AS next_v FROM t WHERE event_type = 'click' WINDOW k AS (PARTITION BY user_id ORDER BY event_id))
+SELECT event_id AS line, 'V' || user_id AS name, next_line FROM w WHERE v <> next_v AND NOT EXISTS (SELECT 1 FROM t r WHERE r.user_id = w.user_id AND r.event_type = 'view' AND r.event_id > w.event_id AND r.event_id < w.next_line
+AND NOT EXISTS (SELECT 1 FROM t u WHERE u.user_id = w.user_id AND u.event_type = 'purchase' AND u.event_id > w.event_id AND u.event_id < r.event_id))""")
+def replayed_clobbers(spark, sf):
+    f = values.clobbers(Store(replayed(spark, sf)), Config())
+    return f.select("line", F.regexp_extract("message", "^'([^']*)'", 1).alias("name"), F.col("related")[0]["line"].alias("next_line"))
+
+
+@query(f"""WITH {REPLAYED} SELECT 'V' || user_id AS name, min(event_id) AS line FROM t WHERE event_type = 'click' AND user_id NOT IN (SELECT user_id FROM t WHERE event_type = 'view' AND v > 7000) GROUP BY user_id""")
+def replayed_dead_variables(spark, sf):
+    t = replayed(spark, sf, "event_type = 'view' and round(value * 100) > 7000")
+    own = t["commands"].withColumn("var_refs", F.array().cast("array<string>"))
+    return dead.variables(Store(t | {"commands": own}), Config()).select(F.regexp_extract("message", "'([^']*)'", 1).alias("name"), "line")
+
+
+@query("""WITH e AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS event_id, turn % 2 AS deep FROM conversations)
+SELECT conv_id, event_id, CASE WHEN deep = 1 THEN 1 + sum(deep) OVER (PARTITION BY conv_id ORDER BY event_id) ELSE 1 END::BIGINT AS scope_id FROM e""")
+def replayed_scopes(spark, sf):
+    c = table(spark, sf, "conversations")
+    rows = c.select(F.col("conv_id").cast("string").alias("recording"), "conv_id", F.lit("/src/a").alias("file"), F.col("turn").alias("line"), F.col("role").alias("cmd"), F.lower("role").alias("cmd_lower"), F.array().cast("array<string>").alias("args"), F.lit(0.0).alias("time_abs"), F.lit(0).cast("long").alias("frame"), (F.col("turn") % 2 + 1).alias("global_frame"))
+    events = trace.number(rows, "line")
+    session.ship(spark)
+    return sequential.tables(events, sequential.log(events))["events"].select("conv_id", "event_id", "scope_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

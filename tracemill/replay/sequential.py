@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill import model
+from tracemill import model, session
 from tracemill.replay import effects as E
 
 LOG = "recording string, what string, id bigint, event_id bigint, scope_id bigint, name string, a string, b string, c string, ref bigint, flag int, params array<string>"
@@ -200,6 +200,7 @@ def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def log(events: DataFrame, commands: DataFrame | None = None, nodes: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame:
     """The replay's rows. commands and nodes: of the sources, else reads are those without a reference only; seeds: recording, name, value of cache entries given before the first event."""
+    session.ship(events.sparkSession)
     e = events.select("recording", "event_id", "file", "line", "global_frame", "cmd_lower", "args")
     node = "node_id bigint, byte_start bigint, kinds array<string>, values array<string>, var_refs array<string>, env_refs array<string>"
     if commands is None:
@@ -218,7 +219,8 @@ def log(events: DataFrame, commands: DataFrame | None = None, nodes: DataFrame |
     else:
         given = seeds.groupBy("recording").agg(F.collect_list(F.struct("name", "value")).alias("given"))
         e = e.join(given, "recording", "left").withColumn("seeds", F.when(F.col("event_id") == 1, F.col("given"))).drop("given")
-    one_task = e.repartition("recording").sortWithinPartitions("recording", "event_id")
+    # a replay costs far more than the bytes it reads, so its tasks aren't joined into fewer ones
+    one_task = e.repartition(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), "recording").sortWithinPartitions("recording", "event_id")
     return one_task.mapInPandas(_batches, LOG)
 
 

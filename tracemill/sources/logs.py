@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tracemill import session
 from tracemill.sources import lines
 
 BODY_LINES = 3
@@ -48,6 +49,7 @@ def _unhex(values: pd.Series) -> pd.Series:
 
 def snapshots(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """recording, snapshot (from 1), tag, name, value of scope snapshots; pairs that are no hexadecimal digits are skipped."""
+    session.ship(spark)
     raw = lines.read(spark, path)
     rows = lines.blocks(raw, F.col("text").startswith("SNAPSHOT\t")).where("block is not null")
     heads = rows.where("line = block").select("path", "block", F.substring_index("text", "\t", -1).alias("tag"), F.dense_rank().over(W.partitionBy("path").orderBy("block")).alias("snapshot"))
@@ -62,6 +64,7 @@ def _normal(paths: pd.Series) -> pd.Series:
 
 def headers(spark: SparkSession, path: str | list[str], tus: DataFrame, build_dir: str) -> DataFrame:
     """tu_headers from the text of `ninja -t deps`: an object CMakeFiles/<target>.dir/<source>.o belongs to the unit of that target whose path ends so."""
+    session.ship(spark)
     raw = lines.read(spark, path)
     rows = lines.blocks(raw, ~F.col("text").rlike(r"^\s") & F.col("text").contains(": #deps"))
     objects = r"CMakeFiles/([^/]+)\.dir/(.+)\.o(?:bj)?: #deps"

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill import session
+
 _OUT = "target string, type string, what string, kind string, value string, file string, line bigint"
 HOPS = 64
 
@@ -53,6 +55,7 @@ def _small(spark: SparkSession, path: str) -> dict:
 
 def read(spark: SparkSession, folder: str, recording: str, source_dir: str, events: DataFrame) -> dict[str, DataFrame]:
     """targets, usage_reqs and tus of a reply folder: its newest index, and of its code model the first configuration. Places are matched to the first event there."""
+    session.ship(spark)
     index = spark.read.text(f"{folder}/index-*.json", wholetext=True).select(F.col("_metadata.file_path").alias("p")).orderBy(F.desc("p")).first()
     if index is None:
         raise ValueError(f"{folder} has no index")

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill import model
+from tracemill import model, session
 
 #: Block openers with their closers and the kind of the node that spans them.
 BLOCKS = {
@@ -137,6 +137,7 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def tables(sources: DataFrame, source_dir: str, build_dir: str | None = None) -> dict[str, DataFrame]:
     """files, nodes and commands of sources (recording, path, content), parsed file by file."""
+    session.ship(sources.sparkSession)
     parsed = sources.select("recording", "path", "content").mapInPandas(_parse_batches, _OUT)
     root = source_dir.rstrip("/") + "/"
     own = F.col("path").startswith(root)
