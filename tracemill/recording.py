@@ -15,11 +15,11 @@ REQUIRED = ["events", "scopes", "var_writes", "var_reads"]
 def ingest(spark: SparkSession, traces: str | list[str], sources: DataFrame, source_dir: str, build_dir: str | None = None, stderr: str | list[str] | None = None, seeds: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of the recordings whose traces these are. Raises sources.trace.TraceError before anything is built if a trace can't be used.
 
-    sources: recording, path, content. The replay's rows are cut off from their lineage once, as each table reads them.
+    sources: recording, path, content. Events, parsed sources and the replay's rows are cut off from their lineage once each, as several tables read them.
     """
     trace.check(spark, traces)
-    events = trace.events(spark, traces)
-    parsed = syntax.tables(sources, source_dir, build_dir)
+    events = session.cut(trace.events(spark, traces))
+    parsed = {n: session.cut(df) for n, df in syntax.tables(sources, source_dir, build_dir).items()}
     log = session.cut(sequential.log(events, parsed["commands"], parsed["nodes"], seeds))
     tables = parsed | sequential.tables(events, log)
     if stderr:
