@@ -1,0 +1,38 @@
+"""That operators learn from, look at and return all of their input."""
+
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tracemill.llm import attention_lm
+
+path = public_tokenizers.path
+
+
+def documents(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+
+@pytest.fixture(scope="module")
+def learned(spark):
+    """A model as score_documents makes it, from long and short texts; the ids of each text."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 4000, n)) for n in (6000, 9000, 3, 200, 1, 40)]
+    small = attention_lm.Settings(dim=8, classes=8, steps=20)
+    args = path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    got, ready = [], attention_lm.AttentionLM.ready
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(attention_lm.AttentionLM, "ready", lambda lm: got.append(lm) or ready(lm))
+        assert attention_lm.score_documents(documents(spark, texts).repartition(3), F.lit(True), *args, small).count() == len(texts)
+    sub = attention_lm.Subwords(*args)
+    return got[0], [sub.ids_of(sub.codes_of(attention_lm.words_of(t)))[0] for t in texts]
+
+
+def test_lm_weights_learn_from_every_window(learned):
+    lm, texts = learned
+    first = (np.random.default_rng(lm.s.seed).standard_normal((lm.rows, lm.s.dim)) * 0.5).astype(np.float32)
+    met = np.unique(np.concatenate([t[:-1] for t in texts]))
+    assert len(met) > 300 and (lm.params["e"] != first)[lm.row[met]].any(1).all()

@@ -3,20 +3,24 @@
 A text is its words, then an end token; words become subword ids of a public byte-level vocabulary. The text is
 covered by overlapping windows: each half window of targets attends to itself, causally, and to the half before,
 so every token is scored once with at least half a window behind it. The model gives the next token's class by
-attention, and the token within its class by counts over all training texts. Word counts, subword counts and the
-base score cover the whole corpus; only the attention weights are fitted on a bounded number of windows
-(`Settings.windows`), picked by hash.
+attention, and the token within its class by counts over all training texts. Word counts, subword counts, the counts
+behind the classes, pair counts and the base score cover the whole corpus. The attention weights are fitted on every
+window of every training text: in each round the tasks descend on a share of their texts and their weights are
+averaged. They depend on how the table is dealt to tasks; the counts do not.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +33,12 @@ END = b"\n"
 KNOWN = 150_000
 #: The most frequent words, sent to all tasks; counts of the others are joined. A bound on that broadcast, not on the result.
 HOT = 1 << 17
+#: Columns of the table from which ids are clustered: a half for the id before, a half for those around.
+SEEN = 512
+#: Cells of a table, and rows of the embedding, that tasks hand on together.
+CELLS, EMBEDDED = 4096, 256
+#: Windows a task holds and shuffles before it descends on them.
+HELD = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -37,8 +47,8 @@ class Settings:
     classes: int = 64
     embedded: int = 8192  # ids with an embedding of their own; the others share `buckets`
     buckets: int = 256
-    windows: int = 100_000  # at most so many training windows
-    steps: int = 1200  # of gradient descent, whatever the number of windows
+    steps: int = 1200  # of gradient descent at least, by repeated passes if need be; all windows are used at least once
+    rounds: int = 4  # each text is in one; after each the tasks' weights are averaged
     batch: int = 256
     rate: float = 0.006
     prior: float = 20.0  # pairs that the counts alone stand for
@@ -141,22 +151,32 @@ class AttentionLM:
         self.counts, self.top = counts, top
         self.label = np.full(size, settings.classes - 1, np.int64)
         self.params: dict[str, np.ndarray] = {}
-        self.pairs = np.zeros((settings.classes + 1, size), np.float32)
+        self.pairs = np.zeros((settings.classes + 1, 1), np.float32)  # until counted
+
+    def seen(self, inputs: np.ndarray, targets: np.ndarray) -> Iterator[np.ndarray]:
+        """Cells of a table of len(top) x SEEN: what each embedded id follows, and what it stands among."""
+        r, half = self.row[np.maximum(targets, 0)], SEEN // 2
+        ok = (targets >= 0) & (r < len(self.top))
+        at = r[ok] * SEEN
+        yield at + self.row[inputs[:, HALF:][ok]] % half
+        per = ok.sum(1)
+        for shift in range(0, 2 * HALF, 2):
+            yield at + np.repeat(half + self.row[inputs[:, shift]] % half, per)
+
+    def paired(self, inputs: np.ndarray, targets: np.ndarray) -> Iterator[np.ndarray]:
+        """Cells of a table of classes + 1 x ids: the class of the token before, and the token."""
+        ok = targets >= 0
+        yield self.after(inputs[:, HALF:][ok]) * len(self.label) + targets[ok]
 
-    def _cluster(self, inputs: np.ndarray, targets: np.ndarray) -> None:
+    def cluster(self, seen: np.ndarray) -> None:
         """Classes of ids that follow similar ids and stand among similar ones, by k-means."""
         c, n = self.s.classes - 1, len(self.top)
         if n <= c:
             self.label[self.top] = np.arange(n)
             return
         rng = np.random.default_rng(self.s.seed)
-        seen = np.zeros((n, 512), np.float32)
-        r, prev = self.row[targets], inputs[:, HALF:]
-        ok = (targets >= 0) & (self.row[np.maximum(targets, 0)] < n)
-        np.add.at(seen, (r[ok], self.row[prev[ok]] % 256), 1)
-        for shift in range(0, 2 * HALF, 2):
-            other = np.repeat(inputs[:, shift : shift + 1], HALF, 1)
-            np.add.at(seen, (r[ok], 256 + self.row[other[ok]] % 256), 1 / HALF)
+        seen = seen.reshape(n, SEEN).astype(np.float32)
+        seen[:, SEEN // 2 :] /= HALF
         weight = np.sqrt(seen.sum(1))
         x = np.sqrt(seen / np.maximum(seen.sum(1, keepdims=True), 1))
         centers = x[rng.choice(n, c, replace=False, p=weight / weight.sum() if (weight > 0).sum() >= c else None)]
@@ -173,63 +193,125 @@ class AttentionLM:
         return np.where(ids < len(self.label), self.label[np.minimum(ids, len(self.label) - 1)], self.s.classes)
 
     def fit(self, inputs: np.ndarray, targets: np.ndarray) -> None:
-        s = self.s
+        """What _fit does over a table, on windows at hand."""
+        for cells, size, use in ((self.seen, len(self.top) * SEEN, self.cluster), (self.paired, (self.s.classes + 1) * len(self.label), self.count)):
+            total = np.zeros(size, np.int64)
+            for c in cells(inputs, targets):
+                np.add.at(total, c, 1)
+            use(total)
+        self.start()
         if len(inputs):
-            self._cluster(inputs, targets)
-            ok = targets >= 0
-            np.add.at(self.pairs, (self.after(inputs[:, HALF:][ok]), targets[ok]), 1)
+            descent, passes = Descent(self), -(-self.s.steps * self.s.batch // len(inputs))
+            descent.run(inputs, targets, passes, lambda done: done / (passes * len(inputs)))
+
+    def count(self, pairs: np.ndarray) -> None:
+        self.pairs = pairs.reshape(self.s.classes + 1, -1).astype(np.float32)
+
+    def start(self) -> None:
+        """The weights before any descent."""
+        s = self.s
         rng, d = np.random.default_rng(s.seed), s.dim
         w = lambda *shape, scale=1.0: (rng.standard_normal(shape) * scale).astype(np.float32)
         mass = np.bincount(self.label, weights=self.counts + 1.0, minlength=s.classes)
-        p = self.params = {
+        self.params = {
             "e": w(self.rows, d, scale=0.5), "p": w(2 * HALF, d, scale=0.2), "q": w(d, d, scale=d**-0.5), "k": w(d, d, scale=d**-0.5), "v": w(d, d, scale=d**-0.5),
             "s": w(d, d, scale=d**-0.5), "b": np.zeros(d, np.float32), "o": w(d, s.classes, scale=0.1), "c": np.log(np.maximum(mass / mass.sum(), 1e-9)).astype(np.float32),
         }
-        m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-        parts = max(1, len(inputs) // s.batch)
-        steps = [part for _ in range(-(-s.steps // parts)) for part in np.array_split(rng.permutation(len(inputs)), parts)][: s.steps] if len(inputs) else []
-        for t, part in enumerate(steps, 1):
-            rate = s.rate * (1 - t / (len(steps) + 1)) + 1e-4
-            for k, g in self._gradients(self.row[inputs[part]], targets[part]).items():
-                m[k] += 0.1 * (g - m[k])
-                v[k] += 0.01 * (g * g - v[k])
-                p[k] -= (rate * m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
 
     def _gradients(self, rows: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
-        p, d = self.params, self.s.dim
-        x = p["e"][rows] + p["p"]
-        y = x[:, HALF:]
-        q, k, v = y @ p["q"] * d**-0.5, x @ p["k"], x @ p["v"]
-        mask = CAUSAL * (rows != self.rows - 1)[:, None, :]
-        a = np.exp(np.minimum(q @ k.transpose(0, 2, 1), 20)) * mask
-        a /= np.maximum(a.sum(2, keepdims=True), 1e-20)
-        h = np.tanh(y @ p["s"] + a @ v + p["b"])
-        logits = h @ p["o"] + p["c"]
-        probs = np.exp(logits - logits.max(2, keepdims=True))
-        probs /= probs.sum(2, keepdims=True)
-        ok = targets >= 0
-        label = self.label[np.maximum(targets, 0)]
-        i, j = np.indices(label.shape)
-        probs[i, j, label] -= 1
-        dl = probs * ok[:, :, None] / max(1, ok.sum())
-        dh = (dl @ p["o"].T) * (1 - h * h)
-        da = dh @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(2, keepdims=True))
-        dq, dk, dv = ds @ k * d**-0.5, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dh
-        dx = dk @ p["k"].T + dv @ p["v"].T
-        dx[:, HALF:] += dq @ p["q"].T + dh @ p["s"].T
+        """Of the mean loss over these windows; worked out for few at a time, whose arrays stay in the cache."""
+        d, e = self.s.dim, self.params["e"]
+        parts = [self._summed(rows[at : at + 32], targets[at : at + 32]) for at in range(0, len(rows), 32)]
+        cells = (rows.reshape(-1, 1) * d + np.arange(d)).ravel()
+        dx = np.concatenate([x.pop("x").ravel() for x in parts])
+        out = {k: sum(x[k] for x in parts) for k in parts[0]} | {"e": np.bincount(cells, dx, e.size).reshape(e.shape).astype(e.dtype)}
+        n = max(1, (targets >= 0).sum())
+        for g in out.values():
+            g /= n
+        return out
+
+    def _summed(self, rows: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of the summed loss; x is that of each input."""
+        p, d, n = self.params, self.s.dim, len(rows)
         flat = lambda z: z.reshape(-1, z.shape[-1])
-        e = np.zeros_like(p["e"])
-        np.add.at(e, rows.ravel(), flat(dx))
+        apart = lambda z: z.reshape(n, -1, z.shape[-1])
+        x = p["e"][rows]
+        x += p["p"]
+        y = np.ascontiguousarray(x[:, HALF:])
+        x2, y2 = flat(x), flat(y)
+        q, k, v = apart(y2 @ (p["q"] * d**-0.5)), apart(x2 @ p["k"]), apart(x2 @ p["v"])
+        a = q @ k.transpose(0, 2, 1)
+        np.minimum(a, 20, out=a)
+        np.exp(a, out=a)
+        a *= CAUSAL
+        a *= (rows != self.rows - 1)[:, None, :]
+        a /= np.maximum(a.sum(2, keepdims=True), 1e-20)
+        h = y2 @ p["s"]
+        h += flat(a @ v)
+        h += p["b"]
+        np.tanh(h, out=h)
+        # only places with a target have a gradient
+        at = np.flatnonzero(targets.ravel() >= 0)
+        hit = h[at]
+        dl = hit @ p["o"]
+        dl += p["c"]
+        dl -= dl.max(1, keepdims=True)
+        np.exp(dl, out=dl)
+        dl /= dl.sum(1, keepdims=True)
+        dl[np.arange(len(at)), self.label[targets.ravel()[at]]] -= 1
+        dh = np.zeros_like(h)
+        dh[at] = (dl @ p["o"].T) * (1 - hit * hit)
+        dh3 = apart(dh)
+        da = dh3 @ v.transpose(0, 2, 1)
+        da -= np.einsum("ijk,ijk->ij", da, a)[:, :, None]
+        da *= a
+        dq, dk, dv = flat(da @ k), flat(da.transpose(0, 2, 1) @ q), flat(a.transpose(0, 2, 1) @ dh3)
+        dq *= d**-0.5
+        dx = apart(dk @ p["k"].T + dv @ p["v"].T)
+        dx[:, HALF:] += apart(dq @ p["q"].T + dh @ p["s"].T)
         return {
-            "e": e, "p": dx.sum(0), "q": flat(y).T @ flat(dq), "k": flat(x).T @ flat(dk), "v": flat(x).T @ flat(dv), "s": flat(y).T @ flat(dh),
-            "b": flat(dh).sum(0), "o": flat(h).T @ flat(dl), "c": flat(dl).sum(0),
+            "x": dx, "p": dx.sum(0), "q": y2.T @ dq, "k": x2.T @ dk, "v": x2.T @ dv, "s": y2.T @ dh,
+            "b": dh.sum(0), "o": hit.T @ dl, "c": dl.sum(0),
         }
 
     def ready(self) -> Scorer:
         return Scorer(self)
 
 
+class Descent:
+    """Steps of Adam on a model's weights."""
+
+    def __init__(self, lm: AttentionLM, seed: int = 0):
+        self.lm, self.rng, self.t, self.done = lm, np.random.default_rng((lm.s.seed, seed)), 0, 0
+        self.m, self.v, self.room = ({k: np.zeros_like(x) for k, x in lm.params.items()} for _ in range(3))
+        self.met = np.zeros(lm.rows)  # how often each row of the embedding was met
+
+    def run(self, inputs: np.ndarray, targets: np.ndarray, passes: int, progress: Callable[[int], float]) -> None:
+        """Each window once in each pass; progress tells from the windows done how far the whole descent is."""
+        s, p, m, v = self.lm.s, self.lm.params, self.m, self.v
+        rows = self.lm.row[inputs]
+        self.met += np.bincount(rows.ravel(), minlength=len(self.met))
+        for _ in range(passes):
+            for part in np.array_split(self.rng.permutation(len(rows)), max(1, len(rows) // s.batch)):
+                self.t += 1
+                rate = s.rate * (1 - min(1.0, progress(self.done))) + 1e-4
+                self.done += len(part)
+                for k, g in self.lm._gradients(rows[part], targets[part]).items():
+                    step = self.room[k]
+                    m[k] *= 0.9
+                    m[k] += np.multiply(g, 0.1, out=step)
+                    v[k] *= 0.99
+                    np.multiply(g, g, out=step)
+                    step *= 0.01
+                    v[k] += step
+                    np.sqrt(v[k], out=step)
+                    step *= (1 - 0.99**self.t) ** -0.5
+                    step += 1e-8
+                    np.divide(m[k], step, out=step)
+                    step *= rate / (1 - 0.9**self.t)
+                    p[k] -= step
+
+
 class Scorer:
     """Log10 probabilities with all products of the embeddings worked out beforehand."""
 
@@ -327,27 +409,114 @@ def _subword_counts(counts: DataFrame, ranks_path: str, pattern: str) -> np.ndar
     return out
 
 
-def _training_windows(train: DataFrame, n_texts: int, lm: AttentionLM, settings: Settings, ranks_path: str, pattern: str) -> tuple[np.ndarray, np.ndarray]:
-    """At most settings.windows windows, of texts picked by hash until there are enough."""
-    space, wanted = 1 << 30, max(1, settings.windows // 16)
-    share = space if n_texts <= wanted else space * wanted // n_texts
+def _windows_of(batches, lm: AttentionLM, sub: Subwords) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Inputs and targets of all windows of all texts, some thousands at a time."""
+    for b in batches:
+        step = max(1, b.num_rows * (common.BATCH_BYTES // 4) // max(b.nbytes, common.BATCH_BYTES // 4))
+        for at in range(0, b.num_rows, step):
+            texts = [words_of(t) for t in common.texts_of(b.slice(at, step))]
+            n = np.array([len(t) for t in texts])
+            ids, each = sub.ids_of(sub.codes_of([w for t in texts for w in t]))
+            yield windows(ids, np.add.reduceat(each, n.cumsum() - n), lm.bos, lm.pad)[:2]
+
+
+def _table(train: DataFrame, lm: AttentionLM, kind: str, size: int, ranks_path: str, pattern: str) -> np.ndarray:
+    """How often each of `size` cells occurs in the windows of all training texts; kind names the method that gives the cells."""
+    shared = train.sparkSession.sparkContext.broadcast(lm)
 
-    def cut(batches):
-        sub = Subwords(ranks_path, pattern)
+    def count(batches):
+        lm, total = shared.value, np.zeros(-(-size // CELLS) * CELLS, np.int64)
+        for x, y in _windows_of(batches, lm, Subwords(ranks_path, pattern)):
+            for cells in getattr(lm, kind)(x, y):
+                np.add.at(total, cells, 1)
+        for k in np.flatnonzero(total.reshape(-1, CELLS).any(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([zlib.compress(total[k * CELLS : (k + 1) * CELLS].tobytes(), 1)], pa.binary())], ["k", "n"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
         for b in batches:
-            for t in common.texts_of(b):
-                ids, _ = sub.ids_of(sub.codes_of(words_of(t)))
-                x, y, _ = windows(ids, np.array([len(ids)]), lm.bos, lm.pad)
-                yield pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w in np.hstack([x, y])[:: max(1, len(x) // 64)]], pa.binary())], ["w"])
+            for k, n in zip(b.column("k").to_pylist(), b.column("n").to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(zlib.decompress(n), np.int64)
+        for k, n in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([zlib.compress(n.tobytes(), 1)], pa.binary())], ["k", "n"])
+
+    out = np.zeros(-(-size // CELLS) * CELLS, np.int64)
+    for r in train.select("text").mapInArrow(count, "k long, n binary").repartition("k").mapInArrow(add, "k long, n binary").collect():  # at most the cells
+        out[r["k"] * CELLS : (r["k"] + 1) * CELLS] = np.frombuffer(zlib.decompress(r["n"]), np.int64)
+    return out[:size]
+
+
+def _fit(train: DataFrame, n_texts: int, lm: AttentionLM, ranks_path: str, pattern: str) -> None:
+    """Classes, pairs and weights from all windows of all training texts."""
+    s = lm.s
+    if not n_texts:
+        lm.count(np.zeros((s.classes + 1) * len(lm.label), np.int64))
+        lm.start()
+        return
+    lm.cluster(_table(train, lm, "seen", len(lm.top) * SEEN, ranks_path, pattern))
+    pairs = _table(train, lm, "paired", (s.classes + 1) * len(lm.label), ranks_path, pattern)
+    lm.start()
+    about = int(lm.counts.sum()) // HALF + n_texts // 2 + 1  # windows
+    passes = -(-s.steps * s.batch // about)
+    tasks = max(1, min(train.rdd.getNumPartitions(), about // (s.steps * s.batch)))  # a task makes enough steps of its own
+    each = max(1, about * passes // (tasks * s.rounds))
+    for k in range(s.rounds):
+        _round(train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(s.rounds)) == k).select("text").coalesce(tasks), lm, k, passes, each, ranks_path, pattern)
+    lm.count(pairs)
+
+
+def _round(texts: DataFrame, lm: AttentionLM, k: int, passes: int, each: int, ranks_path: str, pattern: str) -> None:
+    """Each task descends from the same weights on all windows of its texts; then the weights are averaged, by windows, and rows of the embedding by how often a task met them."""
+    shared, d = texts.sparkSession.sparkContext.broadcast(lm), lm.s.dim
+    others = [x for x in lm.params if x != "e"]
+
+    def descend(batches):
+        lm, part = shared.value, TaskContext.get().partitionId()
+        start, lm.params = lm.params, {x: v.copy() for x, v in lm.params.items()}
+        descent, held, seen = Descent(lm, part * lm.s.rounds + k), [], 0
+
+        def run():
+            descent.run(*(np.concatenate(z) for z in zip(*held, strict=True)), passes, lambda done: (k + min(1.0, done / each)) / lm.s.rounds)
+            held.clear()
 
-    chosen = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < share).select("text")
-    got = []
-    for r in chosen.mapInArrow(cut, "w binary").toLocalIterator():
-        got.append(bytes(r["w"]))
-        if len(got) >= settings.windows:
-            break
-    both = np.frombuffer(b"".join(sorted(got)), np.int64).reshape(-1, 3 * HALF)
-    return both[:, : 2 * HALF], both[:, 2 * HALF :]
+        for x, y in _windows_of(batches, lm, Subwords(ranks_path, pattern)):
+            for at in range(0, len(x), HELD):
+                held.append((x[at : at + HELD], y[at : at + HELD]))
+                seen += len(held[-1][0])
+                if sum(len(h[0]) for h in held) >= HELD:
+                    run()
+        if held:
+            run()
+        p, lm.params = lm.params, start  # the worker may keep the broadcast model for another task
+        if seen:
+            e = np.hstack([p["e"], descent.met[:, None]]).astype(np.float32)
+            rest = np.concatenate([*(p[x].ravel() for x in others), [seen]]).astype(np.float32)
+            values = [rest, *(e[at : at + EMBEDDED] for at in range(0, len(e), EMBEDDED))]
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int64()), pa.array([part] * len(values), pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())], ["chunk", "part", "v"])
+
+    def add(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, v in zip(b.column("chunk").to_pylist(), b.column("v").to_pylist(), strict=True):
+                v = np.frombuffer(v, np.float32).astype(np.float64).reshape(-1, d + 1) if chunk else np.frombuffer(v, np.float32).astype(np.float64)[None]
+                v[:, :-1] *= v[:, -1:]
+                total[chunk] = total.get(chunk, 0) + v
+        for chunk, v in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([v.tobytes()], pa.binary())], ["chunk", "v"])
+
+    summed = texts.mapInArrow(descend, "chunk long, part long, v binary").repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(add, "chunk long, v binary")
+    for r in summed.collect():  # the weights once
+        v = np.frombuffer(r["v"], np.float64)
+        if r["chunk"]:
+            v, at = v.reshape(-1, d + 1), (r["chunk"] - 1) * EMBEDDED
+            met = v[:, -1] > 0
+            lm.params["e"][at : at + len(v)][met] = v[met, :-1] / v[met, -1:]
+        else:
+            v, at = v[:-1] / v[-1], 0
+            for x in others:
+                n = lm.params[x].size
+                lm.params[x] = v[at : at + n].reshape(lm.params[x].shape).astype(np.float32)
+                at += n
 
 
 def score_documents(docs: DataFrame, trained, ranks_path: str, pattern: str, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -364,7 +533,7 @@ def score_documents(docs: DataFrame, trained, ranks_path: str, pattern: str, set
     counts = scratch.write(_word_counts(train), "counts")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("word") == END, F.col("c"))), F.lit(0)).alias("texts")).first()
     lm = AttentionLM(_subword_counts(counts, ranks_path, pattern), settings)
-    lm.fit(*_training_windows(train, totals["texts"], lm, settings, ranks_path, pattern))
+    _fit(train, totals["texts"], lm, ranks_path, pattern)
     hot = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(HOT).toLocalIterator()}
     shared = spark.sparkContext.broadcast((lm.ready(), hot))
 
