@@ -36,3 +36,15 @@ def test_lm_weights_learn_from_every_window(learned):
     first = (np.random.default_rng(lm.s.seed).standard_normal((lm.rows, lm.s.dim)) * 0.5).astype(np.float32)
     met = np.unique(np.concatenate([t[:-1] for t in texts]))
     assert len(met) > 300 and (lm.params["e"] != first)[lm.row[met]].any(1).all()
+
+
+def test_lm_pairs_and_classes_count_every_text(learned):
+    lm, texts = learned
+    wanted = Counter((lm.s.classes if k == 0 else int(lm.label[t[k - 1]]), int(t[k])) for t in texts for k in range(len(t)))
+    assert {(int(a), int(b)): int(lm.pairs[a, b]) for a, b in np.argwhere(lm.pairs)} == wanted
+    x, y, _ = attention_lm.windows(np.concatenate(texts), np.array([len(t) for t in texts]), lm.bos, lm.pad)
+    seen, label = np.zeros(len(lm.top) * attention_lm.SEEN, np.int64), lm.label.copy()
+    for cells in lm.seen(x, y):
+        np.add.at(seen, cells, 1)
+    lm.cluster(seen)
+    assert (lm.label == label).all()
