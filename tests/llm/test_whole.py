@@ -48,3 +48,8 @@ def test_lm_pairs_and_classes_count_every_text(learned):
         np.add.at(seen, cells, 1)
     lm.cluster(seen)
     assert (lm.label == label).all()
+
+
+def test_lm_sees_at_least_17_ids_back():
+    x, _, _ = attention_lm.windows(np.arange(100), np.array([100]), 900, 901)
+    assert x.shape[1] >= 32

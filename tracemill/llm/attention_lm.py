@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tracemill.llm import common
 
-HALF = 12
+HALF = 16
 #: The end token among words: no word holds white space.
 END = b"\n"
 #: Words a worker keeps with their subwords; beyond that it starts anew, so memory is bounded.
