@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill.llm import attention_lm
+from tracemill.llm import attention_lm, cross_polytope
 
 path = public_tokenizers.path
 
@@ -53,3 +53,12 @@ def test_lm_pairs_and_classes_count_every_text(learned):
 def test_lm_sees_at_least_17_ids_back():
     x, _, _ = attention_lm.windows(np.arange(100), np.array([100]), 900, 901)
     assert x.shape[1] >= 32
+
+
+def test_repeated_rows_take_one_place(spark):
+    x = np.random.default_rng(3).standard_normal((60, 8)) * 0.01 + 1
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    near = int(np.argsort(((x - x[0]) ** 2).sum(1))[1])
+    got = cross_polytope.search(spark.createDataFrame(rows + [rows[near]] * 30, "vec_id long, embedding array<double>").coalesce(1)).collect()
+    d = ((x - x[0]) ** 2).sum(1)
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == np.argsort(d)[1:11].tolist()

@@ -63,15 +63,17 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def best(query: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest rows by exact Euclidean distance, ties to smaller ids."""
-    if len(ids) > 4 * k:  # far rows go by the expanded square, with room for its rounding
+    """The k nearest rows by exact Euclidean distance, ties to smaller ids; of rows with equal id and distance one counts."""
+    if len(ids) > 4 * k and len(np.unique(ids)) == len(ids):  # far rows go by the expanded square, with room for its rounding
         scale = (query * query).sum() + (x * x).sum(1)
         rough, room = scale - 2 * (x @ query), 1e-12 * scale
         bound = np.partition(rough + room, k - 1)[k - 1]
         near = rough - room <= bound
         x, ids = x[near], ids[near]
     d = np.sqrt(((x - query) ** 2).sum(1))
-    order = np.lexsort((ids, d))[:k]
+    order = np.lexsort((ids, d))
+    a, b = ids[order], d[order]
+    order = order[np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])][:k]
     return ids[order], d[order]
 
 
