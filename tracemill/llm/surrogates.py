@@ -214,7 +214,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", count_col: str |
 
     text_key, segs, news = free("text_key"), free("segs"), free("news")
     text = docs[text_col]
-    hint = text.rlike("[0-9@]") | ((F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(SECRET_LABEL)) | text.rlike(TITLE_START + TITLE + " ")
+    hint = text.rlike("[0-9@]") | ((F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(SECRET_LABEL)) | text.rlike(TITLE_START + TITLE + " ") | F.contains(text, F.lit("AKIA")) | F.contains(text, F.lit("ASIA"))
     hit = F.coalesce(hint & text.rlike(MENTION), F.lit(False))
     counted = [count_col] if count_col else []
     clean = docs.where(~hit)
