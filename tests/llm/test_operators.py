@@ -309,49 +309,97 @@ def test_packing_rows(spark, odd):
 
 
 def test_windows_cover_each_token_once():
-    lengths = np.array([1, 11, 12, 13, 40])
-    ids = np.arange(lengths.sum())
-    x, y, text = attention_lm.windows(ids, lengths, 900, 901)
-    assert sorted(y[y >= 0]) == ids.tolist() and (np.bincount(text, weights=(y >= 0).sum(1)) == lengths).all()
+    rng = np.random.default_rng(5)
+    lengths = rng.integers(1, 90, 40)
+    ids = rng.integers(0, 900, lengths.sum())
+    x, y, text, first = attention_lm.windows(ids, lengths, 900, 901)
+    half = attention_lm.HALF
+    assert sorted(y[y >= 0]) == sorted(ids) and (np.bincount(text, weights=(y >= 0).sum(1)) == lengths).all()
+    assert (x[first, :half] == 901).all() and (x[first, half] == 900).all()
     for row, targets in zip(x, y, strict=True):
-        now = row[attention_lm.HALF :]
-        for k in range(1, attention_lm.HALF):
-            assert targets[k] < 0 or now[k] == targets[k - 1]
+        assert all(targets[k] < 0 or row[half + k] == targets[k - 1] for k in range(1, half))
+    x, y, starts = attention_lm.whole(ids, lengths, 900, 901)
+    assert y[y >= 0].tolist() == ids.tolist() and starts.sum() == len(lengths) and (x[starts, :half] == 901).all()
+
+
+def direct(lm, text):
+    """The model's log10 probability of one text, place by place, in double precision."""
+    p, half, d, total = lm.params, attention_lm.HALF, lm.s.dim, 0.0
+    q, k, v, s = (p["w"][:, i * d : (i + 1) * d].astype(float) for i in range(4))
+    before = [lm.bos, *text[:-1]]
+    for at, token in enumerate(text):
+        low = max(0, (at // half - 1) * half)
+        rows = lm.row[before[low : at + 1]]
+        places = np.arange(low, at + 1) - (at // half - 1) * half
+        x = p["e"][rows].astype(float) + p["p"][places]
+        a = np.exp(np.clip(x[-1] @ q @ (x @ k).T, -20, 20))
+        h = np.tanh(a / a.sum() @ (x @ v) + x[-1] @ s + p["b"])
+        logits = h @ p["o"] + p["c"] + lm.follow[rows[-1]]
+        column = lm.column[token]
+        total += logits[lm.label[column]] - np.log(np.exp(logits).sum()) + lm.within[rows[-1], column] + lm.own[token]
+    return total / np.log(10)
+
+
+def test_lm_scores_equal_a_direct_pass_and_sum_to_one():
+    rng = np.random.default_rng(2)
+    lengths = np.array([70, 3, 16, 200, 33])
+    ids = rng.zipf(1.5, lengths.sum()) % 60
+    lm = attention_lm.AttentionLM(np.bincount(ids, minlength=60), attention_lm.Settings(dim=6, classes=7, embedded=25, buckets=4, steps=30))
+    lm.fit(ids, lengths)
+    texts = np.split(ids, lengths.cumsum()[:-1])
+    got = lm.ready().score(ids, lengths)
+    assert got == pytest.approx([direct(lm, t.tolist()) for t in texts], rel=1e-4)
+    assert lm.ready().score(texts[3], lengths[3:4])[0] == got[3]
+    start = texts[0][:20].tolist()
+    assert sum(10 ** (direct(lm, [*start, t]) - direct(lm, start)) for t in range(60)) == pytest.approx(1, rel=1e-4)
 
 
 def test_gradients_match_differences():
-    s = attention_lm.Settings(dim=4, classes=5, embedded=20, buckets=4, steps=0)
+    s = attention_lm.Settings(dim=4, classes=5, embedded=20, buckets=4, steps=1)
     lm = attention_lm.AttentionLM(np.arange(1, 31), s)
     rng = np.random.default_rng(1)
-    x, y, _ = attention_lm.windows(rng.integers(0, 30, 50), np.array([20, 30]), lm.bos, lm.pad)
-    lm.fit(x, y)
-    lm.params = {k: v.astype(np.float64) for k, v in lm.params.items()}
-    rows = lm.row[x]
+    ids, lengths = rng.integers(0, 30, 50), np.array([20, 30])
+    lm.fit(ids, lengths)
+    lm.params = {k: v.astype(np.float64) + 0.1 * rng.standard_normal(v.shape) for k, v in lm.params.items()}
+    x, y, starts = attention_lm.whole(ids, lengths, lm.bos, lm.pad)
+    rows, columns = lm.row[x], np.where(y >= 0, lm.column[y], -1)
 
     def loss():
         p, h = lm.params, attention_lm.HALF
         e = p["e"][rows] + p["p"]
-        a = np.exp((e[:, h:] @ p["q"] * 0.5) @ (e @ p["k"]).transpose(0, 2, 1)) * attention_lm.CAUSAL * (rows != lm.rows - 1)[:, None, :]
+        q, k, v, own = (e @ p["w"][:, i * 4 : i * 4 + 4] for i in range(4))
+        a = np.exp(q @ k.transpose(0, 2, 1)) * attention_lm.CAUSAL
+        a[starts, h:, :h] = 0
         a /= a.sum(2, keepdims=True)
-        logits = np.tanh(e[:, h:] @ p["s"] + a @ (e @ p["v"]) + p["b"]) @ p["o"] + p["c"]
+        logits = np.tanh(own + a @ v + p["b"]) @ p["o"] + p["c"] + lm.follow[rows]
         log_p = logits - np.log(np.exp(logits).sum(2, keepdims=True))
-        ok = y >= 0
-        return -np.take_along_axis(log_p, lm.label[np.maximum(y, 0)][:, :, None], 2)[:, :, 0][ok].mean()
+        return -np.take_along_axis(log_p, lm.label[np.maximum(columns, 0)][:, :, None], 2)[:, :, 0][y >= 0].mean()
 
-    for name, g in lm._gradients(rows, y).items():
+    met, gradients = attention_lm.Descent(lm).gradients(rows, columns, starts)
+    for name, g in gradients.items():
         at = np.unravel_index(np.abs(g).argmax(), g.shape)
-        old, eps = lm.params[name][at], 1e-5
-        lm.params[name][at] = old + eps
+        place = (met[at[0]], *at[1:]) if name == "e" else at
+        old, eps = lm.params[name][place], 1e-5
+        lm.params[name][place] = old + eps
         up = loss()
-        lm.params[name][at] = old - eps
+        lm.params[name][place] = old - eps
         down = loss()
-        lm.params[name][at] = old
+        lm.params[name][place] = old
         assert (up - down) / (2 * eps) == pytest.approx(g[at], rel=1e-3, abs=1e-6), name
 
 
+def test_lm_does_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.3, n) % 300) for n in rng.integers(1, 300, 60)]
+    small = attention_lm.Settings(dim=8, classes=8, steps=20, batch=16)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    runs = [{r["doc_id"]: r["score"] for r in attention_lm.score_documents(docs.repartition(n), F.col("doc_id") % 5 > 0, path("byte_bpe_50k.tiktoken"), small).collect()} for n in (1, 7, 40)]
+    assert runs[0] == runs[1] == runs[2]
+
+
 def test_lm_base_scores(spark, odd):
     small = attention_lm.Settings(dim=8, classes=8, steps=20)
-    args = (path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, small)
+    args = (path("byte_bpe_50k.tiktoken"), small)
     texts = ODD + ["one two three", "four never seen"]
     out = {r["doc_id"]: r for r in attention_lm.score_documents(documents(spark, texts), F.col("doc_id") < 10, *args).collect()}
     words = {i: attention_lm.words_of(t or "") for i, t in enumerate(texts)}

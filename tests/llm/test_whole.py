@@ -1,7 +1,5 @@
 """That operators learn from, look at and return all of their input."""
 
-from collections import Counter
-
 import numpy as np
 import public_tokenizers
 import pytest
@@ -22,13 +20,13 @@ def learned(spark):
     rng = np.random.default_rng(8)
     texts = [" ".join(f"w{i}" for i in rng.integers(0, 4000, n)) for n in (6000, 9000, 3, 200, 1, 40)]
     small = attention_lm.Settings(dim=8, classes=8, steps=20)
-    args = path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    ranks = path("byte_bpe_50k.tiktoken")
     got, ready = [], attention_lm.AttentionLM.ready
     with pytest.MonkeyPatch.context() as m:
         m.setattr(attention_lm.AttentionLM, "ready", lambda lm: got.append(lm) or ready(lm))
-        assert attention_lm.score_documents(documents(spark, texts).repartition(3), F.lit(True), *args, small).count() == len(texts)
-    sub = attention_lm.Subwords(*args)
-    return got[0], [sub.ids_of(sub.codes_of(attention_lm.words_of(t)))[0] for t in texts]
+        assert attention_lm.score_documents(documents(spark, texts).repartition(3), F.lit(True), ranks, small).count() == len(texts)
+    sub = attention_lm.Subwords(ranks)
+    return got[0], [sub.ids_of(attention_lm.words_of(t)).astype(np.int64) for t in texts]
 
 
 def test_lm_weights_learn_from_every_window(learned):
@@ -38,20 +36,21 @@ def test_lm_weights_learn_from_every_window(learned):
     assert len(met) > 300 and (lm.params["e"] != first)[lm.row[met]].any(1).all()
 
 
-def test_lm_pairs_and_classes_count_every_text(learned):
+def test_lm_pairs_count_every_text(learned):
     lm, texts = learned
-    wanted = Counter((lm.s.classes if k == 0 else int(lm.label[t[k - 1]]), int(t[k])) for t in texts for k in range(len(t)))
-    assert {(int(a), int(b)): int(lm.pairs[a, b]) for a, b in np.argwhere(lm.pairs)} == wanted
-    x, y, _ = attention_lm.windows(np.concatenate(texts), np.array([len(t) for t in texts]), lm.bos, lm.pad)
-    seen, label = np.zeros(len(lm.top) * attention_lm.SEEN, np.int64), lm.label.copy()
-    for cells in lm.seen(x, y):
-        np.add.at(seen, cells, 1)
-    lm.cluster(seen)
-    assert (lm.label == label).all()
+    ids, lengths = np.concatenate(texts), np.array([len(t) for t in texts])
+    assert (lm.counts == np.bincount(ids, minlength=len(lm.counts))).all()
+    wanted = np.zeros((lm.rows, lm.columns))
+    for t in texts:
+        for a, b in zip([lm.bos, *t[:-1]], t, strict=True):
+            wanted[lm.row[a], lm.column[b]] += 1
+    again = attention_lm.AttentionLM(lm.counts, lm.s)
+    again.count(wanted)
+    assert (again.label == lm.label).all() and (again.within == lm.within).all() and (again.follow == lm.follow).all()
 
 
 def test_lm_sees_at_least_17_ids_back():
-    x, _, _ = attention_lm.windows(np.arange(100), np.array([100]), 900, 901)
+    x, _, _, _ = attention_lm.windows(np.arange(100), np.array([100]), 900, 901)
     assert x.shape[1] >= 32
 
 

@@ -1,12 +1,15 @@
 """Scoring of texts by a small causal self-attention model, trained and run in numpy on subword ids.
 
-A text is its words, then an end token; words become subword ids of a public byte-level vocabulary. The text is
-covered by overlapping windows: each half window of targets attends to itself, causally, and to the half before,
-so every token is scored once with at least half a window behind it. The model gives the next token's class by
-attention, and the token within its class by counts over all training texts. Word counts, subword counts, the counts
-behind the classes, pair counts and the base score cover the whole corpus. The attention weights are fitted on every
-window of every training text: in each round the tasks descend on a share of their texts and their weights are
-averaged. They depend on how the table is dealt to tasks; the counts do not.
+A text is its words, then an end token; the words, joined by blanks, become subword ids of a public byte-level
+vocabulary, once, in a written table. The text is covered by overlapping windows: each half window of targets attends
+to itself, causally, and to the half before, so every token is scored once with at least half a window behind it.
+Counts of all pairs of neighbours in the training texts say which class of ids follows an id, and which id of that
+class; attention over the window moves the classes from there. Word counts, subword counts, pairs and the base score
+cover all training texts, and the attention weights descend on every window of every training text.
+
+Each training text belongs to a round and a group by a hash of its id and its subwords. In a round every group
+descends from the same weights, in an order that the hash fixes, and the weights are averaged. So the model does not
+depend on how the table is dealt to tasks.
 """
 
 from __future__ import annotations
@@ -20,38 +23,38 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import tiktoken
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm import common
 
 HALF = 16
+WIDE = 2 * HALF
 #: The end token among words: no word holds white space.
 END = b"\n"
-#: Words a worker keeps with their subwords; beyond that it starts anew, so memory is bounded.
-KNOWN = 150_000
+#: Longer words are encoded in parts of so many characters.
+LONG = 256
 #: The most frequent words, sent to all tasks; counts of the others are joined. A bound on that broadcast, not on the result.
 HOT = 1 << 17
-#: Columns of the table from which ids are clustered: a half for the id before, a half for those around.
-SEEN = 512
 #: Cells of a table, and rows of the embedding, that tasks hand on together.
 CELLS, EMBEDDED = 4096, 256
 #: Windows a task holds and shuffles before it descends on them.
-HELD = 1 << 15
+HELD = 1 << 14
+#: Windows worked out together, few enough that their arrays stay in the cache. Always as many, so that rounding does not depend on a text's neighbours.
+TOGETHER = 16
 
 
 @dataclass(frozen=True)
 class Settings:
     dim: int = 24
     classes: int = 64
-    embedded: int = 8192  # ids with an embedding of their own; the others share `buckets`
+    embedded: int = 2048  # ids with an embedding and pair counts of their own; the others share `buckets`
     buckets: int = 256
-    steps: int = 1200  # of gradient descent at least, by repeated passes if need be; all windows are used at least once
-    rounds: int = 4  # each text is in one; after each the tasks' weights are averaged
-    batch: int = 256
-    rate: float = 0.006
-    prior: float = 20.0  # pairs that the counts alone stand for
+    steps: int = 2400  # of descent by each group at least, by repeated passes if need be; all windows are used at least once
+    rounds: int = 4  # each text is in one; after each the groups' weights are averaged
+    batch: int = 128  # windows; a multiple of TOGETHER
+    rate: float = 0.015
+    prior: float = 5.0  # pairs that the counts alone stand for
     seed: int = 3
 
 
@@ -63,78 +66,77 @@ def words_of(text: str) -> list[bytes]:
 
 
 @functools.lru_cache(maxsize=1)
-def _encoding(ranks_path: str, pattern: str) -> tiktoken.Encoding:
+def _encoding(ranks_path: str) -> tiktoken.Encoding:
+    """Each word, with the blank before it, is merged by itself."""
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("subwords", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("subwords", pat_str=" [^ ]+", mergeable_ranks=ranks, special_tokens={})
 
 
 class Subwords:
-    """Words as codes, and the flat subword ids of many words at once."""
+    """Subword ids of a text's words."""
 
-    def __init__(self, ranks_path: str, pattern: str):
-        self.encoding = _encoding(ranks_path, pattern)
+    def __init__(self, ranks_path: str):
+        self.encoding = _encoding(ranks_path)
         self.size = self.encoding.max_token_value + 2
         self.end = self.size - 1
-        self.spaced = np.array([t[:1] == b" " for _, t in sorted((self.encoding.encode_single_token(t), t) for t in self.encoding.token_byte_values())])
-        self.reset()
-
-    def reset(self) -> None:
-        self.codes: dict[bytes, int] = {END: 0}
-        self.words = [END]
-        self.flat, self.starts, self.lengths = np.array([self.end]), np.array([0]), np.array([1])
-
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words in a row and how many each has. Joined by spaces they are encoded at once: each word then begins with the one token that begins with a space."""
-        ids = np.array(self.encoding.encode_ordinary(" " + " ".join(words)), np.int64)
-        first = np.flatnonzero(self.spaced[ids])
-        if len(first) == len(words):
-            return ids, np.diff(first, append=len(ids))
-        if len(words) == 1:  # with other white space inside
-            return ids, np.array([len(ids)])
-        half = len(words) // 2
-        parts = [self._encode(words[:half]), self._encode(words[half:])]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-
-    def codes_of(self, words: list[bytes]) -> np.ndarray:
-        if len(self.codes) > KNOWN:
-            self.reset()
-        new = list(set(words) - self.codes.keys())
-        if new:
-            ids, n = self._encode([w.decode("utf-8", "replace") for w in new])
-            self.codes.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
-            self.words += new
-            self.starts = np.concatenate([self.starts, len(self.flat) + n.cumsum() - n])
-            self.lengths = np.concatenate([self.lengths, n])
-            self.flat = np.concatenate([self.flat, ids])
-        return np.fromiter(map(self.codes.__getitem__, words), np.int64, len(words))
-
-    def ids_of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words in a row, and how many each has."""
-        n = self.lengths[codes]
-        ends = n.cumsum()
-        return self.flat[np.repeat(self.starts[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)], n
-
-
-def windows(ids: np.ndarray, lengths: np.ndarray, bos: int, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs (2 * HALF wide), targets (HALF wide, -1 for none) and text of each window, for texts of these many ids in a row."""
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+
+    def ids_of(self, words: list[bytes]) -> np.ndarray:
+        """Of words that end with the end token."""
+        if len(words) == 1:
+            return np.array([self.end], self.dtype)
+        text = b" ".join(words[:-1]).decode("utf-8", "replace")
+        if len(max(words, key=len)) > LONG:
+            text = " ".join(w[at : at + LONG] for w in text.split(" ") for at in range(0, len(w), LONG))
+        ids = self.encoding.encode_ordinary(" " + text)
+        ids.append(self.end)
+        return np.array(ids, self.dtype)
+
+
+def _ids_in(batch: pa.RecordBatch, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts of a batch in a row, and how many each has."""
+    column = batch.column("ids").cast(pa.binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    flat = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(dtype) if data else np.empty(0, dtype)
+    return flat.astype(np.int64), np.diff(offsets).astype(np.int64) // dtype.itemsize
+
+
+def windows(ids: np.ndarray, lengths: np.ndarray, bos: int, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs (WIDE), targets (HALF wide, -1 for none), text of each window, and windows with nothing before their targets' half, for texts of these many ids in a row."""
+    inputs, targets, blocks, first = _blocks(ids, lengths, bos, pad)
+    text = np.repeat(np.arange(len(lengths)), blocks)
+    k = np.arange(len(text)) + text + 1  # each text has an empty block before it
+    return np.hstack([inputs[k - 1], inputs[k]]), targets[k], text, first - np.arange(len(lengths))
+
+
+def _blocks(ids: np.ndarray, lengths: np.ndarray, bos: int, pad: int, even: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs and targets in blocks of HALF, an empty one before each text; blocks of each text and where its empty one is. With even, a text has an odd number of blocks beside the empty one."""
     blocks = -(-lengths // HALF)
-    first = blocks.cumsum() - blocks + np.arange(len(lengths))  # each text has an empty block before it
+    if even:
+        blocks += 1 - blocks % 2
+    first = blocks.cumsum() - blocks + np.arange(len(lengths))
     total = int(blocks.sum()) + len(lengths)
-    inputs, targets = np.full(total * HALF, pad, np.int64), np.full(total * HALF, -1, np.int64)
+    inputs, targets = np.full(total * HALF + 1, pad, np.int64), np.full(total * HALF, -1, np.int64)
     starts = (first + 1) * HALF
     at = np.repeat(starts - (lengths.cumsum() - lengths), lengths) + np.arange(len(ids))
     targets[at] = ids
-    last = starts + lengths - 1
-    inputs[np.setdiff1d(at, last, assume_unique=True) + 1] = ids[np.setdiff1d(np.arange(len(ids)), lengths.cumsum() - 1, assume_unique=True)]
+    inputs[at + 1] = ids
+    inputs[starts + lengths] = pad
     inputs[starts] = bos
-    inputs, targets = inputs.reshape(-1, HALF), targets.reshape(-1, HALF)
-    text = np.repeat(np.arange(len(lengths)), blocks)
-    k = np.arange(len(text)) + text + 1
-    return np.hstack([inputs[k - 1], inputs[k]]), targets[k], text
+    return inputs[:-1].reshape(-1, HALF), targets.reshape(-1, HALF), blocks, first
+
 
+def whole(ids: np.ndarray, lengths: np.ndarray, bos: int, pad: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows to learn from: WIDE inputs and targets, each token a target once, and which windows begin with a text's empty block."""
+    inputs, targets, blocks, first = _blocks(ids, lengths, bos, pad, even=True)
+    starts = np.zeros(len(inputs) // 2, bool)
+    starts[first // 2] = True
+    return inputs.reshape(-1, WIDE), targets.reshape(-1, WIDE), starts
 
-CAUSAL = np.hstack([np.ones((HALF, HALF)), np.tril(np.ones((HALF, HALF)))]).astype(np.float32)
+
+CAUSAL = np.tril(np.ones((WIDE, WIDE), np.float32))
 
 
 class AttentionLM:
@@ -143,42 +145,50 @@ class AttentionLM:
         self.s, size = settings, len(counts)
         top = np.argsort(-counts, kind="stable")[: settings.embedded]
         top = top[counts[top] > 0]
-        self.row = (len(top) + np.arange(size) % settings.buckets).astype(np.int64)
-        self.row[top] = np.arange(len(top))
-        self.rows = len(top) + settings.buckets + 2
+        self.counts, self.top, n = counts, top, len(top)
+        self.row = (n + np.arange(size + 2) % settings.buckets).astype(np.int64)
+        self.row[top] = np.arange(n)
+        self.rows = n + settings.buckets + 2
         self.bos, self.pad = size, size + 1
-        self.row = np.concatenate([self.row, [self.rows - 2, self.rows - 1]])
-        self.counts, self.top = counts, top
-        self.label = np.full(size, settings.classes - 1, np.int64)
+        self.row[size:] = self.rows - 2, self.rows - 1
+        self.column = np.full(size, n, np.int64)  # ids without pair counts of their own share the last one
+        self.column[top] = np.arange(n)
+        self.columns = n + 1
+        mass = counts + 1.0
+        self.share = np.bincount(self.column, weights=mass, minlength=self.columns)
+        self.own = np.where(self.column == n, np.log(mass / self.share[-1]), 0).astype(np.float32)
+        self.label = np.full(self.columns, settings.classes - 1, np.int64)
         self.params: dict[str, np.ndarray] = {}
-        self.pairs = np.zeros((settings.classes + 1, 1), np.float32)  # until counted
-
-    def seen(self, inputs: np.ndarray, targets: np.ndarray) -> Iterator[np.ndarray]:
-        """Cells of a table of len(top) x SEEN: what each embedded id follows, and what it stands among."""
-        r, half = self.row[np.maximum(targets, 0)], SEEN // 2
-        ok = (targets >= 0) & (r < len(self.top))
-        at = r[ok] * SEEN
-        yield at + self.row[inputs[:, HALF:][ok]] % half
-        per = ok.sum(1)
-        for shift in range(0, 2 * HALF, 2):
-            yield at + np.repeat(half + self.row[inputs[:, shift]] % half, per)
-
-    def paired(self, inputs: np.ndarray, targets: np.ndarray) -> Iterator[np.ndarray]:
-        """Cells of a table of classes + 1 x ids: the class of the token before, and the token."""
-        ok = targets >= 0
-        yield self.after(inputs[:, HALF:][ok]) * len(self.label) + targets[ok]
-
-    def cluster(self, seen: np.ndarray) -> None:
-        """Classes of ids that follow similar ids and stand among similar ones, by k-means."""
+
+    def paired(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Cells of a table of rows x columns: the id before, the start of a text included, and the id."""
+        before = np.concatenate([[self.bos], ids[:-1]])
+        before[(lengths.cumsum() - lengths)[lengths > 0]] = self.bos
+        return self.row[before] * self.columns + self.column[ids]
+
+    def count(self, pairs: np.ndarray) -> None:
+        """Classes and the tables that follow from the counts of all pairs."""
+        pairs = pairs.reshape(self.rows, self.columns).astype(np.float32)
+        self._cluster(pairs)
+        c, prior, share = self.s.classes, self.s.prior, self.share.astype(np.float32)
+        by_class = np.zeros((c, self.rows), np.float32)
+        np.add.at(by_class, self.label, pairs.T)
+        of_class = np.bincount(self.label, weights=share, minlength=c).astype(np.float32)
+        follow = by_class.T + prior * np.maximum(of_class, 1e-3) / of_class.sum()
+        self.follow = np.log(follow / follow.sum(1, keepdims=True)).astype(np.float32)
+        alone = share / of_class[self.label]
+        self.within = np.log((pairs + prior * alone) / (by_class.T[:, self.label] + prior)).astype(np.float32)
+
+    def _cluster(self, pairs: np.ndarray) -> None:
+        """Classes of ids that follow similar ids and stand before similar ones, by k-means."""
         c, n = self.s.classes - 1, len(self.top)
         if n <= c:
-            self.label[self.top] = np.arange(n)
+            self.label[:n] = np.arange(n)
             return
         rng = np.random.default_rng(self.s.seed)
-        seen = seen.reshape(n, SEEN).astype(np.float32)
-        seen[:, SEEN // 2 :] /= HALF
-        weight = np.sqrt(seen.sum(1))
-        x = np.sqrt(seen / np.maximum(seen.sum(1, keepdims=True), 1))
+        weight = np.sqrt(pairs[:, :n].sum(0))
+        sides = [pairs[:, :n].T, pairs[:n]]
+        x = np.hstack([np.sqrt(z / np.maximum(z.sum(1, keepdims=True), 1)) for z in sides])
         centers = x[rng.choice(n, c, replace=False, p=weight / weight.sum() if (weight > 0).sum() >= c else None)]
         for _ in range(12):
             label = (x @ centers.T - (centers * centers).sum(1) / 2).argmax(1)
@@ -186,96 +196,94 @@ class AttentionLM:
                 rows = label == k
                 if weight[rows].sum():
                     centers[k] = np.average(x[rows], axis=0, weights=weight[rows])
-        self.label[self.top] = label
-
-    def after(self, ids: np.ndarray) -> np.ndarray:
-        """The class of the token before: the start of a text has one of its own."""
-        return np.where(ids < len(self.label), self.label[np.minimum(ids, len(self.label) - 1)], self.s.classes)
-
-    def fit(self, inputs: np.ndarray, targets: np.ndarray) -> None:
-        """What _fit does over a table, on windows at hand."""
-        for cells, size, use in ((self.seen, len(self.top) * SEEN, self.cluster), (self.paired, (self.s.classes + 1) * len(self.label), self.count)):
-            total = np.zeros(size, np.int64)
-            for c in cells(inputs, targets):
-                np.add.at(total, c, 1)
-            use(total)
-        self.start()
-        if len(inputs):
-            descent, passes = Descent(self), -(-self.s.steps * self.s.batch // len(inputs))
-            descent.run(inputs, targets, passes, lambda done: done / (passes * len(inputs)))
-
-    def count(self, pairs: np.ndarray) -> None:
-        self.pairs = pairs.reshape(self.s.classes + 1, -1).astype(np.float32)
+        self.label[:n] = label
 
     def start(self) -> None:
-        """The weights before any descent."""
-        s = self.s
-        rng, d = np.random.default_rng(s.seed), s.dim
+        """The weights before any descent: the classes are those of the pair counts."""
+        rng, d = np.random.default_rng(self.s.seed), self.s.dim
         w = lambda *shape, scale=1.0: (rng.standard_normal(shape) * scale).astype(np.float32)
-        mass = np.bincount(self.label, weights=self.counts + 1.0, minlength=s.classes)
-        self.params = {
-            "e": w(self.rows, d, scale=0.5), "p": w(2 * HALF, d, scale=0.2), "q": w(d, d, scale=d**-0.5), "k": w(d, d, scale=d**-0.5), "v": w(d, d, scale=d**-0.5),
-            "s": w(d, d, scale=d**-0.5), "b": np.zeros(d, np.float32), "o": w(d, s.classes, scale=0.1), "c": np.log(np.maximum(mass / mass.sum(), 1e-9)).astype(np.float32),
-        }
-
-    def _gradients(self, rows: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean loss over these windows; worked out for few at a time, whose arrays stay in the cache."""
-        d, e = self.s.dim, self.params["e"]
-        parts = [self._summed(rows[at : at + 32], targets[at : at + 32]) for at in range(0, len(rows), 32)]
-        cells = (rows.reshape(-1, 1) * d + np.arange(d)).ravel()
-        dx = np.concatenate([x.pop("x").ravel() for x in parts])
-        out = {k: sum(x[k] for x in parts) for k in parts[0]} | {"e": np.bincount(cells, dx, e.size).reshape(e.shape).astype(e.dtype)}
-        n = max(1, (targets >= 0).sum())
-        for g in out.values():
-            g /= n
-        return out
-
-    def _summed(self, rows: np.ndarray, targets: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of the summed loss; x is that of each input."""
-        p, d, n = self.params, self.s.dim, len(rows)
-        flat = lambda z: z.reshape(-1, z.shape[-1])
-        apart = lambda z: z.reshape(n, -1, z.shape[-1])
-        x = p["e"][rows]
+        self.params = {"e": w(self.rows, d, scale=0.5), "p": w(WIDE, d, scale=0.2), "w": w(d, 4 * d, scale=d**-0.5), "b": np.zeros(d, np.float32), "o": w(d, self.s.classes, scale=0.01), "c": np.zeros(self.s.classes, np.float32)}
+        self.params["w"][:, :d] *= d**-0.5
+
+    def fit(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """What _fit does over a table, on texts at hand."""
+        self.count(np.bincount(self.paired(ids, lengths), minlength=self.rows * self.columns))
+        self.start()
+        x, y, starts = whole(ids, lengths, self.bos, self.pad)
+        if len(x):
+            descent, passes = Descent(self), -(-self.s.steps * self.s.batch // len(x))
+            descent.run(x, y, starts, passes, lambda done: done / (passes * len(x)))
+
+    def ready(self) -> Scorer:
+        return Scorer(self)
+
+
+class Gradients:
+    """Of the summed loss over TOGETHER windows at a time, in arrays that are used again."""
+
+    def __init__(self, lm: AttentionLM, dtype: type = np.float32):
+        self.lm, d, n, c = lm, lm.s.dim, TOGETHER, lm.s.classes
+        room = lambda *shape: np.empty(shape, dtype)
+        self.x, self.z, self.dz, self.kt = room(n, WIDE, d), room(n * WIDE, 4 * d), room(n * WIDE, 4 * d), room(n, d, WIDE)
+        self.a, self.da, self.dat, self.h, self.dh = room(n, WIDE, WIDE), room(n, WIDE, WIDE), room(n, WIDE, WIDE), room(n, WIDE, d), room(n * WIDE, d)
+        self.l, self.follow, self.at = room(n * WIDE, c), np.empty((n * WIDE, c), np.float32), np.arange(n * WIDE)
+        self.ones, self.wide, self.each = np.ones(c, dtype), np.ones(WIDE, dtype), np.ones(n * WIDE, dtype)
+
+    def add(self, rows: np.ndarray, targets: np.ndarray, starts: np.ndarray, dx: np.ndarray, out: dict[str, np.ndarray]) -> None:
+        """rows: TOGETHER x WIDE rows of the embedding; targets: columns, or -1. dx takes the gradient of each input."""
+        p, d, n = self.lm.params, self.lm.s.dim, TOGETHER
+        x, z, a, h, dl, dh, dz, da = self.x, self.z, self.a, self.h, self.l, self.dh, self.dz, self.da
+        np.take(p["e"], rows, axis=0, out=x, mode="clip")
         x += p["p"]
-        y = np.ascontiguousarray(x[:, HALF:])
-        x2, y2 = flat(x), flat(y)
-        q, k, v = apart(y2 @ (p["q"] * d**-0.5)), apart(x2 @ p["k"]), apart(x2 @ p["v"])
-        a = q @ k.transpose(0, 2, 1)
-        np.minimum(a, 20, out=a)
+        x2 = x.reshape(-1, d)
+        np.matmul(x2, p["w"], out=z)
+        apart = lambda y, k: y.reshape(n, WIDE, 4 * d)[:, :, k * d : (k + 1) * d]
+        q, k, v = (apart(z, i) for i in range(3))
+        np.copyto(self.kt, k.transpose(0, 2, 1))
+        np.matmul(q, self.kt, out=a)
+        np.clip(a, -20, 20, out=a)
         np.exp(a, out=a)
         a *= CAUSAL
-        a *= (rows != self.rows - 1)[:, None, :]
-        a /= np.maximum(a.sum(2, keepdims=True), 1e-20)
-        h = y2 @ p["s"]
-        h += flat(a @ v)
-        h += p["b"]
-        np.tanh(h, out=h)
-        # only places with a target have a gradient
-        at = np.flatnonzero(targets.ravel() >= 0)
-        hit = h[at]
-        dl = hit @ p["o"]
+        a[starts, HALF:, :HALF] = 0  # the empty block; its own places have no targets
+        a /= (a @ self.wide)[:, :, None]
+        np.matmul(a, v, out=h)
+        h2 = h.reshape(-1, d)
+        h2 += z[:, 3 * d :]
+        h2 += p["b"]
+        np.tanh(h2, out=h2)
+        np.matmul(h2, p["o"], out=dl)
+        np.take(self.lm.follow, rows.ravel(), axis=0, out=self.follow, mode="clip")
+        dl += self.follow
         dl += p["c"]
-        dl -= dl.max(1, keepdims=True)
         np.exp(dl, out=dl)
-        dl /= dl.sum(1, keepdims=True)
-        dl[np.arange(len(at)), self.label[targets.ravel()[at]]] -= 1
-        dh = np.zeros_like(h)
-        dh[at] = (dl @ p["o"].T) * (1 - hit * hit)
-        dh3 = apart(dh)
-        da = dh3 @ v.transpose(0, 2, 1)
-        da -= np.einsum("ijk,ijk->ij", da, a)[:, :, None]
+        t = targets.ravel()
+        share = (t >= 0).astype(dl.dtype)
+        np.divide(share, dl @ self.ones, out=share)
+        dl *= share[:, None]
+        hit = self.at[t >= 0]
+        dl[hit, self.lm.label[t[hit]]] -= 1
+        out["o"] += h2.T @ dl
+        out["c"] += self.each @ dl
+        np.matmul(dl, p["o"].T, out=dh)
+        h2 *= h2
+        np.subtract(1, h2, out=h2)
+        dh *= h2
+        out["b"] += self.each @ dh
+        dh3 = dh.reshape(n, WIDE, d)
+        np.copyto(self.kt, v.transpose(0, 2, 1))
+        np.matmul(dh3, self.kt, out=da)
+        np.copyto(self.dat, a.transpose(0, 2, 1))
+        np.matmul(self.dat, dh3, out=apart(dz, 2))
         da *= a
-        dq, dk, dv = flat(da @ k), flat(da.transpose(0, 2, 1) @ q), flat(a.transpose(0, 2, 1) @ dh3)
-        dq *= d**-0.5
-        dx = apart(dk @ p["k"].T + dv @ p["v"].T)
-        dx[:, HALF:] += apart(dq @ p["q"].T + dh @ p["s"].T)
-        return {
-            "x": dx, "p": dx.sum(0), "q": y2.T @ dq, "k": x2.T @ dk, "v": x2.T @ dv, "s": y2.T @ dh,
-            "b": dh.sum(0), "o": hit.T @ dl, "c": dl.sum(0),
-        }
-
-    def ready(self) -> Scorer:
-        return Scorer(self)
+        a *= (da @ self.wide)[:, :, None]
+        da -= a
+        np.matmul(da, k, out=apart(dz, 0))
+        np.copyto(self.dat, da.transpose(0, 2, 1))
+        np.matmul(self.dat, q, out=apart(dz, 1))
+        dz[:, 3 * d :] = dh
+        np.matmul(dz, p["w"].T, out=dx)
+        out["p"] += dx.reshape(n, WIDE, d).sum(0)
+        out["w"] += x2.T @ dz
 
 
 class Descent:
@@ -283,92 +291,126 @@ class Descent:
 
     def __init__(self, lm: AttentionLM, seed: int = 0):
         self.lm, self.rng, self.t, self.done = lm, np.random.default_rng((lm.s.seed, seed)), 0, 0
-        self.m, self.v, self.room = ({k: np.zeros_like(x) for k, x in lm.params.items()} for _ in range(3))
+        kind = lm.params["e"].dtype
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in lm.params.items()} for _ in range(2))
+        self.work, self.dx = Gradients(lm, kind), np.empty((lm.s.batch * WIDE, lm.s.dim), kind)
         self.met = np.zeros(lm.rows)  # how often each row of the embedding was met
 
-    def run(self, inputs: np.ndarray, targets: np.ndarray, passes: int, progress: Callable[[int], float]) -> None:
+    def gradients(self, rows: np.ndarray, targets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Of the mean loss over a batch of windows or less; that of the embedding for the rows in them, which come first."""
+        g = {k: np.zeros_like(x) for k, x in self.lm.params.items() if k != "e"}
+        n = len(rows)
+        if n % TOGETHER:
+            more = TOGETHER - n % TOGETHER
+            rows, targets, starts = np.pad(rows, ((0, more), (0, 0)), constant_values=self.lm.rows - 1), np.pad(targets, ((0, more), (0, 0)), constant_values=-1), np.pad(starts, (0, more))
+        for at in range(0, len(rows), TOGETHER):
+            part = slice(at, at + TOGETHER)
+            self.work.add(rows[part], targets[part], starts[part], self.dx[at * WIDE : (at + TOGETHER) * WIDE], g)
+        flat = rows.ravel()
+        order = flat.astype(np.int32 if self.lm.rows > 1 << 15 else np.int16).argsort(kind="stable")
+        ranked = flat[order]
+        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        g["e"] = np.add.reduceat(self.dx[: len(flat)][order], first)
+        total = max(1, int((targets >= 0).sum()))
+        for x in g.values():
+            x /= total
+        return ranked[first], g
+
+    def run(self, inputs: np.ndarray, targets: np.ndarray, starts: np.ndarray, passes: int, progress: Callable[[int], float]) -> None:
         """Each window once in each pass; progress tells from the windows done how far the whole descent is."""
         s, p, m, v = self.lm.s, self.lm.params, self.m, self.v
-        rows = self.lm.row[inputs]
+        rows, columns = self.lm.row[inputs], np.where(targets >= 0, self.lm.column[targets], -1)
         self.met += np.bincount(rows.ravel(), minlength=len(self.met))
         for _ in range(passes):
-            for part in np.array_split(self.rng.permutation(len(rows)), max(1, len(rows) // s.batch)):
+            order = self.rng.permutation(len(rows))
+            for at in range(0, len(rows), s.batch):
+                part = order[at : at + s.batch]
                 self.t += 1
-                rate = s.rate * (1 - min(1.0, progress(self.done))) + 1e-4
+                rate = (s.rate * (1 - min(1.0, progress(self.done))) + 1e-4) * min(1, len(part) / s.batch)
                 self.done += len(part)
-                for k, g in self.lm._gradients(rows[part], targets[part]).items():
-                    step = self.room[k]
-                    m[k] *= 0.9
-                    m[k] += np.multiply(g, 0.1, out=step)
-                    v[k] *= 0.99
-                    np.multiply(g, g, out=step)
-                    step *= 0.01
-                    v[k] += step
-                    np.sqrt(v[k], out=step)
+                met, gradients = self.gradients(rows[part], columns[part], starts[part])
+                for k, g in gradients.items():
+                    # rows of the embedding move when they are met
+                    at_k = met if k == "e" else slice(None)
+                    mk, vk = m[k][at_k], v[k][at_k]
+                    mk *= 0.9
+                    mk += 0.1 * g
+                    vk *= 0.99
+                    g *= g
+                    g *= 0.01
+                    vk += g
+                    m[k][at_k], v[k][at_k] = mk, vk
+                    step = np.sqrt(vk)
                     step *= (1 - 0.99**self.t) ** -0.5
                     step += 1e-8
-                    np.divide(m[k], step, out=step)
+                    np.divide(mk, step, out=step)
                     step *= rate / (1 - 0.9**self.t)
-                    p[k] -= step
+                    p[k][at_k] -= step
 
 
 class Scorer:
     """Log10 probabilities with all products of the embeddings worked out beforehand."""
 
     def __init__(self, lm: AttentionLM):
-        p, d = lm.params, lm.s.dim
-        self.row, self.bos, self.pad = lm.row, lm.bos, lm.pad
+        p, d, n = lm.params, lm.s.dim, TOGETHER
+        self.row, self.bos, self.pad, self.last = lm.row, lm.bos, lm.pad, lm.rows - 1
+        q, k, v, s = (p["w"][:, i * d : (i + 1) * d] for i in range(4))
         e, pos = p["e"], p["p"]
-        grow = lambda z, value: np.hstack([z, np.full((len(z), 1), value, np.float32)]).astype(np.float32)
-        self.k, self.k_pos = grow(e @ p["k"], 0), grow(pos @ p["k"], 0)
-        self.k[lm.rows - 1, -1] = -80  # padding gets no attention
-        self.v, self.v_pos = (e @ p["v"]).astype(np.float32), (pos @ p["v"]).astype(np.float32)
-        self.q, self.q_pos = grow(e @ p["q"] * d**-0.5, 0.5), grow(pos[HALF:] @ p["q"] * d**-0.5, 0.5)
-        self.s, self.s_pos = (e @ p["s"]).astype(np.float32), (pos[HALF:] @ p["s"] + p["b"]).astype(np.float32)
+        self.tables = [np.ascontiguousarray(z, np.float32) for z in (e @ k, e @ v, e @ q, e @ s)]
+        self.places = [np.ascontiguousarray(z, np.float32) for z in (pos @ k, pos @ v, pos[HALF:] @ q, pos[HALF:] @ s + p["b"])]
         self.o, self.c = p["o"], p["c"]
-        self.label = lm.label
-        mass = lm.counts + 1.0
-        alone = mass / np.bincount(lm.label, weights=mass, minlength=lm.s.classes)[lm.label]
-        # within its class a token goes by the class of the one before, as far as pairs were seen, and else by its count
-        of_class = np.zeros((lm.s.classes + 1, lm.s.classes), np.float32)
-        np.add.at(of_class.T, lm.label, lm.pairs.T)
-        prior = lm.s.prior
-        self.within = np.log((lm.pairs + prior * alone) / (of_class + prior)[:, lm.label]).astype(np.float32)
-        self.before = lm.after(np.arange(len(lm.label) + 2))
-
-    def score(self, ids: np.ndarray, lengths: np.ndarray, step: int = 256) -> np.ndarray:
+        self.follow, self.within, self.own, self.label, self.column = lm.follow, lm.within.ravel(), lm.own, lm.label, lm.column
+        self.columns = lm.columns
+        self.d, self.n = d, n
+
+    def score(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Of each text the sum over its ids."""
-        inputs, targets, text = windows(ids, lengths, self.bos, self.pad)
-        out = np.zeros(len(lengths))
-        for at in range(0, len(text), step):
-            rows, t = self.row[inputs[at : at + step]], targets[at : at + step]
-            now = rows[:, HALF:]
-            k, q = self.k[rows], self.q[now]
-            k += self.k_pos
-            q += self.q_pos
-            a = q @ k.transpose(0, 2, 1)
-            np.minimum(a, 20, out=a)
+        d, n, c = self.d, self.n, self.follow.shape[1]
+        inputs, targets, text, first = windows(ids, lengths, self.bos, self.pad)
+        total = len(text)
+        rows = np.full((-(-total // n) * n, WIDE), self.last)
+        np.take(self.row, inputs, out=rows[:total], mode="clip")
+        starts = np.zeros(len(rows), bool)
+        starts[first[lengths > 0]] = True
+        t = targets.ravel()
+        ok = np.flatnonzero(t >= 0)
+        column, before = self.column[t[ok]], rows[:total, HALF:].ravel()[ok]
+        log_p = self.within.take(before * self.columns + column) + self.own[t[ok]]
+        label = np.zeros(len(rows) * HALF, np.int64)
+        label[ok] = self.label[column]
+        of_class = np.empty(len(rows) * HALF, np.float32)
+        room = lambda *shape: np.empty(shape, np.float32)
+        k, v, q, h, kt, a = room(n, WIDE, d), room(n, WIDE, d), room(n, HALF, d), room(n, HALF, d), room(n, d, WIDE), room(n, HALF, WIDE)
+        logits, follow, ones, wide, places = room(n * HALF, c), room(n * HALF, c), np.ones(c, np.float32), np.ones(WIDE, np.float32), np.arange(n * HALF)
+        causal = CAUSAL[HALF:]
+        for at in range(0, len(rows), n):
+            r = rows[at : at + n]
+            now = r[:, HALF:]
+            for z, table, place, which in zip((k, v, q), self.tables, self.places, (r, r, now), strict=False):
+                np.take(table, which, axis=0, out=z, mode="clip")
+                z += place
+            np.copyto(kt, k.transpose(0, 2, 1))
+            np.matmul(q, kt, out=a)
+            np.clip(a, -20, 20, out=a)
             np.exp(a, out=a)
-            a[:, :, HALF:] *= CAUSAL[:, HALF:]
-            v = self.v[rows]
-            v += self.v_pos
-            h = a @ v
-            h /= np.maximum(a.sum(2, keepdims=True), 1e-20)
-            h += self.s[now]
-            h += self.s_pos
+            a *= causal
+            a[starts[at : at + n], :, :HALF] = 0
+            np.matmul(a, v, out=h)
+            h /= (a @ wide)[:, :, None]
+            np.take(self.tables[3], now, axis=0, out=q, mode="clip")
+            h += q
+            h += self.places[3]
             np.tanh(h, out=h)
-            logits = h.reshape(-1, h.shape[-1]) @ self.o
+            np.matmul(h.reshape(-1, d), self.o, out=logits)
+            np.take(self.follow, now.ravel(), axis=0, out=follow, mode="clip")
+            logits += follow
             logits += self.c
-            t, before = t.ravel(), self.before[inputs[at : at + step, HALF:]].ravel()
-            ok = np.flatnonzero(t >= 0)
-            if len(ok) < len(t):
-                logits, t, before = logits[ok], t[ok], before[ok]
-            label = self.label[t]
-            log_p = logits[np.arange(len(t)), label] + self.within[before, t]
+            got = logits[places, label[at * HALF : (at + n) * HALF]]
             np.exp(logits, out=logits)
-            log_p -= np.log(logits.sum(1))
-            out += np.bincount(np.repeat(text[at : at + step], HALF)[ok], weights=log_p, minlength=len(out))
-        return out / np.log(10)
+            got -= np.log(logits @ ones)
+            of_class[at * HALF : (at + n) * HALF] = got
+        log_p = log_p.astype(np.float64) + of_class[ok]
+        return np.bincount(np.repeat(text, HALF)[ok], weights=log_p, minlength=len(lengths)) / np.log(10)
 
 
 def _word_counts(train: DataFrame) -> DataFrame:
@@ -391,44 +433,53 @@ def _word_counts(train: DataFrame) -> DataFrame:
     return train.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def _subword_counts(counts: DataFrame, ranks_path: str, pattern: str) -> np.ndarray:
-    size = Subwords(ranks_path, pattern).size
+def _encoded(rows: DataFrame, hot: dict[bytes, int], ranks_path: str) -> DataFrame:
+    """Of each row the subword ids, how many words it has, how many of them are hot, the sum of their logarithms, and the other words."""
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
+
+    def make():
+        sub, logs = Subwords(ranks_path), {w: float(np.log10(c + 1.0)) for w, c in shared.value.items()}
+
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            texts = [words_of(t) for t in common.texts_of(b)]
+            n = np.array([len(t) for t in texts])
+            starts = n.cumsum() - n
+            flat = [w for t in texts for w in t]
+            of_word = np.array([logs.get(w, 0.0) for w in flat])
+            is_hot = of_word > 0
+            cold = pa.array([flat[i] for i in np.flatnonzero(~is_hot)], pa.binary())
+            offsets = np.concatenate([[0], np.add.reduceat(~is_hot, starts, dtype=np.int64).cumsum()]).astype(np.int32)
+            ids = [sub.ids_of(t) for t in texts]
+            columns = [pa.array(n), pa.array(np.add.reduceat(is_hot, starts, dtype=np.int64)), pa.array(np.add.reduceat(of_word, starts)), pa.ListArray.from_arrays(pa.array(offsets), cold), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
+            return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "row", "on")), *columns], ["doc_id", "row", "on", "n_tokens", "hot", "hot_log", "cold", "n_ids", "ids"])
 
+        return run
+
+    return common.map_batches(rows, make, "doc_id long, row long, on boolean, n_tokens long, hot long, hot_log double, cold array<binary>, n_ids long, ids binary")
+
+
+def _subword_counts(train: DataFrame, size: int, dtype: np.dtype) -> np.ndarray:
     def count(batches):
-        sub, total = Subwords(ranks_path, pattern), np.zeros(size, np.int64)
+        total = np.zeros(size, np.int64)
         for b in batches:
-            words = b.column("word").to_pylist()
-            ids, n = sub.ids_of(sub.codes_of(words))
-            total += np.bincount(ids, weights=np.repeat(b.column("c").to_numpy(), n), minlength=size).astype(np.int64)
+            total += np.bincount(_ids_in(b, dtype)[0], minlength=size)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
 
     out = np.zeros(size, np.int64)
-    for r in counts.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
+    for r in train.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the vocabulary
         out[r["id"]] = r["n"]
     return out
 
 
-def _windows_of(batches, lm: AttentionLM, sub: Subwords) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Inputs and targets of all windows of all texts, some thousands at a time."""
-    for b in batches:
-        step = max(1, b.num_rows * (common.BATCH_BYTES // 4) // max(b.nbytes, common.BATCH_BYTES // 4))
-        for at in range(0, b.num_rows, step):
-            texts = [words_of(t) for t in common.texts_of(b.slice(at, step))]
-            n = np.array([len(t) for t in texts])
-            ids, each = sub.ids_of(sub.codes_of([w for t in texts for w in t]))
-            yield windows(ids, np.add.reduceat(each, n.cumsum() - n), lm.bos, lm.pad)[:2]
-
-
-def _table(train: DataFrame, lm: AttentionLM, kind: str, size: int, ranks_path: str, pattern: str) -> np.ndarray:
-    """How often each of `size` cells occurs in the windows of all training texts; kind names the method that gives the cells."""
-    shared = train.sparkSession.sparkContext.broadcast(lm)
+def _pair_counts(train: DataFrame, lm: AttentionLM, dtype: np.dtype) -> np.ndarray:
+    """How often each id, or group of rare ones, follows each other in all training texts."""
+    shared, size = train.sparkSession.sparkContext.broadcast(lm), lm.rows * lm.columns
 
     def count(batches):
         lm, total = shared.value, np.zeros(-(-size // CELLS) * CELLS, np.int64)
-        for x, y in _windows_of(batches, lm, Subwords(ranks_path, pattern)):
-            for cells in getattr(lm, kind)(x, y):
-                np.add.at(total, cells, 1)
+        for b in batches:
+            np.add.at(total, lm.paired(*_ids_in(b, dtype)), 1)
         for k in np.flatnonzero(total.reshape(-1, CELLS).any(1)):
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([zlib.compress(total[k * CELLS : (k + 1) * CELLS].tobytes(), 1)], pa.binary())], ["k", "n"])
 
@@ -441,58 +492,69 @@ def _table(train: DataFrame, lm: AttentionLM, kind: str, size: int, ranks_path:
             yield pa.RecordBatch.from_arrays([pa.array([k]), pa.array([zlib.compress(n.tobytes(), 1)], pa.binary())], ["k", "n"])
 
     out = np.zeros(-(-size // CELLS) * CELLS, np.int64)
-    for r in train.select("text").mapInArrow(count, "k long, n binary").repartition("k").mapInArrow(add, "k long, n binary").collect():  # at most the cells
+    for r in train.select("ids").mapInArrow(count, "k long, n binary").repartition("k").mapInArrow(add, "k long, n binary").collect():  # at most the cells
         out[r["k"] * CELLS : (r["k"] + 1) * CELLS] = np.frombuffer(zlib.decompress(r["n"]), np.int64)
     return out[:size]
 
 
-def _fit(train: DataFrame, n_texts: int, lm: AttentionLM, ranks_path: str, pattern: str) -> None:
-    """Classes, pairs and weights from all windows of all training texts."""
+def _fit(train: DataFrame, lm: AttentionLM, dtype: np.dtype) -> None:
+    """Weights from all windows of all training texts."""
     s = lm.s
-    if not n_texts:
-        lm.count(np.zeros((s.classes + 1) * len(lm.label), np.int64))
-        lm.start()
+    about = train.agg(F.sum(F.ceil((F.col("n_ids") + HALF) / WIDE))).first()[0]  # windows
+    if not about:
         return
-    lm.cluster(_table(train, lm, "seen", len(lm.top) * SEEN, ranks_path, pattern))
-    pairs = _table(train, lm, "paired", (s.classes + 1) * len(lm.label), ranks_path, pattern)
-    lm.start()
-    about = int(lm.counts.sum()) // HALF + n_texts // 2 + 1  # windows
     passes = -(-s.steps * s.batch // about)
-    tasks = max(1, min(train.rdd.getNumPartitions(), about // (s.steps * s.batch)))  # a task makes enough steps of its own
-    each = max(1, about * passes // (tasks * s.rounds))
+    groups = max(1, about // (s.steps * s.batch))  # a group makes enough steps of its own
+    each = max(1, about * passes // (groups * s.rounds))
+    dealt = train.withColumn("h", F.xxhash64("doc_id", "ids"))
+    dealt = dealt.withColumn("g", F.pmod(F.shiftright("h", 32), F.lit(groups))).where(F.col("h").isNotNull())
     for k in range(s.rounds):
-        _round(train.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(s.rounds)) == k).select("text").coalesce(tasks), lm, k, passes, each, ranks_path, pattern)
-    lm.count(pairs)
+        texts = dealt.where(F.pmod("h", F.lit(s.rounds)) == k).select("g", "h", "ids").repartition(groups, "g").sortWithinPartitions("g", "h")
+        _round(texts.select("g", "ids"), lm, k, passes, each, dtype)
 
 
-def _round(texts: DataFrame, lm: AttentionLM, k: int, passes: int, each: int, ranks_path: str, pattern: str) -> None:
-    """Each task descends from the same weights on all windows of its texts; then the weights are averaged, by windows, and rows of the embedding by how often a task met them."""
+def _round(texts: DataFrame, lm: AttentionLM, k: int, passes: int, each: int, dtype: np.dtype) -> None:
+    """Each group descends from the same weights on all windows of its texts; then the weights are averaged, by windows, and rows of the embedding by how often a group met them."""
     shared, d = texts.sparkSession.sparkContext.broadcast(lm), lm.s.dim
     others = [x for x in lm.params if x != "e"]
 
     def descend(batches):
-        lm, part = shared.value, TaskContext.get().partitionId()
-        start, lm.params = lm.params, {x: v.copy() for x, v in lm.params.items()}
-        descent, held, seen = Descent(lm, part * lm.s.rounds + k), [], 0
+        lm = shared.value
+        start = lm.params
+        group, descent, held, seen = None, None, [], 0
 
         def run():
             descent.run(*(np.concatenate(z) for z in zip(*held, strict=True)), passes, lambda done: (k + min(1.0, done / each)) / lm.s.rounds)
             held.clear()
 
-        for x, y in _windows_of(batches, lm, Subwords(ranks_path, pattern)):
-            for at in range(0, len(x), HELD):
-                held.append((x[at : at + HELD], y[at : at + HELD]))
-                seen += len(held[-1][0])
-                if sum(len(h[0]) for h in held) >= HELD:
-                    run()
-        if held:
-            run()
-        p, lm.params = lm.params, start  # the worker may keep the broadcast model for another task
-        if seen:
+        def finished():
+            if held:
+                run()
+            p, lm.params = lm.params, start  # the worker may keep the broadcast model for another group
             e = np.hstack([p["e"], descent.met[:, None]]).astype(np.float32)
             rest = np.concatenate([*(p[x].ravel() for x in others), [seen]]).astype(np.float32)
             values = [rest, *(e[at : at + EMBEDDED] for at in range(0, len(e), EMBEDDED))]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int64()), pa.array([part] * len(values), pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())], ["chunk", "part", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(range(len(values)), pa.int64()), pa.array([group] * len(values), pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())], ["chunk", "g", "v"])
+
+        for b in batches:
+            of = b.column("g").to_numpy()
+            for part in np.split(np.arange(len(of)), np.flatnonzero(np.diff(of)) + 1):
+                if of[part[0]] != group:
+                    if group is not None:
+                        yield finished()
+                    group, seen = int(of[part[0]]), 0
+                    lm.params = {x: v.copy() for x, v in start.items()}
+                    descent = Descent(lm, group * lm.s.rounds + k)
+                # a window at a time or more: what is held when the descent goes on depends on the texts alone
+                for at in part:
+                    x, y, starts = whole(*_ids_in(b.slice(at, 1), dtype), lm.bos, lm.pad)
+                    for i in range(0, len(x), HELD):
+                        held.append((x[i : i + HELD], y[i : i + HELD], starts[i : i + HELD]))
+                        seen += len(held[-1][0])
+                        if sum(len(h[0]) for h in held) >= HELD:
+                            run()
+        if group is not None:
+            yield finished()
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -504,7 +566,7 @@ def _round(texts: DataFrame, lm: AttentionLM, k: int, passes: int, each: int, ra
         for chunk, v in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([v.tobytes()], pa.binary())], ["chunk", "v"])
 
-    summed = texts.mapInArrow(descend, "chunk long, part long, v binary").repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(add, "chunk long, v binary")
+    summed = texts.mapInArrow(descend, "chunk long, g long, v binary").repartition("chunk").sortWithinPartitions("chunk", "g").mapInArrow(add, "chunk long, v binary")
     for r in summed.collect():  # the weights once
         v = np.frombuffer(r["v"], np.float64)
         if r["chunk"]:
@@ -519,56 +581,49 @@ def _round(texts: DataFrame, lm: AttentionLM, k: int, passes: int, each: int, ra
                 at += n
 
 
-def score_documents(docs: DataFrame, trained, ranks_path: str, pattern: str, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; rows where `trained` holds are learned from.
-
-    Null texts count as empty: just the end token. Equal texts get equal scores; rows with null or repeated ids are
-    rows of their own. Without a training text every token is as likely as any other and N is 0. An empty table
-    gives an empty one; further columns are not read.
-    """
-    spark = docs.sparkSession
-    scratch = common.Scratch(spark, "lm")
-    rows = common.spread(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), trained.alias("on")))
-    train = rows.where("on").select("doc_id", "text")
-    counts = scratch.write(_word_counts(train), "counts")
-    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(F.max(F.when(F.col("word") == END, F.col("c"))), F.lit(0)).alias("texts")).first()
-    lm = AttentionLM(_subword_counts(counts, ranks_path, pattern), settings)
-    _fit(train, totals["texts"], lm, ranks_path, pattern)
-    hot = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(HOT).toLocalIterator()}
-    shared = spark.sparkContext.broadcast((lm.ready(), hot))
+def _score(encoded: DataFrame, lm: AttentionLM, dtype: np.dtype) -> DataFrame:
+    shared = encoded.sparkSession.sparkContext.broadcast(lm.ready())
 
     def make():
-        scorer, hot = shared.value
-        sub, logs = Subwords(ranks_path, pattern), np.empty(0)
+        scorer = shared.value
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            nonlocal logs
-            texts = [words_of(t) for t in common.texts_of(b)]
-            n = np.array([len(t) for t in texts])
-            flat = [w for t in texts for w in t]
-            if len(sub.codes) > KNOWN:
-                logs = np.empty(0)
-            codes = sub.codes_of(flat)
-            if len(logs) < len(sub.words):  # of each known word log10(c + 1) if it is a hot one, else 0
-                logs = np.concatenate([logs, np.log10([hot.get(w, 0) + 1.0 for w in sub.words[len(logs) :]])])
-            of_word = logs[codes]
-            ids, each = sub.ids_of(codes)
-            starts = n.cumsum() - n
-            score = scorer.score(ids, np.add.reduceat(each, starts))
-            is_hot = of_word > 0
-            cold_at = np.flatnonzero(~is_hot)
-            cold = pa.array([flat[i] for i in cold_at], pa.binary())
-            offsets = np.concatenate([[0], np.add.reduceat(~is_hot, starts, dtype=np.int64).cumsum()]).astype(np.int32)
-            columns = [pa.array(n), pa.array(np.add.reduceat(is_hot, starts, dtype=np.int64)), pa.array(np.add.reduceat(of_word, starts)), pa.array(score), pa.ListArray.from_arrays(pa.array(offsets), cold)]
-            return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *columns], ["doc_id", "row", "n_tokens", "hot", "hot_log", "score", "cold"])
+            ids, n = _ids_in(b, dtype)
+            # texts of some thousands of ids at a time, whose arrays stay in the cache
+            ends = n.cumsum()
+            cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1] + CELLS * 4, CELLS * 4)).clip(0, len(n)))
+            parts = [scorer.score(ids[ends[i] - n[i] : ends[j - 1]], n[i:j]) for i, j in zip([0, *cuts[cuts > 0]], [*cuts[cuts > 0], len(n)], strict=True) if j > i]
+            return pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(np.concatenate(parts))], [*kept, "score"])
 
         return run
 
-    numbered = rows.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id())
-    scored = scratch.write(common.map_batches(numbered, make, "doc_id long, row long, n_tokens long, hot long, hot_log double, score double, cold array<binary>"), "scored")
-    cold = scored.select("row", F.explode("cold").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
+    kept = ["doc_id", "row", "n_tokens", "hot", "hot_log"]
+    return common.map_batches(encoded.select(*kept, "ids"), make, "doc_id long, row long, n_tokens long, hot long, hot_log double, score double")
+
+
+def score_documents(docs: DataFrame, trained, ranks_path: str, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row; rows where `trained` holds are learned from.
+
+    Null texts count as empty: just the end token. Equal texts get equal scores; rows with null or repeated ids are
+    rows of their own. Without a training text every token is as likely as any other of its class and N is 0. An empty
+    table gives an empty one; further columns are not read.
+    """
+    spark = docs.sparkSession
+    scratch = common.Scratch(spark, "lm")
+    rows = common.spread(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.coalesce(trained, F.lit(False)).alias("on")))
+    counts = scratch.write(_word_counts(rows.where("on")), "counts")
+    totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    hot = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(HOT).toLocalIterator()}
+    encoded = scratch.write(_encoded(rows.withColumn("row", F.monotonically_increasing_id()), hot, ranks_path), "encoded")
+    sub = Subwords(ranks_path)
+    train = encoded.where("on")
+    lm = AttentionLM(_subword_counts(train, sub.size, sub.dtype), settings)
+    lm.count(_pair_counts(train, lm, sub.dtype))
+    lm.start()
+    _fit(train, lm, sub.dtype)
+    cold = encoded.select("row", F.explode("cold").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
     found = cold.join(counts, "word").groupBy("row").agg(F.sum("n").alias("cold_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("cold_log"))
-    all_rows = scored.select("doc_id", "row", "n_tokens", "hot", "hot_log", "score").join(found, "row", "left")
+    all_rows = _score(encoded, lm, sub.dtype).join(found, "row", "left")
     log_total = float(np.log10(totals["n"] + totals["v"] + 1))
     return all_rows.select(
         "doc_id", "n_tokens", (F.col("hot") + F.coalesce("cold_known", F.lit(0))).alias("n_known"), F.lit(totals["n"]).cast("long").alias("train_tokens"),

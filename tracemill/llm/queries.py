@@ -60,7 +60,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read_table(spark, sf_dir, "documents")
     trained = F.coalesce(common.crc_mod(docs["doc_id"], 7) != 2, F.lit(False))
-    out = attention_lm.score_documents(docs, trained, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = attention_lm.score_documents(docs, trained, public_tokenizers.path("byte_bpe_50k.tiktoken"))
     return out.select("doc_id", _held_out(7).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
