@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tracemill import session
+from tracemill import recorded, session
 from tracemill.functions import text as X
 from tracemill.operators import compare, graph, temporal
 from tracemill.replay import sequential
@@ -495,8 +495,8 @@ def replayed_scopes(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return _QUERIES | recorded.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | recorded.oracle_sql()

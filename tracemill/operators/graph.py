@@ -1,7 +1,8 @@
-"""Graph operators on edge tables (src, dst, visibility), by frontier loops whose steps are joins.
+"""Graph operators on edge tables (src, dst, visibility), by loops whose steps are joins.
 
 Each step is written to a checkpoint where one is configured, so lineage stays short and lost executors cost one
-step. Loops end when a step finds nothing new.
+step. Loops end when a step finds nothing new: nothing is left out beyond a number of steps, except where a bound is
+a parameter.
 """
 
 from __future__ import annotations
@@ -13,50 +14,102 @@ from pyspark.sql.window import Window as W
 from tracemill import session
 
 
-def closure(edges: DataFrame, max_steps: int = 64) -> DataFrame:
-    """Pairs (src, dst) with a path of at least one edge."""
-    edges = edges.select("src", "dst").distinct()
-    reach = frontier = session.cut(edges)
-    for _ in range(max_steps):
-        step = frontier.select("src", F.col("dst").alias("via")).join(edges.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
-        frontier = session.cut(step.join(reach, ["src", "dst"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        reach = session.cut(reach.unionByName(frontier))
-    return reach
+def closure(edges: DataFrame) -> DataFrame:
+    """Pairs (src, dst) with a path of at least one edge. What a step found is joined with all found before, so paths double in length from step to step."""
+    reach = session.cut(edges.select("src", "dst").distinct())
+    new = reach
+    while True:
+        step = new.select("src", F.col("dst").alias("via")).join(reach.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
+        new = session.cut(step.join(reach, ["src", "dst"], "left_anti"))
+        if new.isEmpty():
+            return reach
+        reach = session.cut(reach.unionByName(new))
 
 
-def consumers(edges: DataFrame, max_steps: int = 64) -> DataFrame:
+def consumers(edges: DataFrame) -> DataFrame:
     """(target, consumer): all that link a target, and what links those that re-export it (visibility not PRIVATE)."""
-    direct = edges.select(F.col("dst").alias("target"), F.col("src").alias("consumer"), "visibility")
-    reach = frontier = session.cut(direct.distinct())
-    for _ in range(max_steps):
-        open_ = frontier.where("visibility <> 'PRIVATE'").select("target", F.col("consumer").alias("via")).distinct()
-        step = open_.join(edges.select(F.col("dst").alias("via"), F.col("src").alias("consumer"), "visibility"), "via").select("target", "consumer", "visibility").distinct()
-        frontier = session.cut(step.join(reach, ["target", "consumer", "visibility"], "left_anti"))
-        if frontier.isEmpty():
-            break
-        reach = session.cut(reach.unionByName(frontier))
-    return reach.select("target", "consumer").distinct()
+    direct = edges.select(F.col("dst").alias("target"), F.col("src").alias("consumer")).distinct()
+    handed = closure(edges.where("visibility <> 'PRIVATE'")).select(F.col("src").alias("via"), F.col("dst").alias("target"))
+    return direct.unionByName(direct.withColumnRenamed("target", "via").join(handed, "via").select("target", "consumer")).distinct()
 
 
 def simple_paths(edges: DataFrame, starts: DataFrame, goal, max_edges: int) -> DataFrame:
-    """Paths from starts (src) whose later hops aren't PRIVATE and that don't visit a node twice; a path ends at the goal."""
-    paths = starts.select("src").distinct().join(edges, "src").where(F.col("dst") != F.col("src")).select("src", "dst", F.array("src", "dst").alias("path"))
+    """Paths of at most max_edges edges from starts (src) whose later hops aren't PRIVATE and that don't visit a node twice; a path ends at the goal."""
+    onward = session.cut(edges.where("visibility <> 'PRIVATE'").select(F.col("src").alias("dst"), F.col("dst").alias("next")))
+    paths = session.cut(starts.select("src").distinct().join(edges, "src").where(F.col("dst") != F.col("src")).select("src", "dst", F.array("src", "dst").alias("path")))
     out = paths.where(goal("dst"))
     for _ in range(max_edges - 1):
-        onward = edges.where("visibility <> 'PRIVATE'").select(F.col("src").alias("dst"), F.col("dst").alias("next"))
         paths = paths.where(~goal("dst")).join(onward, "dst").where(~F.array_contains("path", F.col("next")))
-        paths = paths.select("src", F.col("next").alias("dst"), F.array_append("path", F.col("next")).alias("path"))
+        paths = session.cut(paths.select("src", F.col("next").alias("dst"), F.array_append("path", F.col("next")).alias("path")))
+        if paths.isEmpty():
+            break
         out = out.unionByName(paths.where(goal("dst")))
     return out
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges left when nodes that nothing leads to, or that lead nowhere, are taken away again and again."""
+    n = edges.count()
+    while n:
+        edges = session.cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        before, n = n, edges.count()
+        if n == before:
+            break
+    return edges
+
+
 def cyclic(edges: DataFrame) -> DataFrame:
-    """node and component (its smallest node) of each node on a cycle, self-loops included."""
-    reach = closure(edges)
-    back = reach.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    return reach.join(back, ["src", "dst"], "left_semi").groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("component"))
+    """node and component (its smallest node) of each node on a cycle, self-loops included.
+
+    Each round gives every node the smallest node that leads to it, and takes for each of those the nodes of its kind
+    that lead back to it: a strongly connected component. No closure is built.
+    """
+    left = _trimmed(session.cut(edges.select("src", "dst").distinct()))
+    out = None
+    while not left.isEmpty():
+        color = session.cut(left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct().withColumn("color", F.col("node")))
+        while True:
+            heard = left.join(color.select(F.col("node").alias("src"), F.col("color").alias("heard")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("heard").alias("heard"))
+            step = session.cut(color.join(heard, "node", "left").select("node", F.least("color", F.coalesce("heard", "color")).alias("color"), (F.col("heard") < F.col("color")).alias("moved")))
+            color = step.select("node", "color")
+            if step.where("moved").isEmpty():
+                break
+        same = left.join(color.select(F.col("node").alias("src"), "color"), "src").join(color.select(F.col("node").alias("dst"), F.col("color").alias("other")), "dst").where("color = other")
+        back = session.cut(same.select(F.col("dst").alias("node"), F.col("src").alias("before")))
+        found = new = session.cut(color.where("node = color"))
+        while True:
+            step = new.join(back, "node").select(F.col("before").alias("node"), "color").distinct()
+            new = session.cut(step.join(found, "node", "left_anti"))
+            if new.isEmpty():
+                break
+            found = session.cut(found.unionByName(new))
+        loops = left.where("src = dst").select(F.col("src").alias("node"))
+        whole = found.groupBy("color").agg(F.count("*").alias("n"))
+        members = session.cut(found.join(whole, "color").join(loops.withColumn("loop", F.lit(True)), "node", "left").where("n > 1 or loop").select("node", F.col("color").alias("component")))
+        out = members if out is None else out.unionByName(members)
+        gone = found.select("node")
+        left = left.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+        left = _trimmed(session.cut(left))
+    return out if out is not None else edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+
+
+def shortest_cycle(edges: DataFrame) -> DataFrame:
+    """component and path, for each component of nodes on cycles: the shortest cycle through its smallest node, as the list of its nodes with that one first and last; of several the smallest list."""
+    of = session.cut(cyclic(edges))
+    inside = edges.select("src", "dst").distinct().join(of.select(F.col("node").alias("src"), "component"), "src").join(of.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst").where("component = other").select("component", "src", "dst")
+    inside = session.cut(inside)
+    reached = None
+    paths = session.cut(inside.where("src = component").groupBy("component", "dst").agg(F.min(F.array("src", "dst")).alias("path")))
+    out = paths.where("dst = component")
+    while True:
+        # a component whose cycle is closed goes no further; each node is entered once, by its smallest path
+        reached = paths.select("component", "dst") if reached is None else session.cut(reached.unionByName(paths.select("component", "dst")))
+        onward = paths.join(out.select("component").distinct(), "component", "left_anti").select("component", F.col("dst").alias("src"), "path")
+        step = onward.join(inside, ["component", "src"]).groupBy("component", "dst").agg(F.min(F.array_append("path", F.col("dst"))).alias("path"))
+        paths = session.cut(step.join(reached, ["component", "dst"], "left_anti"))
+        if paths.isEmpty():
+            return out.select("component", "path")
+        out = session.cut(out.unionByName(paths.where("dst = component")))
 
 
 def shortest_chains(edges: DataFrame, max_hops: int = 8) -> DataFrame:
@@ -82,28 +135,30 @@ def redundant(edges: DataFrame, max_hops: int = 8) -> DataFrame:
     return found.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("src", "dst", "via", "hops")
 
 
-def ancestors(nodes: DataFrame, node: str = "id", parent: str = "parent_id", max_hops: int = 64) -> DataFrame:
-    """(node, ancestor, hops), each node its own ancestor at 0 hops: the closure that replaces walks by row."""
-    up = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"))
+def ancestors(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:
+    """(node, ancestor, hops), each node its own ancestor at 0 hops: the closure that replaces walks by row. ValueError if parents form a ring."""
+    up = session.cut(nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent")))
     out = frontier = up.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("hops"))
-    for hops in range(1, max_hops + 1):
+    hops = 0
+    while True:
+        hops += 1
         step = frontier.select(F.col("node").alias("n"), "ancestor").join(up, F.col("ancestor") == F.col("node")).where("parent is not null")
         frontier = session.cut(step.select(F.col("n").alias("node"), F.col("parent").alias("ancestor"), F.lit(hops).alias("hops")))
         if frontier.isEmpty():
-            break
+            return out
+        if not frontier.where("node = ancestor").isEmpty():
+            raise ValueError("a node is its own ancestor")
         out = out.unionByName(frontier)
-    return out
 
 
-def resolve_aliases(aliases: DataFrame, max_hops: int = 64) -> DataFrame:
+def resolve_aliases(aliases: DataFrame) -> DataFrame:
     """name and resolved, following alias_of until a name that is no alias, or until the cycle guard stops."""
-    link = aliases.select(F.col("name").alias("at"), "alias_of")
+    link = session.cut(aliases.select(F.col("name").alias("at"), "alias_of"))
     rows = aliases.select("name", F.col("name").alias("at"), F.array("name").alias("seen"))
-    for _ in range(max_hops):
+    while True:
         step = rows.join(link, "at", "left")
         go = F.col("alias_of").isNotNull() & ~F.array_contains("seen", F.col("alias_of"))
         step = session.cut(step.select("name", F.when(go, F.col("alias_of")).otherwise(F.col("at")).alias("at"), F.when(go, F.array_append("seen", F.col("alias_of"))).otherwise(F.col("seen")).alias("seen"), go.alias("moved")))
         rows = step.drop("moved")
         if step.where("moved").isEmpty():
-            break
-    return rows.select("name", F.col("at").alias("resolved"))
+            return rows.select("name", F.col("at").alias("resolved"))

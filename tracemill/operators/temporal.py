@@ -10,10 +10,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+#: Places of one order that a window takes at once.
+WIDTH = 1 << 16
+
+
+def _spans(order: str, by: list[str]) -> tuple[Column, W]:
+    """The stretch of WIDTH places that a row is in, and the window over stretches."""
+    return F.floor(F.col(order) / WIDTH).cast("long"), (W.partitionBy(*by) if by else W.partitionBy()).orderBy("_span")
+
+
 def self_time(events: DataFrame, time: Column, order: str, by: list[str] | None = None, name: str = "self_us") -> DataFrame:
-    """Time until the next event, at least 0; 0 for the last. by: the recording, so that each is a window of its own."""
-    w = W.partitionBy(*(by or [F.lit(0)])).orderBy(order)
-    return events.withColumn(name, F.coalesce(F.greatest((F.lead(time).over(w) - time).cast("long"), F.lit(0)), F.lit(0)).cast("long"))
+    """Time until the next event, at least 0; 0 for the last. by: the recording, so that each has a sequence of its own.
+
+    order: integers, unique and nearly dense. No task sees more than WIDTH places: the last event of a stretch is
+    followed by the first of the next one, and only those firsts are put in one order.
+    """
+    by = by or []
+    span, over = _spans(order, by)
+    rows = events.withColumns({"_span": span, "_time": time})
+    inside = W.partitionBy(*by, "_span").orderBy(order)
+    firsts = rows.groupBy(*by, "_span").agg(F.min_by("_time", order).alias("_first"))
+    firsts = firsts.withColumn("_following", F.lead("_first").over(over)).drop("_first")
+    rows = rows.withColumn("_next", F.lead("_time").over(inside)).join(firsts, [*by, "_span"])
+    gap = (F.coalesce("_next", "_following") - F.col("_time")).cast("long")
+    return rows.withColumn(name, F.coalesce(F.greatest(gap, F.lit(0)), F.lit(0)).cast("long")).select(*events.columns, name)
+
+
+def numbered(rows: DataFrame, order: str, by: list[str], name: str) -> DataFrame:
+    """Rows with their rank from 1 in the order within `by`, as self_time works: stretch by stretch, then shifted by the counts before."""
+    span, over = _spans(order, by)
+    spans = rows.withColumn("_span", span)
+    counts = spans.groupBy(*by, "_span").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    ranked = spans.withColumn("_rank", F.row_number().over(W.partitionBy(*by, "_span").orderBy(order))).join(counts, [*by, "_span"])
+    return ranked.withColumn(name, (F.col("_rank") + F.col("_before")).cast("long")).select(*rows.columns, name)
 
 
 def next_write(writes: DataFrame, key: list[str], order: str, columns: list[str]) -> DataFrame:

@@ -23,7 +23,11 @@ def read(spark: SparkSession, path: str | list[str], recording: str = r"([^/]+)/
     return numbered.select(F.regexp_extract("path", recording, 1).alias("recording"), "path", (F.col("start") + F.col("rank")).cast("long").alias("line"), "text")
 
 
-def blocks(lines: DataFrame, head) -> DataFrame:
-    """lines with block: the line of the latest head at or before it in its file; null before the first."""
-    w = W.partitionBy("path").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
-    return lines.withColumn("block", F.last(F.when(head, F.col("line")), ignorenulls=True).over(w))
+def blocks(lines: DataFrame, head, width: int = 1 << 16) -> DataFrame:
+    """lines with block: the line of the latest head at or before it in its file; null before the first. Stretches of `width` lines are windows of their own, and the latest head before each is carried over."""
+    rows = lines.withColumns({"_span": F.floor(F.col("line") / width).cast("long"), "_head": F.when(head, F.col("line"))})
+    before = W.partitionBy("path").orderBy("_span").rowsBetween(W.unboundedPreceding, -1)
+    carried = rows.groupBy("path", "_span").agg(F.max("_head").alias("_latest")).withColumn("_carried", F.max("_latest").over(before)).drop("_latest")
+    w = W.partitionBy("path", "_span").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
+    inside = rows.withColumn("_block", F.last("_head", ignorenulls=True).over(w)).join(carried, ["path", "_span"])
+    return inside.withColumn("block", F.coalesce("_block", "_carried")).select(*lines.columns, "block")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from tracemill.operators import temporal
 from tracemill.sources import lines
 
 EVENT = "file string, line bigint, line_end bigint, cmd string, args array<string>, time double, frame bigint, global_frame bigint, _bad string"
@@ -62,10 +62,10 @@ def events(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def number(rows: DataFrame, order: str) -> DataFrame:
-    """event_id and elapsed_us of rows ordered within their recording."""
-    w = W.partitionBy("recording").orderBy(order)
-    step = F.round((F.lead("time_abs").over(w) - F.col("time_abs")) * 1e6).cast("long")
-    return rows.withColumns({"event_id": F.row_number().over(w).cast("long"), "elapsed_us": F.greatest(F.coalesce(step, F.lit(0)), F.lit(0)).cast("long"), "args_json": F.to_json("args")})
+    """event_id and elapsed_us of rows ordered, by integers, within their recording; no task sees a whole recording."""
+    ranked = temporal.numbered(rows, order, ["recording"], "event_id")
+    timed = temporal.self_time(ranked.withColumn("_us", F.round(F.col("time_abs") * 1e6).cast("long")), F.col("_us"), "event_id", ["recording"], "elapsed_us").drop("_us")
+    return timed.withColumn("args_json", F.to_json("args"))
 
 
 def executed_files(events: DataFrame) -> DataFrame:
