@@ -175,7 +175,7 @@ class AttentionLM:
         np.add.at(by_class, self.label, pairs.T)
         of_class = np.bincount(self.label, weights=share, minlength=c).astype(np.float32)
         follow = by_class.T + prior * np.maximum(of_class, 1e-3) / of_class.sum()
-        self.follow = np.log(follow / follow.sum(1, keepdims=True)).astype(np.float32)
+        self.follow = np.ascontiguousarray(np.log(follow / follow.sum(1, keepdims=True)), np.float32)
         alone = share / of_class[self.label]
         self.within = np.log((pairs + prior * alone) / (by_class.T[:, self.label] + prior)).astype(np.float32)
 
