@@ -15,6 +15,7 @@ from math import gcd
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from tracemill.llm import common
 
@@ -180,11 +181,6 @@ def resample(pcm: np.ndarray, rate: int, to: int, half: int = 8) -> np.ndarray:
     return out
 
 
-def pcm_of(media: bytes, rate: int) -> np.ndarray:
-    form, own, block, data = load(media)
-    return resample(samples(form, block, data), own, rate)
-
-
 def features(pcm: np.ndarray) -> str:
     """Length, peak, root mean square in hundredths and sign changes, all from integers."""
     x = pcm.astype(np.int64)
@@ -196,24 +192,82 @@ def features(pcm: np.ndarray) -> str:
     return f"n={len(x)} peak={int(np.abs(x).max())} rms={root} zc={int(((x[1:] < 0) != (x[:-1] < 0)).sum())}"
 
 
+def _decoded(files: list[tuple[int, int, bytes]]) -> list[np.ndarray]:
+    """PCM of each form, block size and data; ADPCM files of whole blocks of one size are decoded together, across all their blocks."""
+    out: list = [None] * len(files)
+    together: dict[int, list[int]] = {}
+    for i, (form, block, data) in enumerate(files):
+        if form == ADPCM and block > 4 and len(data) % block == 0:
+            together.setdefault(block, []).append(i)
+        else:
+            out[i] = samples(form, block, data)
+    for block, which in together.items():
+        per = (block - 4) * 2 + 1
+        pcm = adpcm_decode(b"".join(files[i][2] for i in which), block)
+        at = 0
+        for i in which:
+            n = len(files[i][2]) // block * per
+            out[i], at = pcm[at : at + n], at + n
+    return out
+
+
+def decode_column(df: DataFrame, media_col: str, rate: int = 16000, status_col: str = "media_status", pcm_col: str = "pcm") -> DataFrame:
+    """df with the files of a binary column expanded and resampled: status_col and pcm_col, a PCM file at `rate`, follow all other columns.
+
+    Status is `ok`, `null`, or `bad: ` and the reason; the last two have no PCM. Files of no samples are `ok`. Status
+    and PCM columns that df has already are replaced. An empty table gives an empty one.
+    """
+    kept = [c for c in df.columns if c not in (status_col, pcm_col)]
+
+    def make():
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            media = b.column("media").to_pylist()
+            status, files, own = [], [], []
+            for m in media:
+                try:
+                    if m is None:
+                        status.append("null")
+                        continue
+                    form, at, block, data = load(m)
+                    if form not in NAMES or (form == ADPCM and block <= 4) or at <= 0:
+                        raise ValueError(f"unknown form {form}, block {block} or rate {at}")
+                    files.append((form, block, data))
+                    own.append(at)
+                    status.append("ok")
+                except (ValueError, struct.error) as e:
+                    status.append(f"bad: {e}")
+            stored = iter([store(resample(x, at, rate).astype("<i2").tobytes(), PCM, rate) for x, at in zip(_decoded(files), own, strict=True)])
+            columns = [*(b.column(f"c{i}") for i in range(len(kept))), pa.array(status), pa.array([next(stored) if x == "ok" else None for x in status], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, [*(f"c{i}" for i in range(len(kept))), "status", "pcm"])
+
+        return run
+
+    fields = [df.schema[c] for c in kept]
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(fields)] + [T.StructField("status", T.StringType()), T.StructField("pcm", T.BinaryType())])
+    rows = df.select(*[df[c].alias(f"c{i}") for i, c in enumerate(kept)], df[media_col].alias("media"))
+    return common.map_batches(rows, make, schema).toDF(*kept, status_col, pcm_col)
+
+
 def store_texts(docs: DataFrame, rate: int = 8000, pcm_rate: int = 16000, block: int = 64, keep: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every whole text as a telephony recording: its bytes, padded to blocks, are 8-bit companded samples of a RIFF file.
+    """Every whole text as a telephony recording: its bytes, padded to blocks, are the data of a RIFF file.
 
-    The law goes by the text's crc32, even mu-law and odd A-law. The file is read back, expanded by table and
-    resampled; features are those of the PCM. keep adds the file and the PCM file themselves. Null texts count
-    as empty: one block of zero bytes. Equal texts give equal values, an empty table an empty one; further
-    columns are not read.
+    The form goes by the text's crc32 modulo 3: 8-bit mu-law or A-law samples, or ADPCM blocks. The file is read back,
+    expanded by table or decoded, and resampled; features are those of the PCM. keep adds the file and the PCM file
+    themselves. Null texts count as empty: one block of zero bytes. Equal texts give equal values, an empty table an
+    empty one; further columns are not read.
     """
     more = ", media binary, pcm binary" if keep else ""
 
     def make():
-        def one(text: str) -> tuple:
+        def stored_file(text: str) -> tuple[bytes, bytes]:
             raw = text.encode("utf-8", "surrogatepass")
             padded = raw + bytes(max(block, -(-len(raw) // block) * block) - len(raw))
-            media = store(padded, ALAW if zlib.crc32(raw) & 1 else MULAW, rate)
-            form, own, align, back = load(media)
-            pcm = resample(samples(form, align, back), own, pcm_rate)
-            stored = store(pcm.astype("<i2").tobytes(), PCM, pcm_rate)
+            form = (MULAW, ALAW, ADPCM)[zlib.crc32(raw) % 3]
+            return raw, store(padded, form, rate, block if form == ADPCM else 0)
+
+        def one(raw: bytes, media: bytes, form: int, own: int, back: bytes, pcm: np.ndarray) -> tuple:
+            stored = store(resample(pcm, own, pcm_rate).astype("<i2").tobytes(), PCM, pcm_rate)
+            pcm = np.frombuffer(load(stored)[3], "<i2")
             return (
                 len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-block:]), len(media), hashlib.sha256(media).hexdigest(),
                 f"{NAMES[form]} {features(pcm)}", len(stored), hashlib.sha256(stored).hexdigest(), *((media, stored) if keep else ()),
@@ -223,7 +277,10 @@ def store_texts(docs: DataFrame, rate: int = 8000, pcm_rate: int = 16000, block:
         names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes", "pcm_sha256", "media", "pcm"]
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            rows = list(zip(*map(one, common.texts_of(b)), strict=True))
+            files = [stored_file(t) for t in common.texts_of(b)]
+            read = [load(m) for _, m in files]
+            decoded = _decoded([(form, align, back) for form, _, align, back in read])
+            rows = list(zip(*(one(raw, m, form, own, back, x) for (raw, m), (form, own, _, back), x in zip(files, read, decoded, strict=True)), strict=True))
             return pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(r, k) for r, k in zip(rows, kinds, strict=False))], ["doc_id", *names[: len(rows)]])
 
         return run
