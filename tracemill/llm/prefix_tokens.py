@@ -87,11 +87,13 @@ class PrefixCounter:
             i += 1
         return tuple(count[1:])
 
-    def table(self, chunk: str) -> tuple[int, ...]:
+    def table(self, chunk: str) -> tuple[int, bytes]:
+        """The count of a whole chunk, and the change of the count with each of its characters, as signed bytes."""
         if (t := self.known.get(chunk)) is None:
             if len(self.known) > KNOWN_CHUNKS:
                 self.known.clear()
-            t = self.chunk(chunk)
+            counts = np.array(self.chunk(chunk))
+            t = int(counts[-1]), np.diff(counts, prepend=0).astype(np.int8).tobytes()
             if len(chunk) <= 64:
                 self.known[chunk] = t
         return t
@@ -100,42 +102,48 @@ class PrefixCounter:
         """The chunks of a text, with the space that the library puts before it."""
         return self.chunks((SPACE + text).replace(" ", SPACE)) if text else []
 
+    def changes(self, text: str) -> tuple[int, bytes]:
+        """The count of the whole text, and what each character changes, the space before the text included."""
+        known, n, parts = self.known, 0, []
+        for c in self.split(text):
+            t = known.get(c) or self.table(c)
+            n += t[0]
+            parts.append(t[1])
+        return n, b"".join(parts)
+
     def total(self, text: str) -> int:
         """The count at the last prefix, the whole text."""
-        known, n = self.known, 0
-        for c in self.split(text):
-            t = known.get(c)
-            n += (t if t is not None else self.table(c))[-1]
-        return n
+        return self.changes(text)[0]
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Counts at every prefix of 0, 1, ... characters of the text."""
-        out, base = [0], 0
-        for k, c in enumerate(self.split(text)):
-            t = self.table(c)
-            out.extend([base + x for x in (t if k else t[1:])])  # the space put before the text is no character of it
-            base += t[-1]
-        return np.array(out, np.int64)
+        return counts_of(self.changes(text)[1])
 
     def fit(self, text: str, budget: int) -> int:
         """Characters of the longest prefix of at most so many tokens."""
-        base, chars, best = 0, -1, 0
-        for c in self.split(text):
-            t = self.table(c)
-            if base - len(c) > budget:  # a chunk takes away at most its own length
-                break
-            for i, x in enumerate(t):
-                if base + x <= budget:
-                    best = max(best, chars + i + 1)
-            base, chars = base + t[-1], chars + len(c)
-        return max(best, 0)
+        return longest(self.prefix_counts(text), budget)
 
 
-def count_documents(docs: DataFrame, model_path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit and fit_chars, the characters of the longest prefix within the limit.
+def counts_of(changes: bytes) -> np.ndarray:
+    """Counts at every prefix of 0, 1, ... characters, from the stored changes."""
+    out = np.frombuffer(changes, np.int8).cumsum(dtype=np.int64)
+    if len(out):
+        out[0] = 0  # the space put before the text is no character of it
+        return out
+    return np.zeros(1, np.int64)
+
+
+def longest(counts: np.ndarray, budget: int) -> int:
+    """Characters of the longest prefix within a budget."""
+    return int(np.flatnonzero(counts <= budget)[-1]) if budget >= 0 else 0
+
 
-    Null texts count as empty: no byte, no token. Equal rows give equal rows, an empty table an empty one, and
-    further columns are not read. Texts of any length are counted whole.
+def store_prefixes(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens and prefixes: by how much each character changes the count, a signed byte each.
+
+    Null texts count as empty: no byte, no token, no change. Equal rows give equal rows, an empty table an empty one,
+    and further columns are not read. Texts of any length are counted whole. Budgets and truncation read the stored
+    changes, not the texts.
     """
 
     def make():
@@ -143,14 +151,66 @@ def count_documents(docs: DataFrame, model_path: str, limit: int, id_col: str =
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = common.texts_of(b)
-            n = [counter.total(t) for t in texts]
-            fit = [counter.fit(t, limit) if k > limit else len(t) for t, k in zip(texts, n, strict=True)]
-            return pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n]), pa.array(fit, pa.int64())],
-                ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_chars"],
-            )
+            n, changes = zip(*map(counter.changes, texts), strict=True)
+            return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array(changes, pa.binary())], ["doc_id", "n_bytes", "n_tokens", "prefixes"])
 
         return run
 
     docs = common.spread(common.id_and_text(docs, id_col, text_col))
-    return common.map_batches(docs, make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+    return common.map_batches(docs, make, "doc_id long, n_bytes long, n_tokens long, prefixes binary")
+
+
+def truncate(stored: DataFrame, budget: int) -> DataFrame:
+    """The rows of store_prefixes without the changes, with over_limit and fit_chars, the characters of the longest prefix within the budget."""
+
+    def make():
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            n, changes = b.column("n_tokens").to_numpy(), b.column("prefixes")
+            fit = [longest(counts_of(changes[i].as_py()), budget) if n[i] > budget else max(0, len(changes[i].as_buffer()) - 1) for i in range(len(n))]
+            return pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(n > budget), pa.array(fit, pa.int64())], [*kept, "over_limit", "fit_chars"])
+
+        return run
+
+    kept = ["doc_id", "n_bytes", "n_tokens"]
+    return common.map_batches(stored, make, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long")
+
+
+def budget_split(stored: DataFrame, budget: int) -> DataFrame:
+    """doc_id, part, start and stop: characters of consecutive parts whose counts differ by at most the budget from start to stop.
+
+    A part has one character at least, so a character of more tokens than the budget is a part of its own. Empty texts
+    have no part.
+    """
+    if budget < 1:
+        raise ValueError("a budget of at least one token")
+
+    def make():
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            out: list[tuple] = []
+            for d, c in zip(b.column("doc_id").to_pylist(), b.column("prefixes").to_pylist(), strict=True):
+                counts, at, k = counts_of(c), 0, 0
+                while at < len(counts) - 1:
+                    stop = at + max(1, _first_part(counts, at, budget))
+                    out.append((d, k, at, stop))
+                    at, k = stop, k + 1
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "part", "start", "stop"])
+
+        return run
+
+    return common.map_batches(stored.select("doc_id", "prefixes"), make, "doc_id long, part int, start long, stop long")
+
+
+def _first_part(counts: np.ndarray, at: int, budget: int) -> int:
+    """Characters from `at` to the last place, before the first that exceeds the budget for good, whose count is within it; looked for in growing reach."""
+    reach = 8 * budget + 64
+    while True:
+        within = np.flatnonzero(counts[at : at + reach] - counts[at] <= budget)[-1]
+        if at + reach >= len(counts) or within < reach // 2:
+            return int(within)
+        reach *= 2
+
+
+def count_documents(docs: DataFrame, model_path: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit and fit_chars, the characters of the longest prefix within the limit, from the changes at every prefix."""
+    return truncate(store_prefixes(docs, model_path, id_col, text_col), limit)
