@@ -10,6 +10,7 @@ rank among those of their length.
 from __future__ import annotations
 
 import functools
+import math
 import re
 import zlib
 from dataclasses import dataclass
@@ -32,6 +33,12 @@ class Limits:
     attention: int
     weights: tuple[float, float, float] = (1.0, 0.01, 0.01)
     rule: str = "norm"  # or "dot"
+    piece: int | None = None  # tokens of the longest piece; a sequence's if None
+
+    @property
+    def longest(self) -> int:
+        """Tokens of the longest piece that every capacity has room for."""
+        return max(1, min(self.tokens, math.isqrt(self.attention), self.piece or self.tokens))
 
 
 class Encoder:
@@ -75,7 +82,7 @@ def pieces_of(docs: DataFrame, limits: Limits, json_path: str, ranks_path: str,
                 ids.append(end_id)
                 ids = np.array(ids, "<u4")
                 at = 0
-                for k, n in enumerate(cut(len(ids), limits.tokens)):
+                for k, n in enumerate(cut(len(ids), limits.longest)):
                     out.append((d, r, k, at, n, zlib.crc32(ids[at : at + n])))
                     at += n
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
@@ -174,7 +181,7 @@ def pack(pieces: DataFrame, limits: Limits, salts: int = 64) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, limits: Limits, json_path: str, ranks_path: str, pattern: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenizes every whole text once, cuts what is longer than a sequence and packs the pieces.
+    """Tokenizes every whole text once, cuts what is longer than limits.longest and packs the pieces.
 
     Null texts count as empty: one piece, the end id. Null and repeated ids are kept as rows of their own; further
     columns are not read.
