@@ -75,6 +75,25 @@ def test_token_count_rows(spark, odd):
     assert prefix_tokens.count_documents(odd.limit(0), path("piece_bpe_32k.model"), 50).count() == 0
 
 
+def test_stored_prefixes_answer_budgets(spark, odd):
+    model = path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=model)
+    stored = prefix_tokens.store_prefixes(odd, model)
+    texts = {(i, len((t or "").encode())): t or "" for i, t in enumerate(ODD)} | {(None, 10): "no id here", (1, 0): ""}
+    for budget in (1, 7, 300):
+        for r in prefix_tokens.truncate(stored, budget).collect():
+            t, n = texts[r["doc_id"], r["n_bytes"]], r["fit_chars"]
+            assert r["n_tokens"] == len(library.encode(t)) and r["over_limit"] == (r["n_tokens"] > budget)
+            assert len(library.encode(t[:n])) <= budget and (n == len(t) or len(library.encode(t[: n + 1])) > budget)
+    parts = prefix_tokens.budget_split(stored.where("doc_id > 2"), 7).orderBy("doc_id", "part").collect()
+    for i in range(3, len(ODD)):
+        own = [(r["start"], r["stop"]) for r in parts if r["doc_id"] == i]
+        counts = prefix_tokens.PrefixCounter.load(model).prefix_counts(ODD[i])
+        assert own[0][0] == 0 and own[-1][1] == len(ODD[i]) and all(a[1] == b[0] for a, b in zip(own, own[1:]))
+        assert all(counts[b] - counts[a] <= 7 or b == a + 1 for a, b in own)
+    assert prefix_tokens.truncate(stored.limit(0), 5).count() == prefix_tokens.budget_split(stored.limit(0), 5).count() == 0
+
+
 def test_audio_round_trips():
     rng = np.random.default_rng(1)
     for form in (audio.MULAW, audio.ALAW):
@@ -95,13 +114,36 @@ def test_audio_round_trips():
     assert len(audio.resample(wave, 44100, 8000)) == -(-5000 * 80 // 441)
 
 
+def test_media_columns_decode(spark):
+    rng = np.random.default_rng(9)
+    data = rng.integers(0, 256, 640).astype(np.uint8).tobytes()
+    files = [audio.store(data, audio.MULAW, 8000), audio.store(data, audio.ADPCM, 8000, 64), audio.store(data[:-10], audio.ADPCM, 8000, 64), audio.store(data, audio.PCM, 11025), None, b"", b"RIFF1234WAVE", files_head(data), audio.store(b"", audio.ALAW, 8000)]
+    df = spark.createDataFrame([(i, f, "x", i) for i, f in enumerate(files)], "id int, sound binary, media string, pcm int")
+    out = {r["id"]: r for r in audio.decode_column(df, "sound").collect()}
+    assert audio.decode_column(df, "sound").columns == ["id", "sound", "media", "media_status", "pcm"]
+    for i in (0, 1, 2, 3, 8):
+        form, rate, block, body = audio.load(files[i])
+        wanted = audio.resample(audio.samples(form, block, body), rate, 16000).astype("<i2").tobytes()
+        assert out[i]["media_status"] == "ok" and audio.load(bytes(out[i]["pcm"])) == (audio.PCM, 16000, 2, wanted)
+    assert out[4]["media_status"] == "null" and all(out[i]["media_status"].startswith("bad: ") and out[i]["pcm"] is None for i in (5, 6, 7))
+    assert audio.decode_column(df.limit(0), "sound").count() == 0
+
+
+def files_head(data):
+    return audio.store(data, 0x55, 8000)
+
+
 def test_media_rows(spark, odd):
     out = audio.store_texts(odd, keep=True).where("doc_id is not null").dropDuplicates(["doc_id", "payload_sha256"]).collect()
     for r in out:
         raw = (ODD[r["doc_id"]] or "").encode()
         padded = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
-        assert audio.load(bytes(r["media"]))[3] == padded and r["media_bytes"] == len(r["media"]) and hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"]
+        form, rate, block, data = audio.load(bytes(r["media"]))
+        assert form == (audio.MULAW, audio.ALAW, audio.ADPCM)[zlib.crc32(raw) % 3] and data == padded
+        pcm = audio.resample(audio.samples(form, block, data), rate, 16000)
+        assert audio.load(bytes(r["pcm"]))[3] == pcm.astype("<i2").tobytes() and r["feature"].endswith(audio.features(pcm))
+        assert r["media_bytes"] == len(r["media"]) and hashlib.sha256(r["media"]).hexdigest() == r["media_sha256"]
 
 
 def test_language_id_held_out(spark):
@@ -259,6 +301,35 @@ def test_surrogates(spark):
     assert surrogates.replace(docs.limit(0), "key").count() == 0
 
 
+def test_surrogates_keep_coreference(spark):
+    texts = [
+        "Mr John Smith called. Later Smith and John left. Prof. John Smith too. Johnson and Smithers stayed.",
+        "Frau Erika van der Berg-Weiss kam, dann Erika.", "Dr Kim Novak; Mrs Kim Novak; Kim.",
+        "maría@exämple.de, почта@пример.рф, tel 030/1234567, fe80::1ff:fe23:4567:890a, born 12.05.1980, passport no. C01X00T47",
+        "IBAN DE89370400440532013000 and std::vector<a1::b2c> at 12:30:45, 01/2023", "x" * 50000 + " Mr John Smith",
+    ]
+    out = [r["text"] for r in surrogates.replace(documents(spark, texts), "key").orderBy("doc_id").collect()]
+    a = re.fullmatch(r"Mr (\S+) (\S+) called\. Later (\S+) and (\S+) left\. Prof\. (\S+) (\S+) too\. Johnson and Smithers stayed\.", out[0])
+    assert a and a[1] == a[4] == a[5] != "John" and a[2] == a[3] == a[6] != "Smith" and a[1].lower() in surrogates.GIVEN["latin:m"].lower().split()
+    b = re.fullmatch(r"Frau (\S+) van der (\w+-\w+) kam, dann (\S+)\.", out[1])
+    assert b and b[1] == b[3] != "Erika" and "Berg" not in b[2]
+    c = re.fullmatch(r"Dr (\S+) (\S+); Mrs (\S+) (\S+); (\S+)\.", out[2])
+    assert c and c[1] == c[3] == c[5] and c[1].lower() in surrogates.GIVEN["latin:f"].lower().split()
+    assert not any(x in out[3] for x in ("maría", "exämple", "почта", "пример", "1234567", "fe80", "12.05.1980", "C01X00T47"))
+    assert re.search(r"born (\d\d)\.(\d\d)\.(19|20)\d\d, passport no\. [A-Z]\d\d[A-Z]\d\d[A-Z]\d\d$", out[3])
+    iban = re.match(r"IBAN (DE\d{20}) and std::vector<a1::b2c> at 12:30:45, 01/2023$", out[4])[1]
+    assert iban != "DE89370400440532013000" and int(f"{iban[4:]}1314{iban[2:4]}") % 97 == 1
+    assert out[5].startswith("x" * 50000 + " Mr ") and out[5].split(" Mr ")[1] == f"{a[1]} {a[2]}"
+
+
+def test_exhausted_surrogates(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "ROUNDS", 1)
+    texts = [f"ip 10.0.{i // 200}.{i % 200 + 1}" for i in range(40)]
+    monkeypatch.setattr(surrogates, "_draw", lambda seed, i, n: F.lit(0))
+    out = [r["text"] for r in surrogates.replace(documents(spark, texts), "key").collect()]
+    assert len(set(out)) == 40 and not any(t in out for t in texts)
+
+
 def test_surrogates_stay_distinct(spark):
     names = [f"Mr {chr(65 + i % 26)}{'abcdefghij'[i // 26 % 10]}{'klmnop'[i // 260]}a Smith" for i in range(600)]
     out = surrogates.replace(documents(spark, names), "key").select("text").collect()
@@ -288,6 +359,41 @@ def test_packing_plan(rule, docs):
         assert len(end) <= 1.02 * brute_bins(list(h.elements()), 64)
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_packing_under_capacities_that_bind(rule):
+    rng = random.Random(6)
+    limits = packing.Limits(tokens=64, docs=5, attention=700, rule=rule)
+    assert limits.longest == 26 and packing.Limits(tokens=64, docs=5, attention=700, piece=9).longest == 9
+    lengths = [min(limits.longest, 1 + int(rng.expovariate(0.1))) for _ in range(3000)]
+    places, bins = packing.plan(dict(Counter(lengths)), limits)
+    filled = [[] for _ in range(bins)]
+    for length, _, count, first, offset in places.tolist():
+        for b in range(first, first + count):
+            filled[b].append((offset, length))
+    assert Counter(n for b in filled for _, n in b) == Counter(lengths)
+    use = np.array([(sum(n for _, n in b), len(b), sum(n * n for _, n in b)) for b in filled])
+    assert (use <= [64, 5, 700]).all() and all((use[:, k] == m).any() for k, m in ((1, 5),)) and (use[:, 2] > 650).any()
+    for b in filled:
+        at = 0
+        for offset, n in sorted(b):
+            assert offset == at
+            at += n
+    # piece by piece, longest first, into the best open bin
+    left: list[np.ndarray] = []
+    most, w = np.array([64, 5, 700.0]), np.array(limits.weights)
+    for n in sorted(lengths, reverse=True):
+        item = np.array([n, 1, n * n])
+        fits = [i for i, r in enumerate(left) if (r >= item).all()]
+        value = [(w * ((left[i] - item) / most) ** 2).sum() if rule == "norm" else -(w * item / most * left[i] / most).sum() for i in fits]
+        if fits:
+            left[fits[int(np.argmin(value))]] -= item
+        else:
+            left.append(most - item)
+    assert bins <= 1.05 * len(left) + 1
+    # without the two capacities far fewer bins would do
+    assert bins > 1.1 * packing.plan(dict(Counter(lengths)), packing.Limits(tokens=64, docs=64, attention=64 * 64))[1]
+
+
 def test_packing_rows(spark, odd):
     limits = packing.Limits(tokens=100, docs=100, attention=10000)
     args = (limits, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 2)
