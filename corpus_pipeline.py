@@ -3,6 +3,8 @@
 Language identification drops what has no language, the n-gram join keeps one of each group of near duplicates,
 surrogates replace personal data, and packing cuts what is left into training sequences. A stage takes (spark,
 docs, sf_dir) and works on all rows that the one before kept; all but the last return the columns of documents.
+Null and empty texts have no language and go in the first stage; rows with null or repeated ids are rows of their own;
+an empty table stays empty; further columns are handed on.
 """
 
 from __future__ import annotations
@@ -36,14 +38,14 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """All documents, with surrogates for personal data; n_chars follows the new text."""
     common.prepare(spark)
     out = surrogates.replace(docs, queries.SURROGATE_KEY)
-    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens: one row per piece of a document."""
+    """Sequences of at most 2048 tokens, 8 pieces and the attention cost of 1536 x 1024: one row per piece of at most 1024 tokens. Each of the three binds for some sequences."""
     common.prepare(spark)
     path = public_tokenizers.path
-    limits = packing.Limits(tokens=1024, docs=1024, attention=1024 * 1024)
+    limits = packing.Limits(tokens=2048, docs=8, attention=1536 * 1024, piece=1024)
     return packing.pack_documents(docs, limits, path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, end_id=2)
 
 
