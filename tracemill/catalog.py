@@ -7,13 +7,15 @@ orders and line items its requirements, documents and pages its sources.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tracemill import recorded, session
+from tracemill import questions, recorded, recording, session
 from tracemill.functions import text as X
 from tracemill.operators import compare, graph, temporal
 from tracemill.replay import sequential
@@ -293,9 +295,10 @@ def cyclic_links(spark, sf):
     return graph.cyclic(links(spark, sf))
 
 
-@query(f"""WITH RECURSIVE {GRAPH}, open AS (SELECT DISTINCT src, dst FROM edges WHERE visibility <> 'PRIVATE'), c AS (SELECT src, dst, 1 AS hops FROM open UNION SELECT c.src, o.dst, c.hops + 1 FROM c JOIN open o ON c.dst = o.src WHERE c.hops < 8),
-s AS (SELECT src, dst, min(hops) AS hops FROM c GROUP BY 1, 2), d AS (SELECT DISTINCT src, dst FROM edges)
-SELECT src, dst, via, hops FROM (SELECT a.src, a.dst, b.dst AS via, s.hops, row_number() OVER (PARTITION BY a.src, a.dst ORDER BY s.hops, b.dst) AS r FROM d a JOIN d b ON a.src = b.src AND b.dst <> a.dst AND b.dst <> a.src AND a.src <> a.dst JOIN s ON s.src = b.dst AND s.dst = a.dst) WHERE r = 1""")
+@query(f"""WITH RECURSIVE {GRAPH}, open AS (SELECT DISTINCT src, dst FROM edges WHERE visibility <> 'PRIVATE'), d AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst),
+c AS (SELECT src, dst AS via, dst AS at, 0 AS hops FROM d UNION SELECT c.src, c.via, o.dst, c.hops + 1 FROM c JOIN open o ON c.at = o.src WHERE c.hops < 8 AND o.dst <> c.src AND o.dst <> c.via),
+s AS (SELECT c.src, c.at AS dst, via, min(hops) AS hops FROM c SEMI JOIN d ON d.src = c.src AND d.dst = c.at WHERE c.at <> via GROUP BY ALL)
+SELECT src, dst, via, hops FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY hops, via) AS r FROM s) WHERE r = 1""")
 def redundant_links(spark, sf):
     return graph.redundant(links(spark, sf))
 
@@ -426,7 +429,8 @@ def user_sql_pass(spark, sf):
     return spark.sql(USER_SQL.replace("FROM events", "FROM {events}"), events=table(spark, sf, "events"))
 
 
-@query()
+@query("""SELECT n_name, lower(lpad(to_hex(list_reduce([14695981039346656037::UHUGEINT] || list_transform(string_split(n_name, ''), lambda c: ascii(c)::UHUGEINT),
+lambda h, c: (xor(h, c) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT), 16, '0')) AS fingerprint FROM nation""")
 def fingerprint(spark, sf):
     session.ship(spark)
     return table(spark, sf, "nation").select("n_name", X.fnv1a(F.col("n_name")).alias("fingerprint"))
@@ -494,6 +498,113 @@ def replayed_scopes(spark, sf):
     return sequential.tables(events, sequential.log(events))["events"].select("conv_id", "event_id", "scope_id")
 
 
+# --- operators on names, places, graphs and recordings whose SQL states the outcome ---
+
+
+@query("SELECT p_partkey, p_partkey % 10 = 3 AND p_partkey % 6 <> 5 AS same FROM part")
+def same_library(spark, sf):
+    k = F.col("p_partkey")
+    z = F.concat(F.lit("z"), (k % 10).cast("string"))
+    forms = [z, F.concat(F.lit("-l"), z), F.concat(F.lit("/usr/lib/lib"), z, F.lit(".so")), F.concat(F.lit("Big::"), F.upper(z)), F.concat(F.lit("out\\"), z, F.lit(".lib")), F.concat(z, F.lit("x"))]
+    written = F.get(F.array(*forms), (k % 6).cast("int"))
+    return table(spark, sf, "part").select("p_partkey", X.same_library(written, F.lit(None).cast("string"), "z3").alias("same"))
+
+
+HUMAN_US = "CASE event_id % 3 WHEN 0 THEN event_id % 1000 WHEN 1 THEN (event_id % 999 + 1) * 1000 ELSE (event_id % 500 + 100) * 10000 END"
+
+
+@query(f"""SELECT event_id, CASE WHEN us < 1000 THEN us || ' us' WHEN us < 1000000 THEN printf('%.1f ms', us / 1000) ELSE printf('%.2f s', us / 1000000) END AS shown FROM (SELECT event_id, {HUMAN_US} AS us FROM events)""")
+def human_times(spark, sf):
+    return table(spark, sf, "events").select("event_id", X.human_time(F.expr(HUMAN_US)).alias("shown"))
+
+
+@query("""WITH p AS (SELECT doc_id, left(text, (doc_id * 37 % (length(text) + 1))::BIGINT) AS p FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, p, string_split(p, chr(10))[-1] AS last FROM p)
+SELECT doc_id, (length(p) - length(replace(p, chr(10), '')))::INT AS line, (length(last) + len(list_filter(string_split(last, ''), lambda c: unicode(c) > 65535)))::INT AS col FROM l""")
+def editor_positions(spark, sf):
+    d = table(spark, sf, "documents").where("text is not null").withColumn("n", (F.col("doc_id") * 37 % (F.char_length("text") + 1)).cast("int"))
+    at = X.line_and_column(F.col("text"), F.octet_length(F.substring(F.col("text"), F.lit(1), F.col("n"))))
+    return d.select("doc_id", at.alias("at")).select("doc_id", "at.line", F.col("at.column").alias("col"))
+
+
+@query("""SELECT doc_id, nullif(regexp_extract(left(l, c), '[A-Za-z0-9_]*$') || regexp_extract(substr(l, c + 1), '^[A-Za-z0-9_]*'), '') AS word FROM (SELECT doc_id, string_split(text, chr(10))[1] AS l, doc_id % 60 AS c FROM documents WHERE text IS NOT NULL)""")
+def word_under_cursor(spark, sf):
+    d = table(spark, sf, "documents").where("text is not null")
+    return d.select("doc_id", X.word_at(F.substring_index("text", "\n", 1), (F.col("doc_id") % 60).cast("int")).alias("word"))
+
+
+CHAIN = 200
+
+
+@query(f"SELECT a.range::BIGINT AS src, b.range::BIGINT AS dst FROM range({CHAIN + 1}) a, range({CHAIN + 1}) b WHERE a.range < b.range")
+def chain_closure(spark, sf):
+    n = spark.range(CHAIN)
+    return graph.closure(n.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")))
+
+
+@query(f"""WITH RECURSIVE {GRAPH}, reach AS (SELECT src, dst, 1 AS hops FROM edges UNION SELECT r.src, e.dst, hops + 1 FROM reach r JOIN edges e ON r.dst = e.src WHERE hops < 25),
+first AS (SELECT a.src AS node, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY 1)
+SELECT src AS component, min(hops) AS hops FROM reach WHERE src = dst AND src IN (SELECT component FROM first) GROUP BY 1""")
+def shortest_cycles(spark, sf):
+    return graph.shortest_cycle(links(spark, sf)).select("component", (F.size("path") - 1).alias("hops"))
+
+
+@query("""WITH RECURSIVE a AS (SELECT c_custkey AS node, c_custkey AS ancestor, 0 AS hops FROM customer UNION ALL SELECT node, ancestor // 2, hops + 1 FROM a WHERE ancestor > 1) SELECT node, ancestor, hops FROM a""")
+def scope_ancestors(spark, sf):
+    k = F.col("c_custkey")
+    return graph.ancestors(table(spark, sf, "customer").select(k.alias("id"), F.when(k > 1, F.floor(k / 2)).alias("parent_id")))
+
+
+@query("""SELECT (c_custkey % 8)::VARCHAR AS recording, c_custkey::VARCHAR AS key, coalesce((SELECT arg_max(o_orderpriority, o_orderkey) FROM orders WHERE o_custkey = c_custkey), c_mktsegment) AS value FROM customer""")
+def meta_upsert(spark, sf):
+    of = lambda df, c, value, *more: df.select((F.col(c) % 8).cast("string").alias("recording"), F.col(c).cast("string").alias("key"), F.col(value).alias("value"), *more)
+    return recording.put_meta(of(table(spark, sf, "customer"), "c_custkey", "c_mktsegment"), of(table(spark, sf, "orders"), "o_custkey", "o_orderpriority", F.col("o_orderkey").alias("seq")))
+
+
+@query("""WITH q AS (SELECT DISTINCT o_custkey AS k, o_orderstatus AS v, year(o_orderdate) % 2 AS odd FROM orders), qa AS (SELECT DISTINCT k, v FROM q WHERE odd = 0), qb AS (SELECT DISTINCT k, v FROM q WHERE odd = 1),
+both_sides AS (SELECT c_custkey AS k FROM customer WHERE c_nationkey NOT IN (3, 4)), lost AS (SELECT * FROM qa EXCEPT SELECT * FROM qb), gained AS (SELECT * FROM qb EXCEPT SELECT * FROM qa)
+SELECT 'target disappeared: t' || c_custkey AS problem FROM customer WHERE c_nationkey = 4 UNION ALL SELECT 'target appeared: t' || c_custkey FROM customer WHERE c_nationkey = 3
+UNION ALL SELECT 't' || k || ': lost define ' || chr(39) || v || chr(39) FROM lost SEMI JOIN both_sides USING (k) UNION ALL SELECT 't' || k || ': gained define ' || chr(39) || v || chr(39) FROM gained SEMI JOIN both_sides USING (k)""")
+def graph_isomorphism(spark, sf):
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    name = lambda k: F.concat(F.lit("t"), F.col(k).cast("string"))
+    side = lambda r, skip: c.where(F.col("c_nationkey") != skip).select(F.lit(r).alias("recording"), name("c_custkey").alias("name"), F.lit(1).alias("in_file_api"))
+    req = o.select(F.when(F.year("o_orderdate") % 2 == 0, "a").otherwise("b").alias("recording"), name("o_custkey").alias("target"), F.lit("define").alias("kind"), F.col("o_orderstatus").alias("value"), F.lit("fileapi").alias("source"))
+    return questions.isomorphic(Store({"targets": side("a", 3).unionByName(side("b", 4)), "usage_reqs": req}), "a", "b")
+
+
+RULE_SQL = "SELECT 'events' AS file, user_id AS line, 'has ' || count(*) || ' errors' AS message FROM events WHERE event_type = 'error' GROUP BY user_id HAVING count(*) > 2"
+
+
+@query(f"SELECT 'too-many-errors' AS rule, 'warning' AS severity, file, line, message FROM ({RULE_SQL})")
+def sql_rule_findings(spark, sf):
+    return questions.sql_rule(spark, {"events": table(spark, sf, "events")}, "too-many-errors", RULE_SQL).select("rule", "severity", "file", "line", "message")
+
+
+@query(f"""WITH e AS (SELECT user_id % 8 AS r, user_id, event_id, event_type, {CENTS} AS v FROM events WHERE event_type IN ('click', 'purchase', 'view'))
+SELECT 'rec' || r AS recording, 'V' || user_id AS name, count(*) AS writes, max(CASE WHEN event_type = 'click' THEN v END)::VARCHAR AS largest, max(n)::BIGINT AS events
+FROM e JOIN (SELECT r, count(*) AS n FROM e GROUP BY r) USING (r) WHERE event_type <> 'view' GROUP BY ALL""")
+def ingested_recordings(spark, sf):
+    """Eight traces as files of JSON lines, ingested, saved, and loaded again."""
+    name, kind = F.concat(F.lit("V"), F.col("user_id")), F.col("event_type")
+    e = table(spark, sf, "events").where(kind.isin("click", "purchase", "view"))
+    cmd = F.when(kind == "click", "set").when(kind == "purchase", "unset").otherwise("message")
+    args = F.when(kind == "click", F.array(name, F.round(F.col("value") * 100).cast("long").cast("string"))).when(kind == "purchase", F.array(name)).otherwise(F.array(F.lit("x")))
+    event = F.struct(F.lit("/src/a").alias("file"), F.lit(1).alias("line"), cmd.alias("cmd"), args.alias("args"), (F.col("us") / 1e6).alias("time"), F.lit(1).alias("frame"), F.lit(1).alias("global_frame"))
+    rows = e.select((F.col("user_id") % 8).cast("int").alias("r"), F.col("event_id").alias("at"), F.to_json(event).alias("value"))
+    heads = spark.range(8).select(F.col("id").cast("int").alias("r"), F.lit(-1).cast("long").alias("at"), F.lit('{"version":{"major":1,"minor":2}}').alias("value"))
+    folder = f"{session.shared_folder(spark) or 'file://' + tempfile.mkdtemp(prefix='tracemill-')}/traces-{uuid.uuid4().hex}"
+    session.delete_at_exit(spark, folder)
+    # a trace is one file, so its lines are one task's to write
+    lines = rows.unionByName(heads).withColumn("folder", F.concat(F.lit("rec"), F.col("r").cast("string"))).repartition(8, "folder").sortWithinPartitions("folder", "at").select("folder", "value")
+    lines.write.partitionBy("folder").text(f"{folder}/raw")
+    sources = spark.createDataFrame([(f"folder=rec{i}", "/src/a", "") for i in range(8)], "recording string, path string, content string")
+    recording.save(recording.ingest(spark, f"{folder}/raw/*/*.txt", sources, "/src"), f"{folder}/saved")
+    t = recording.load(spark, f"{folder}/saved")
+    n = t["events"].groupBy("recording").agg(F.count("*").alias("events"))
+    w = t["var_writes"].groupBy("recording", "name").agg(F.count("*").alias("writes"), F.max(F.col("value").cast("long")).cast("string").alias("largest"))
+    return w.join(n, "recording").select(F.substring_index("recording", "=", -1).alias("recording"), "name", "writes", "largest", "events")
+
+
 def queries() -> dict[str, Query]:
     return _QUERIES | recorded.queries()
 

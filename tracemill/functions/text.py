@@ -50,6 +50,38 @@ def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def same_library(written: Column, target: Column, name: str) -> Column:
+    """A link item names this library: by its target or its own text, or by its file's name without folder, -l, lib and extension, or by what follows the last :: in any case."""
+    file = F.regexp_replace(F.regexp_extract(written, r"[^/\\\\]*$", 0), "^(?:-l)+", "")
+    stem = F.regexp_replace(F.regexp_extract(file, r"^(.*)\.(?:a|so|dylib|lib|tbd)$", 1), r"\.so\..*$", "")
+    spaced = F.lower(F.regexp_extract(written, "::([^:]*)$", 1))
+    return F.coalesce(target == name, F.lit(False)) | (written == name) | (file == name) | (stem == name) | (stem == f"lib{name}") | (written.contains("::") & (spaced == name.lower()))
+
+
+def human_time(micros: Column) -> Column:
+    """Microseconds as `12 us`, `3.4 ms` or `5.67 s`."""
+    return F.when(micros < 1000, F.concat(micros.cast("string"), F.lit(" us"))).when(micros < 1_000_000, F.concat(F.format_string("%.1f", micros / 1000), F.lit(" ms"))).otherwise(F.concat(F.format_string("%.2f", micros / 1_000_000), F.lit(" s")))
+
+
+def line_and_column(text: Column, offset: Column) -> Column:
+    """line and column, from 0, of a byte offset into the UTF-8 text; columns count UTF-16 units, as editors do. An offset inside a character means that character."""
+    whole = F.encode(text, "UTF-8")
+    # bytes that continue a character are passed over backwards, at most three of them
+    at = F.least(F.greatest(offset, F.lit(0)), F.octet_length(whole))
+    inside = lambda i: F.conv(F.hex(F.substring(whole, i + 1, F.lit(1))), 16, 10).cast("int").between(128, 191)
+    for _ in range(3):
+        at = F.when(F.coalesce(inside(at), F.lit(False)), at - 1).otherwise(at)
+    before = F.decode(F.substring(whole, F.lit(1), at), "UTF-8")
+    last = F.substring_index(before, "\n", -1)
+    return F.struct((F.char_length(before) - F.char_length(F.replace(before, F.lit("\n"), F.lit("")))).alias("line"), (F.octet_length(F.encode(last, "UTF-16LE")) / 2).cast("int").alias("column"))
+
+
+def word_at(line: Column, column: Column) -> Column:
+    """The name that spans or touches a place of a line, counted in characters from 0; null where none does."""
+    word = F.concat(F.regexp_extract(F.substring(line, F.lit(1), column), "[A-Za-z0-9_]*$", 0), F.regexp_extract(F.substring(line, column + 1, F.char_length(line)), "^[A-Za-z0-9_]*", 0))
+    return F.when(word != "", word)
+
+
 def suggestions(names: DataFrame, known: DataFrame) -> DataFrame:
     """Nearest other known name within two edits, by distance, then name. Pairs meet on length, so no cross join."""
     a = names.select("name", F.explode(F.sequence(F.char_length("name") - 2, F.char_length("name") + 2)).alias("n"))

@@ -7,12 +7,17 @@ a parameter.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tracemill import session
 
+#: Edges that components and rings are looked for in by the driver; more are left to joins.
+AT_HAND = 100_000
+
 
 def closure(edges: DataFrame) -> DataFrame:
     """Pairs (src, dst) with a path of at least one edge. What a step found is joined with all found before, so paths double in length from step to step."""
@@ -58,14 +63,74 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     return edges
 
 
+def _at_hand(edges: DataFrame) -> dict | None:
+    """Successors of each node, where the edges are few enough for the driver; else None."""
+    rows = edges.limit(AT_HAND + 1).collect()
+    if len(rows) > AT_HAND:
+        return None
+    out: dict = {}
+    for src, dst in sorted(rows):
+        out.setdefault(src, []).append(dst)
+    return out
+
+
+def _components(after: dict) -> dict:
+    """The smallest node of its component, for each node on a cycle: one depth-first walk that keeps the nodes not yet given to a component."""
+    index, low, open_, out = {}, {}, {}, {}
+    for root in after:
+        walk = [(root, iter(after.get(root, ())))] if root not in index else []
+        if walk:
+            index[root] = low[root] = len(index)
+            open_[root] = None
+        while walk:
+            node, successors = walk[-1]
+            for n in successors:
+                if n not in index:
+                    index[n] = low[n] = len(index)
+                    open_[n] = None
+                    walk.append((n, iter(after.get(n, ()))))
+                    break
+                if n in open_:
+                    low[node] = min(low[node], index[n])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == index[node]:
+                    members = [n for n in open_ if index[n] >= index[node]]
+                    for n in members:
+                        del open_[n]
+                    if len(members) > 1 or node in after.get(node, ()):
+                        out |= dict.fromkeys(members, min(members))
+    return out
+
+
+def _shortest_ring(after: dict, start, inside: set) -> list:
+    """The shortest way from a node back to itself, of several the smallest list, level by level."""
+    level, seen = {start: [start]}, set()
+    while True:
+        ahead: dict = {}
+        for node in sorted(level, key=level.get):
+            for n in after.get(node, ()):
+                if n in inside and n not in seen:
+                    ahead.setdefault(n, [*level[node], n])
+        if start in ahead:
+            return ahead[start]
+        seen |= set(ahead)
+        level = ahead
+
+
 def cyclic(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) of each node on a cycle, self-loops included.
 
-    Each round gives every node the smallest node that leads to it, and takes for each of those the nodes of its kind
+    At most AT_HAND edges are walked by the driver. Of more, each round gives every node the smallest node that leads to it, and takes for each of those the nodes of its kind
     that lead back to it: a strongly connected component. No closure is built.
     """
-    left = _trimmed(session.cut(edges.select("src", "dst").distinct()))
-    out = None
+    left = session.cut(edges.select("src", "dst").distinct())
+    if (after := _at_hand(left)) is not None:
+        kind = left.schema["src"].dataType.simpleString()
+        return edges.sparkSession.createDataFrame(list(_components(after).items()), f"node {kind}, component {kind}")
+    left, out = _trimmed(left), None
     while not left.isEmpty():
         color = session.cut(left.select(F.col("src").alias("node")).unionByName(left.select(F.col("dst").alias("node"))).distinct().withColumn("color", F.col("node")))
         while True:
@@ -95,44 +160,54 @@ def cyclic(edges: DataFrame) -> DataFrame:
 
 def shortest_cycle(edges: DataFrame) -> DataFrame:
     """component and path, for each component of nodes on cycles: the shortest cycle through its smallest node, as the list of its nodes with that one first and last; of several the smallest list."""
+    edges = session.cut(edges.select("src", "dst").distinct())
+    if (after := _at_hand(edges)) is not None:
+        kind = edges.schema["src"].dataType.simpleString()
+        members: dict = {}
+        for node, component in _components(after).items():
+            members.setdefault(component, set()).add(node)
+        rings = [(c, _shortest_ring(after, c, inside)) for c, inside in members.items()]
+        return edges.sparkSession.createDataFrame(rings, f"component {kind}, path array<{kind}>")
     of = session.cut(cyclic(edges))
     inside = edges.select("src", "dst").distinct().join(of.select(F.col("node").alias("src"), "component"), "src").join(of.select(F.col("node").alias("dst"), F.col("component").alias("other")), "dst").where("component = other").select("component", "src", "dst")
     inside = session.cut(inside)
-    reached = None
     paths = session.cut(inside.where("src = component").groupBy("component", "dst").agg(F.min(F.array("src", "dst")).alias("path")))
-    out = paths.where("dst = component")
-    while True:
+    levels = [paths]
+    while not paths.isEmpty():
         # a component whose cycle is closed goes no further; each node is entered once, by its smallest path
-        reached = paths.select("component", "dst") if reached is None else session.cut(reached.unionByName(paths.select("component", "dst")))
-        onward = paths.join(out.select("component").distinct(), "component", "left_anti").select("component", F.col("dst").alias("src"), "path")
+        onward = paths.join(paths.where("dst = component").select("component"), "component", "left_anti").select("component", F.col("dst").alias("src"), "path")
         step = onward.join(inside, ["component", "src"]).groupBy("component", "dst").agg(F.min(F.array_append("path", F.col("dst"))).alias("path"))
+        reached = reduce(DataFrame.unionByName, [p.select("component", "dst") for p in levels])
         paths = session.cut(step.join(reached, ["component", "dst"], "left_anti"))
-        if paths.isEmpty():
-            return out.select("component", "path")
-        out = session.cut(out.unionByName(paths.where("dst = component")))
+        levels.append(paths)
+    return reduce(DataFrame.unionByName, levels).where("dst = component").select("component", "path")
 
 
-def shortest_chains(edges: DataFrame, max_hops: int = 8) -> DataFrame:
-    """Least number of hops, at most max_hops, of each pair joined by a path that leaves its first node once."""
-    edges = edges.select("src", "dst").distinct()
-    seen = frontier = session.cut(edges.withColumn("hops", F.lit(1)))
-    for hops in range(2, max_hops + 1):
-        step = frontier.select("src", F.col("dst").alias("via")).join(edges.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
-        frontier = session.cut(step.join(seen, ["src", "dst"], "left_anti").withColumn("hops", F.lit(hops)))
-        if frontier.isEmpty():
-            break
-        seen = session.cut(seen.unionByName(frontier))
-    return seen
+def redundant(edges: DataFrame, max_hops: int = 8, barriers: DataFrame | None = None) -> DataFrame:
+    """Direct edges src -> dst that another direct dependency of src provides by a chain of at most max_hops re-exported links; the shortest, then the smallest dependency.
 
-
-def redundant(edges: DataFrame, max_hops: int = 8) -> DataFrame:
-    """Direct edges src -> dst that another direct dependency of src provides by a chain of re-exported links; the shortest, then the smallest dependency."""
-    chains = shortest_chains(edges.where("visibility <> 'PRIVATE'"), max_hops)
-    other = edges.select("src", F.col("dst").alias("via")).distinct()
-    routes = edges.select("src", "dst").distinct().join(other, "src").where("via <> dst and via <> src and src <> dst")
-    found = routes.join(chains.select(F.col("src").alias("via"), "dst", "hops"), ["via", "dst"])
+    Chains don't lead through src, nor through the nodes of barriers.
+    """
+    direct = session.cut(edges.select("src", "dst").distinct().where("src <> dst"))
+    open_ = edges.where("visibility <> 'PRIVATE'").select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct()
+    if barriers is not None:
+        open_ = open_.join(barriers.select(F.col("node").alias("at")), "at", "left_anti")
+    open_ = session.cut(open_)
+    new = direct.select("src", F.col("dst").alias("via"), F.col("dst").alias("at"))
+    seen, found = [], []
+    for hops in range(1, max_hops + 1):
+        step = new.join(open_, "at").where("next <> src and next <> via").select("src", "via", F.col("next").alias("at")).distinct()
+        for old in seen:
+            step = step.join(old, ["src", "via", "at"], "left_anti")
+        new = session.cut(step)
+        if new.isEmpty():
+            break
+        seen.append(new)
+        found.append(new.join(direct.withColumnRenamed("dst", "at"), ["src", "at"], "left_semi").select("src", F.col("at").alias("dst"), "via", F.lit(hops).alias("hops")))
+    if not found:
+        return direct.select("src", "dst", F.col("dst").alias("via"), F.lit(0).alias("hops")).limit(0)
     best = W.partitionBy("src", "dst").orderBy("hops", "via")
-    return found.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("src", "dst", "via", "hops")
+    return reduce(DataFrame.unionByName, found).withColumn("_r", F.row_number().over(best)).where("_r = 1").select("src", "dst", "via", "hops")
 
 
 def ancestors(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:

@@ -36,14 +36,17 @@ def self_time(events: DataFrame, time: Column, order: str, by: list[str] | None
     return rows.withColumn(name, F.coalesce(F.greatest(gap, F.lit(0)), F.lit(0)).cast("long")).select(*events.columns, name)
 
 
-def numbered(rows: DataFrame, order: str, by: list[str], name: str) -> DataFrame:
-    """Rows with their rank from 1 in the order within `by`, as self_time works: stretch by stretch, then shifted by the counts before."""
+def sequence(rows: DataFrame, order: str, by: list[str], time: Column, rank: str, gap: str) -> DataFrame:
+    """Rows with their rank from 1 in the order within `by`, and the time to the next one as self_time gives it; both stretch by stretch, in one pass."""
     span, over = _spans(order, by)
-    spans = rows.withColumn("_span", span)
-    counts = spans.groupBy(*by, "_span").agg(F.count("*").alias("_n"))
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    ranked = spans.withColumn("_rank", F.row_number().over(W.partitionBy(*by, "_span").orderBy(order))).join(counts, [*by, "_span"])
-    return ranked.withColumn(name, (F.col("_rank") + F.col("_before")).cast("long")).select(*rows.columns, name)
+    spans = rows.withColumns({"_span": span, "_time": time})
+    inside = W.partitionBy(*by, "_span").orderBy(order)
+    each = spans.groupBy(*by, "_span").agg(F.count("*").alias("_n"), F.min_by("_time", order).alias("_first"))
+    each = each.withColumns({"_before": F.coalesce(F.sum("_n").over(over.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_following": F.lead("_first").over(over)}).drop("_n", "_first")
+    spans = spans.withColumns({"_rank": F.row_number().over(inside), "_next": F.lead("_time").over(inside)}).join(each, [*by, "_span"])
+    step = (F.coalesce("_next", "_following") - F.col("_time")).cast("long")
+    spans = spans.withColumns({rank: (F.col("_rank") + F.col("_before")).cast("long"), gap: F.coalesce(F.greatest(step, F.lit(0)), F.lit(0)).cast("long")})
+    return spans.select(*rows.columns, rank, gap)
 
 
 def next_write(writes: DataFrame, key: list[str], order: str, columns: list[str]) -> DataFrame:

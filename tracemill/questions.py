@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tracemill.functions import text as X
 from tracemill.operators import compare, graph
@@ -43,19 +45,54 @@ def _edges(t: Store) -> DataFrame:
     return t.tgt_edges.select(F.concat_ws("\u0001", "recording", "src_target").alias("src"), F.concat_ws("\u0001", "recording", F.coalesce("dst_target", "dst")).alias("dst"), "visibility")
 
 
-def why_links(t: Store, target: str, library: str, most_edges: int = 12) -> DataFrame:
-    """Simple paths by which a library reaches a target, each hop with its visibility and place: recording, path_id, hop, src, dst, visibility, file, line."""
+def why_links(t: Store, target: str, library: str, most_edges: int = 32, most_paths: int = 64) -> DataFrame:
+    """Simple paths by which a library reaches a target, each hop with its visibility and place: recording, path_id (from 1, shortest path first), hop, src, dst, visibility, file, line.
+
+    The library may be a target, a file, or a name behind -l or ::. Paths have at most most_edges edges; the shortest
+    most_paths of a recording are given.
+    """
     e = _edges(t).distinct()
     tail = lambda c: F.substring_index(c, "\u0001", -1)
     starts = e.where(tail("src") == target).select("src").distinct()
-    paths = graph.simple_paths(e.select("src", "dst", "visibility"), starts, lambda c: tail(c) == library, most_edges).select("path").distinct()
-    paths = paths.withColumns({"path_id": F.xxhash64("path"), "recording": F.substring_index(F.col("path")[0], "\u0001", 1)})
+    goal = lambda c: X.same_library(tail(c), F.lit(None).cast("string"), library)
+    paths = graph.simple_paths(e.select("src", "dst", "visibility"), starts, goal, most_edges).select("path").distinct()
+    paths = paths.withColumn("recording", F.substring_index(F.col("path")[0], "\u0001", 1))
+    paths = paths.withColumn("path_id", F.row_number().over(W.partitionBy("recording").orderBy(F.size("path"), "path"))).where(F.col("path_id") <= most_paths)
     pairs = F.transform(F.sequence(F.lit(0), F.size("path") - 2), lambda i: F.struct(F.get("path", i).alias("src"), F.get("path", i + 1).alias("dst")))
     hops = paths.select("recording", "path_id", F.posexplode(pairs).alias("hop", "p")).select("recording", "path_id", "hop", tail("p.src").alias("src"), tail("p.dst").alias("dst"))
     place = t.tgt_edges.select("recording", F.col("src_target").alias("src"), F.coalesce("dst_target", "dst").alias("dst"), "visibility", F.col("origin_event").alias("event_id")).join(t.events.select("recording", "event_id", "file", "line"), ["recording", "event_id"], "left")
     return hops.join(place, ["recording", "src", "dst"]).select("recording", "path_id", "hop", "src", "dst", "visibility", "file", "line").orderBy("recording", "path_id", "hop")
 
 
+def path_tree(hops: DataFrame) -> dict:
+    """The paths of why_links as a tree of prefixes, by recording: children of a node are told apart by name and visibility, in the order of the paths. At most 64 short paths a recording come to the driver."""
+    paths: dict[tuple, dict[int, tuple[str, str, str]]] = {}
+    for r in hops.orderBy("recording", "path_id", "hop", "visibility").collect():
+        paths.setdefault((r.recording, r.path_id), {}).setdefault(r.hop, (r.src, r.dst, r.visibility))
+    tree: dict = {}
+    for (recording, _), path in paths.items():
+        node = tree.setdefault(recording, {}).setdefault((path[0][0], None), {})
+        for _, dst, visibility in path.values():
+            node = node.setdefault((dst, visibility), {})
+    return tree
+
+
+def isomorphic(t: Store, left: str, right: str) -> DataFrame:
+    """problem: targets of one recording only, and resolved requirements that a target of both lost or gained. None if a rewrite left the build graph as it was."""
+    of = lambda df, r: df.where(F.col("recording") == r).drop("recording").distinct()
+    names = t.targets.where("in_file_api = 1").select("recording", "name")
+    a, b = of(names, left), of(names, right)
+    label = lambda text, *c: F.format_string(text, *c).alias("problem")
+    both = a.join(b, ["name"], "left_semi")
+    reqs = t.usage_reqs.where("source = 'fileapi'").select("recording", F.col("target").alias("name"), "kind", "value")
+    ra, rb = (of(reqs, r).join(both, ["name"], "left_semi") for r in (left, right))
+    parts = [
+        a.join(b, ["name"], "left_anti").select(label("target disappeared: %s", "name")), b.join(a, ["name"], "left_anti").select(label("target appeared: %s", "name")),
+        ra.join(rb, ["name", "kind", "value"], "left_anti").select(label("%s: lost %s '%s'", "name", "kind", "value")), rb.join(ra, ["name", "kind", "value"], "left_anti").select(label("%s: gained %s '%s'", "name", "kind", "value")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def why_requirement(t: Store, target: str, kind: str, value: str) -> DataFrame:
     """Where an include, define or option of a target comes from: its own call, or that of a dependency which hands it on."""
     reach = graph.closure(_edges(t).where("visibility <> 'PRIVATE'").select("src", "dst"))

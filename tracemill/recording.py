@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +18,11 @@ REQUIRED = ["events", "scopes", "var_writes", "var_reads"]
 def ingest(spark: SparkSession, traces: str | list[str], sources: DataFrame, source_dir: str, build_dir: str | None = None, stderr: str | list[str] | None = None, seeds: DataFrame | None = None) -> dict[str, DataFrame]:
     """All tables of the recordings whose traces these are. Raises sources.trace.TraceError before anything is built if a trace can't be used.
 
-    sources: recording, path, content. Events, parsed sources and the replay's rows are cut off from their lineage once each, as several tables read them.
+    sources: recording, path, content. The trace's lines, events, parsed sources and the replay's rows are cut off from their lineage once each, as several tables read them.
     """
-    trace.check(spark, traces)
-    events = session.cut(trace.events(spark, traces))
+    seen = session.cut(trace.scan(spark, traces))
+    trace.check(spark, traces, seen)
+    events = session.cut(trace.events(spark, traces, seen))
     parsed = {n: session.cut(df) for n, df in syntax.tables(sources, source_dir, build_dir).items()}
     log = session.cut(sequential.log(events, parsed["commands"], parsed["nodes"], seeds))
     tables = parsed | sequential.tables(events, log)
@@ -28,9 +32,27 @@ def ingest(spark: SparkSession, traces: str | list[str], sources: DataFrame, sou
 
 
 def save(tables: dict[str, DataFrame], path: str) -> None:
-    """Writes tables; each is complete or absent, as Spark's committer moves a table's files only when all tasks are done. events come last: a folder without them is no recording."""
-    for name in sorted(tables, key=lambda n: n == "events"):
-        tables[name].write.mode("errorifexists").partitionBy("recording").parquet(f"{path.rstrip('/')}/{name}")
+    """Writes tables into a folder beside their place, then moves them there, events last: a folder without them is no recording.
+
+    FileExistsError if a whole recording is there already. What an interrupted save left behind is replaced.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    root = path.rstrip("/")
+    if fs.exists(fs_path(f"{root}/events/_SUCCESS")):
+        raise FileExistsError(f"{path} holds a recording")
+    staging = f"{root}/_staging-{uuid.uuid4().hex}"
+    try:
+        # each is a job or more of its own, and small ones leave most cores idle
+        with ThreadPoolExecutor(4) as pool:
+            list(pool.map(lambda n: tables[n].write.partitionBy("recording").parquet(f"{staging}/{n}"), tables))
+        for name in sorted(tables, key=lambda n: n == "events"):
+            fs.delete(fs_path(f"{root}/{name}"), True)
+            if not fs.rename(fs_path(f"{staging}/{name}"), fs_path(f"{root}/{name}")):
+                raise OSError(f"{root}/{name} could not be moved into place")
+    finally:
+        fs.delete(fs_path(staging), True)
 
 
 def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -43,3 +65,9 @@ def load(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         raise ValueError(f"{path} is no recording: {', '.join(missing)} missing")
     read = lambda n: spark.read.schema(model.TABLES[n]).parquet(f"{path.rstrip('/')}/{n}")
     return {n: read(n).withColumn("recording", F.col("recording").cast("string")) for n in there}
+
+
+def put_meta(meta: DataFrame, entries: DataFrame) -> DataFrame:
+    """meta with entries (recording, key, value, seq) put in: of a key the value with the largest seq counts, and any counts more than what was there."""
+    old = meta.select("recording", "key", "value", F.lit(None).cast("bigint").alias("seq"))
+    return old.unionByName(entries.select("recording", "key", "value", "seq")).groupBy("recording", "key").agg(F.max_by("value", F.struct(F.col("seq").isNotNull(), "seq")).alias("value"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -175,20 +175,32 @@ class Replay:
         return self.rows
 
 
-def _batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class _Event:
+    """An event's columns by name."""
+
+    __slots__ = ("recording", "event_id", "file", "line", "global_frame", "cmd_lower", "args", "node_id", "byte_start", "kinds", "values", "var_refs", "env_refs", "block_end", "seeds")
+
+    def __init__(self, *values):
+        (self.recording, self.event_id, self.file, self.line, self.global_frame, self.cmd_lower, self.args, self.node_id, self.byte_start, self.kinds, self.values, self.var_refs, self.env_refs, self.block_end, self.seeds) = values
+
+
+_KINDS = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.list_(pa.string())]
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now: Replay | None = None
 
     def frame(rows):
-        return pd.DataFrame(rows, columns=_NAMES).astype({n: "Int64" for n in ("id", "event_id", "scope_id", "ref", "flag")})
+        columns = zip(*rows, strict=True) if rows else [()] * len(_NAMES)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], _NAMES)
 
     for b in batches:
         out = []
-        b = b.astype(object).where(b.notna(), None) if len(b) else b
-        for e in b.itertuples(index=False):
+        for e in map(_Event, *(b.column(c).to_pylist() for c in _Event.__slots__)):
             if now is None or now.recording != e.recording:
                 if now:
                     out += now.finish()
-                now = Replay(e.recording, [tuple(s.values()) if isinstance(s, dict) else tuple(s) for s in ([] if e.seeds is None else e.seeds)])
+                now = Replay(e.recording, [(s["name"], s["value"]) for s in e.seeds or []])
             now.step(e)
             if now.rows:
                 out += now.rows
@@ -207,8 +219,12 @@ def log(events: DataFrame, commands: DataFrame | None = None, nodes: DataFrame |
         e = e.select("*", *[F.lit(None).cast(t).alias(n) for n, t in (c.split(" ", 1) for c in node.split(", "))])
     else:
         c = commands.select("recording", "file", "line", F.col("name_lower").alias("cmd_lower"), F.struct("node_id", "byte_start", F.col("args.kind").alias("kinds"), F.col("args.value").alias("values"), "var_refs", "env_refs").alias("c"))
-        first = c.groupBy("recording", "file", "line", "cmd_lower").agg(F.min_by("c", "c.byte_start").alias("c"))
-        e = e.join(first, ["recording", "file", "line", "cmd_lower"], "left").select(*e.columns, "c.*")
+        several = c.groupBy("recording", "file", "line", "cmd_lower").agg(F.sort_array(F.collect_list(F.struct("c.byte_start", "c"))).alias("all"))
+        e = e.join(several, ["recording", "file", "line", "cmd_lower"], "left")
+        # of several commands of a name on a line, the first whose literal arguments all occur among the event's
+        plain = lambda x: F.filter(F.arrays_zip(x["c"]["kinds"].alias("k"), x["c"]["values"].alias("v")), lambda a: (a["k"] != "bracket") & ~a["v"].contains("$"))
+        fits = F.filter("all", lambda x: F.forall(plain(x), lambda a: F.array_contains("args", a["v"])))
+        e = e.withColumn("c", F.coalesce(F.get(fits, F.lit(0))["c"], F.get("all", F.lit(0))["c"])).select(*[x for x in e.columns if x != "all"], "c.*")
     if nodes is None:
         e = e.withColumn("block_end", F.lit(None).cast("long"))
     else:
@@ -221,7 +237,7 @@ def log(events: DataFrame, commands: DataFrame | None = None, nodes: DataFrame |
         e = e.join(given, "recording", "left").withColumn("seeds", F.when(F.col("event_id") == 1, F.col("given"))).drop("given")
     # a replay costs far more than the bytes it reads, so its tasks aren't joined into fewer ones
     one_task = e.repartition(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), "recording").sortWithinPartitions("recording", "event_id")
-    return one_task.mapInPandas(_batches, LOG)
+    return one_task.mapInArrow(_batches, LOG)
 
 
 def tables(events: DataFrame, log: DataFrame) -> dict[str, DataFrame]:
@@ -252,10 +268,12 @@ def tables(events: DataFrame, log: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def aliases(targets: DataFrame, hops: int = 3) -> DataFrame:
-    """recording, name, real: the target that a name stands for. The language forbids an alias of an alias; hops bounds what a damaged trace may hold, rings included."""
+def aliases(targets: DataFrame) -> DataFrame:
+    """recording, name, real: the target that a name stands for. The language forbids an alias of an alias; where a damaged trace holds some, each step doubles the hops until none is left, and a ring keeps what it has after as many steps as there could be."""
     real = targets.select("recording", "name", F.coalesce("alias_of", "name").alias("real"))
-    step = targets.where("alias_of is not null").select("recording", F.col("name").alias("real"), "alias_of")
-    for _ in range(hops - 1):
-        real = real.join(step, ["recording", "real"], "left").select("recording", "name", F.coalesce("alias_of", "real").alias("real"))
-    return real
+    link = session.cut(targets.where("alias_of is not null").select("recording", F.col("name").alias("real"), "alias_of"))
+    left = link.join(link.select("recording", F.col("real").alias("alias_of")), ["recording", "alias_of"], "left_semi").count()
+    for _ in range(left.bit_length()):
+        doubled = link.join(link.select("recording", F.col("real").alias("alias_of"), F.col("alias_of").alias("far")), ["recording", "alias_of"], "left")
+        link = session.cut(doubled.select("recording", "real", F.coalesce("far", "alias_of").alias("alias_of")))
+    return real.join(link.select("recording", F.col("real").alias("name"), "alias_of"), ["recording", "name"], "left").select("recording", "name", F.coalesce("alias_of", "real").alias("real"))

@@ -106,3 +106,27 @@ def tab_separated(rows: DataFrame) -> str:
     """A query's rows with a header; null as NULL."""
     line = lambda values: "\t".join("NULL" if v is None else str(v) for v in values)
     return "\n".join([line(rows.columns), *(line(r) for r in rows.toLocalIterator())])
+
+
+def graph_json(edges: DataFrame) -> str:
+    """The link graph as nodes and edges."""
+    rows = edges.select("src", "dst", "visibility").distinct().orderBy("src", "dst", "visibility").collect()
+    return json.dumps({"nodes": sorted({r.src for r in rows} | {r.dst for r in rows}), "edges": [r.asDict() for r in rows]}, indent=1)
+
+
+def as_objects(rows: DataFrame) -> DataFrame:
+    """Answers of questions as one JSON object a row, nulls kept."""
+    return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def bill_of_materials(dependencies: DataFrame, project: str, version: str = "1") -> str:
+    """CycloneDX 1.5 of questions.dependencies, in the order of their places. A version is given only where it is exact: a full commit. Packages that were not found are in it, marked so."""
+    components = []
+    for d in dependencies.orderBy("file", "line", "name").collect():
+        exact = d.how != "find_package" and d.problem is None and d.version
+        said = {"mechanism": d.how, "declared-at": f"{d.file}:{d.line}", "required": d.required, "found": d.found, "requested-version": d.version, "source": d.source, "problem": d.problem}
+        text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
+        one = {"type": "library", "name": d.name, "properties": [{"name": f"tracemill:{k}", "value": text(v)} for k, v in said.items() if v is not None]}
+        components.append(one | ({"version": d.version} if exact else {}) | ({"purl": d.purl} if d.purl else {}))
+    about = {"tools": {"components": [{"type": "application", "name": "tracemill", "version": version}]}, "component": {"type": "application", "name": project}}
+    return json.dumps({"bomFormat": "CycloneDX", "specVersion": "1.5", "version": 1, "metadata": about, "components": components}, indent=1)

@@ -52,9 +52,14 @@ def functions(t: Store, c: Config) -> DataFrame:
 def modules(t: Store, c: Config) -> DataFrame:
     f = t.files.where("in_source = 1").select("recording", F.col("path").alias("file"), F.substring_index("path", "/", -1).alias("name"))
     f = f.join(t.events.select("recording", "file").distinct(), ["recording", "file"], "left_anti").where(~c.ignored("dead-modules", F.col("name")))
-    # words of arguments that end in a path part: the basename, or a module's name without its extension
-    said = t.events.select("recording", F.explode("args").alias("_said")).where("_said like '%.cmake%' or _said like '%CMakeLists%'").distinct()
-    f = f.join(said, (said.recording == f.recording) & F.lower("_said").contains(F.lower("name")), "left_anti")
+    # build files end in .cmake or CMakeLists.txt: an argument holds a name where one of its parts up to such an end does
+    said = t.events.select("recording", F.explode("args").alias("a")).select("recording", F.lower("a").alias("a")).where("a like '%.cmake%' or a like '%cmakelists.txt%'").distinct()
+    parts = F.split("a", r"(?<=\.cmake)|(?<=cmakelists\.txt)")
+    upto = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), ""))
+    lengths = f.groupBy("recording").agg(F.collect_set(F.char_length("name")).alias("lengths"))
+    ends = said.select("recording", F.explode(upto).alias("p")).distinct().join(lengths, "recording").select("recording", "p", F.explode("lengths").alias("n"))
+    spoken = ends.select("recording", F.expr("right(p, n)").alias("spoken")).distinct()
+    f = f.withColumn("spoken", F.lower("name")).join(spoken, ["recording", "spoken"], "left_anti")
     f = _presets(t, f, "name").withColumn("line", F.lit(1))
     why = F.when(F.col("name") == "CMakeLists.txt", "its folder is never added").otherwise("it is never included")
     return finding(f, "dead-modules", "warning", text("'", F.col("name"), "' never ran: ", why))

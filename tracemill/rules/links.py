@@ -124,7 +124,9 @@ def cycles(t: Store, c: Config) -> DataFrame:
     g = hop.groupBy("recording", "component").agg(F.max("in_source").alias("own"), F.array_sort(F.collect_list(F.struct("event_id", "file", "line", "src_target", "dst_target"))).alias("hops"), F.array_join(F.array_sort(F.collect_set("src_target")), ", ").alias("members")).where("own")
     g = g.withColumns({"file": F.col("hops")[0]["file"], "line": F.col("hops")[0]["line"]})
     related = F.transform(F.slice("hops", 2, F.greatest(F.size("hops") - 1, F.lit(0))), lambda h: F.struct(h["file"].alias("file"), h["line"].alias("line"), F.concat(h["src_target"], F.lit(" links "), h["dst_target"]).alias("note")))
-    return finding(g, "cyclic-links", "note", text("targets link each other in a ring: ", F.col("members")), related=related)
+    ring = graph.shortest_cycle(_graph(t).select("src", "dst")).select("component", F.array_join(F.transform("path", lambda n: F.substring_index(n, NODE, -1)), " -> ").alias("ring"))
+    g = g.join(ring, "component", "left")
+    return finding(g, "cyclic-links", "note", text("targets link each other in a ring, ", F.col("ring"), ", among: ", F.col("members")), related=related)
 
 
 def redundant(t: Store, c: Config) -> DataFrame:
@@ -135,7 +137,8 @@ def redundant(t: Store, c: Config) -> DataFrame:
     shared = t.tgt_edges.groupBy("recording", F.col("origin_event").alias("event_id")).agg(F.countDistinct("src_target").alias("sources")).where("sources = 1")
     direct = direct.join(a, ["recording", "src_target"], "left_semi").join(b, ["recording", "dst_target"], "left_semi").join(shared, ["recording", "event_id"], "left_semi")
     direct = direct.where(~c.ignored("redundant-links", F.col("src_target")) & ~c.ignored("redundant-links", F.col("dst_target")))
-    via = graph.redundant(_graph(t)).select("src", "dst", _name("via").alias("via"))
+    objects = t.targets.where("type = 'OBJECT'").select(_key("name").alias("node"))
+    via = graph.redundant(_graph(t), barriers=objects).select("src", "dst", _name("via").alias("via"))
     d = first(direct, ["src_target", "dst_target"]).withColumns({"src": _key("src_target"), "dst": _key("dst_target")}).join(via, ["src", "dst"])
     return finding(d, "redundant-links", "note", text("'", F.col("src_target"), "' links '", F.col("dst_target"), "', which '", F.col("via"), "' provides already"))
 

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -26,12 +30,37 @@ def build(master: str | None = None, name: str = "tracemill", **more: str) -> Sp
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder of spark.checkpoint.dir, or of the context's checkpoints, that all executors share; None where neither is set."""
+    set_ = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return set_.rstrip("/") if set_ else None
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Tables cut off from their lineage are read by whatever was made from them, so they go when the driver does."""
+
+    def gone() -> None:
+        with contextlib.suppress(Exception):  # the JVM may be down already
+            delete(spark, path)
+
+    atexit.register(gone)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder of spark.checkpoint.dir, which survives lost executors; without that setting the plan stays whole, cached."""
+    """The rows written as a table in the shared folder and read again, which survives lost executors; without such a folder the plan stays whole, cached."""
     spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()
+    root = shared_folder(spark)
+    if root is None or any(isinstance(f.dataType, T.NullType) for f in df.schema):
+        return df.persist()
+    path = f"{root}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    delete_at_exit(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:

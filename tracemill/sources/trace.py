@@ -39,9 +39,9 @@ def scan(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.coalesce("e.args", F.array().cast("array<string>")).alias("args"), zero("time").cast("double").alias("time_abs"), zero("frame").alias("frame"), zero("global_frame").alias("global_frame"))
 
 
-def check(spark: SparkSession, path: str | list[str]) -> None:
-    """Raises TraceError on the first unusable line of any trace, or a trace without lines."""
-    seen = scan(spark, path)
+def check(spark: SparkSession, path: str | list[str], seen: DataFrame | None = None) -> None:
+    """Raises TraceError on the first unusable line of any trace, or a trace without lines. seen: what scan gave, if it is at hand."""
+    seen = scan(spark, path) if seen is None else seen
     bad = seen.where("problem is not null").orderBy("path", "trace_line").select("path", "trace_line", "problem").first()
     if bad:
         raise TraceError(f"{bad.path}: line {bad.trace_line}: {bad.problem}")
@@ -53,9 +53,9 @@ def check(spark: SparkSession, path: str | list[str]) -> None:
                 raise TraceError(f"{status.getPath()}: line 1: no version header")
 
 
-def events(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Events with event_id dense from 1 in the order of the trace and the time to the next event; an unusable line fails the query."""
-    rows = scan(spark, path)
+def events(spark: SparkSession, path: str | list[str], seen: DataFrame | None = None) -> DataFrame:
+    """Events with event_id dense from 1 in the order of the trace and the time to the next event; an unusable line fails the query. seen: as for check."""
+    rows = scan(spark, path) if seen is None else seen
     fail = F.raise_error(F.concat_ws(": ", "path", F.concat(F.lit("line "), F.col("trace_line")), "problem"))
     good = rows.where(F.when(F.col("problem").isNotNull(), fail.isNull()).otherwise(F.lit(True))).where("trace_line > 1")
     return number(good, "trace_line").drop("path", "trace_line", "problem")
@@ -63,9 +63,8 @@ def events(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def number(rows: DataFrame, order: str) -> DataFrame:
     """event_id and elapsed_us of rows ordered, by integers, within their recording; no task sees a whole recording."""
-    ranked = temporal.numbered(rows, order, ["recording"], "event_id")
-    timed = temporal.self_time(ranked.withColumn("_us", F.round(F.col("time_abs") * 1e6).cast("long")), F.col("_us"), "event_id", ["recording"], "elapsed_us").drop("_us")
-    return timed.withColumn("args_json", F.to_json("args"))
+    micros = F.round(F.col("time_abs") * 1e6).cast("long")
+    return temporal.sequence(rows, order, ["recording"], micros, "event_id", "elapsed_us").withColumn("args_json", F.to_json("args"))
 
 
 def executed_files(events: DataFrame) -> DataFrame:
