@@ -234,7 +234,7 @@ def test_components_of_a_chain(spark):
 def test_sharding(spark, n, shards):
     rng = random.Random(2)
     rows = [(rng.choice([None, 7, i]), rng.choice([None, "same", "t" * rng.randrange(300)])) for i in range(n)]
-    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards, parts=2).collect()
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), shards, least_parts=2).collect()
     assert Counter((r["doc_id"], r["size"]) for r in out) == Counter((d, len(t or "") + 16) for d, t in rows)
     by, last = defaultdict(list), 0
     for r in out:

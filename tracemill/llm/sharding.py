@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from tracemill.llm import common
 
 WORD = 1 << 64
+#: Rows of a piece of a shard, on average, that a task sorts.
+PIECE = 4_000_000
 
 
 def _keys(b: pa.RecordBatch) -> np.ndarray:
@@ -51,13 +53,14 @@ def _sums(rows: DataFrame, probes: list[int]) -> tuple[list[int], list[int]]:
     return below[0].tolist(), below[1].tolist()
 
 
-def shard(docs: DataFrame, shards: int, tolerance: float = 0.002, parts: int = 8, width: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int, tolerance: float = 0.002, least_parts: int = 8, width: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row; size is the text's UTF-8 bytes plus 16.
 
     Shards are runs of the rows in id order whose sizes differ from equal shares by the tolerance or by a row.
     Null ids stand first, null texts have no byte and crc 0. Rows of one id, equal rows too, are told apart by a
     hash of the text and their place in the input, so a group of any size splits. Slots count from 0 without a
-    gap. An empty table gives an empty one. Each shard is sorted in `parts` pieces, so a task holds no whole shard.
+    gap. An empty table gives an empty one. Each shard is sorted in pieces of about PIECE rows, or in least_parts of
+    fewer, so no task sorts more however large the table is.
     """
     spark = docs.sparkSession
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
@@ -68,6 +71,7 @@ def shard(docs: DataFrame, shards: int, tolerance: float = 0.002, parts: int = 8
     scratch = common.Scratch(spark, "shard")
     rows = scratch.write(rows, "rows")  # small: without the texts
     total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("key_id").alias("lo"), F.max("key_id").alias("hi")).first()
+    parts = max(least_parts, -(-total["n"] // (shards * PIECE)))
     cuts = _boundaries(rows, total, shards * parts, parts, tolerance, width) if total["n"] else []
     edges = _probes(cuts)
 
