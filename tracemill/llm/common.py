@@ -46,10 +46,11 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Written tables that cut lineage; they survive the loss of executors. drop() removes those no longer read."""
+    """Written tables that cut lineage; they survive the loss of executors. drop() removes those no longer read; the rest go when the driver ends."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.root, self.made = spark, f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0
+        session.delete_at_exit(spark, self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.made += 1
