@@ -1,4 +1,4 @@
-"""Queries that run the packaged rules over recordings made from the customers table, each with the SQL that says the same.
+"""Queries that run the packaged rules, the replay and questions over recordings made from the customers table, each with the SQL that says the same.
 
 Every customer is a file of a build; fifty files in a row are a recording. A case gives the file's lines as text, and
 the events that ran them where a condition on the customer holds. The text is lexed, the events are replayed, and the
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill import session, syntax
+from tracemill import questions, session, syntax
 from tracemill.replay import sequential
 from tracemill.rules import RULES, Config, Store
 from tracemill.sources import trace
@@ -198,13 +198,122 @@ def _sql(rule: str) -> str:
     return f"{base} {' UNION ALL '.join(parts)}"
 
 
+#: Replays by name: the lines, and what is read: line, name, kind, the value seen and condition, in the SQL of both engines.
+REPLAYS: dict[str, tuple[list[Line], list[tuple[str, str, str, str, str]]]] = {
+    "replay_function": (
+        [
+            Line("function(f{k} a)", "function", ("f{k}", "a")), Line("  set(x{k} 2)"), Line('  message("${x{k}} ${a}")'), Line("endfunction()"), _call("set", "x{k}", "1"), _call("f{k}", "v{n}"),
+            Line(None, "set", ("x{k}", "2"), at=2, depth=2), Line(None, "message", ("2 v{n}",), at=3, depth=2), _call("message", "1", text='message("${x{k}} ${a}")'),
+        ],
+        [("3", "'x' || k", "expand", "'2'", "true"), ("3", "'a'", "expand", "'v' || n", "true"), ("7", "'x' || k", "expand", "'1'", "true"), ("7", "'a'", "expand", "NULL", "true")],
+    ),
+    "replay_macro": (
+        [
+            Line("macro(m{k} a)", "macro", ("m{k}", "a")), Line("  set(y{k} 3)"), Line("endmacro()"), _call("set", "y{k}", "1"), _call("m{k}", "v", when="n % 2 = 0"),
+            Line(None, "set", ("y{k}", "3"), "n % 2 = 0", at=2, depth=2), _call("message", "x", text='message("${y{k}}")'),
+        ],
+        [("6", "'y' || k", "expand", "CASE WHEN n % 2 = 0 THEN '3' ELSE '1' END", "true")],
+    ),
+    "replay_parent_scope": (
+        [
+            Line("function(g{k})", "function", ("g{k}",)), Line("  set(up{k} {n} PARENT_SCOPE)"), Line("endfunction()"), _call("g{k}", when="n % 3 > 0"),
+            Line(None, "set", ("up{k}", "{n}", "PARENT_SCOPE"), "n % 3 > 0", at=2, depth=2), _call("message", "x", text='message("${up{k}}")'),
+        ],
+        [("5", "'up' || k", "expand", "CASE WHEN n % 3 > 0 THEN n::VARCHAR END", "true")],
+    ),
+    "replay_cache": (
+        [
+            Line('option(C{k} "d" ON)', "option", ("C{k}", "d", "ON")), _call("set", "C{k}", "5", when="n % 2 = 0"), _call("message", "x", text='message("${C{k}}")'), _call("unset", "C{k}"),
+            _call("message", "x", text='message("${C{k}}")'), _call("set", "H{k}", "a", "CACHE", "STRING", "d"), _call("set", "H{k}", "b", "CACHE", "STRING", "d"),
+            _call("set", "H{k}", "c", "CACHE", "STRING", "d", "FORCE", when="n % 3 = 0"), _call("message", "x", text='message("${H{k}}")'),
+        ],
+        [
+            ("3", "'C' || k", "expand", "CASE WHEN n % 2 = 0 THEN '5' ELSE 'ON' END", "true"), ("5", "'C' || k", "expand", "'ON'", "true"),
+            ("9", "'H' || k", "expand", "CASE WHEN n % 3 = 0 THEN 'c' ELSE 'a' END", "true"),
+        ],
+    ),
+    "replay_environment": (
+        [_call("set", "ENV{E{k}}", "{n}", when="n % 2 = 0"), _call("message", "x", text='message("$ENV{E{k}}")'), _call("unset", "ENV{E{k}}", when="n % 3 = 0"), _call("message", "x", text='message("$ENV{E{k}}")')],
+        [("2", "'E' || k", "env", "CASE WHEN n % 2 = 0 THEN n::VARCHAR END", "true"), ("4", "'E' || k", "env", "CASE WHEN n % 2 = 0 AND n % 3 <> 0 THEN n::VARCHAR END", "true")],
+    ),
+    "replay_conditions_and_lists": (
+        [
+            _call("set", "Q{k}", "q", when="n % 2 = 0"), Line("if(DEFINED Q{k} AND Q{k} AND none{k})", "if", ("DEFINED", "Q{k}", "AND", "Q{k}", "AND", "none{k}")), IF_END,
+            _call("set", "L{k}", "a", "b"), Line("foreach(i{k} IN LISTS L{k})", "foreach", ("i{k}", "IN", "LISTS", "L{k}")), Line("endforeach()"), _call("list", "APPEND", "L{k}", "c"),
+        ],
+        [
+            ("2", "'Q' || k", "condition", "CASE WHEN n % 2 = 0 THEN 'q' END", "true"), ("2", "'Q' || k", "condition", "'q'", "n % 2 = 0"),
+            ("5", "'L' || k", "listarg", "'a;b'", "true"), ("7", "'L' || k", "listarg", "'a;b'", "true"),
+        ],
+    ),
+}
+
+
+def _replay(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = store(spark, sf_dir, REPLAYS[name][0])
+        written = t.var_writes.select("recording", F.col("write_id").alias("resolved_write_id"), "value")
+        places = t.events.select("recording", "event_id", "file", "line")
+        return t.var_reads.join(places, ["recording", "event_id"]).join(written, ["recording", "resolved_write_id"], "left").select("file", "line", "name", "read_kind", "value")
+
+    run.__name__ = name
+    return run
+
+
+_CUSTOMERS = f"WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, 'r' || (c_custkey // {FILES}) AS recording, '/src/c' || c_custkey || '.cmake' AS file FROM customer)"
+
+
+def _replay_sql(name: str) -> str:
+    return f"{_CUSTOMERS} " + " UNION ALL ".join(f"SELECT file, {line}::BIGINT AS line, {n} AS name, '{kind}' AS read_kind, ({value})::VARCHAR AS value FROM c WHERE {when}" for line, n, kind, value, when in REPLAYS[name][1])
+
+
+def why_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of a command that ran, whose guard failed, whose function nobody called, or whose file never ran."""
+    runs = "n % 5 <> 0"
+    lines = [_call("if", "A{k}", when=runs), Line("  special()", "special", (), f"{runs} and n % 2 = 0"), IF_END, Line("function(h{k})", "function", ("h{k}",), runs), Line("  special()"), Line("endfunction()")]
+    return questions.why_not_run(store(spark, sf_dir, lines), "special").select("file", "line", "status", "evaluations")
+
+
+def dependency_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = [
+        _call("find_package", "P{k}", "1.{n}", "REQUIRED"), _call("set", "P{k}_FOUND", "1", when="n % 2 = 0"),
+        _call("FetchContent_Declare", "f{k}", "GIT_REPOSITORY", "https://github.com/Own/R{k}.git", "GIT_TAG", "a" * 40, when="n % 3 = 0"),
+    ]
+    return questions.dependencies(store(spark, sf_dir, lines)).select("file", "line", "name", "how", "version", "required", "found", "purl")
+
+
+def build_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of targets made by name and by alias."""
+    lines = [_library("a{k}"), _library("b{k}"), _call("add_library", "N::b{k}", "ALIAS", "b{k}"), _call("target_link_libraries", "a{k}", "PRIVATE", "N::b{k}", "PUBLIC", "z"), _call("target_link_libraries", "b{k}", "INTERFACE", "a{k}", when="n % 2 = 0")]
+    return store(spark, sf_dir, lines).tgt_edges.select("recording", "src_target", "dst", "dst_target", "visibility")
+
+
+def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths from a target to a library that is named by its file, shortest first, within one recording."""
+    lines = [_library("a{k}"), _library("b{k}"), _call("target_link_libraries", "a{k}", "PRIVATE", "b{k}"), _call("target_link_libraries", "b{k}", "PUBLIC", "/lib/libz{n}.so"), _call("target_link_libraries", "a{k}", "PRIVATE", "-lz{n}", when="n % 2 = 0")]
+    t = store(spark, sf_dir, lines)
+    return questions.why_links(t, "a7", "z{}".format(_customers(spark, sf_dir).where("k = 7").first()["n"])).select("path_id", "hop", "src", "dst", "visibility", "line")
+
+
+MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "why_not": (why_not, f"""{_CUSTOMERS} SELECT file, 2::BIGINT AS line, CASE WHEN n % 5 = 0 THEN 'file-never-ran' WHEN n % 2 = 0 THEN 'ran' ELSE 'guard-failed' END AS status, (n % 5 <> 0 AND n % 2 = 0)::BIGINT AS evaluations FROM c
+UNION ALL SELECT file, 5, CASE WHEN n % 5 = 0 THEN 'file-never-ran' ELSE 'uncalled' END, 0 FROM c"""),
+    "dependency_inventory": (dependency_inventory, f"""{_CUSTOMERS} SELECT file, 1::BIGINT AS line, 'P' || k AS name, 'find_package' AS how, '1.' || n AS version, true AS required, CASE WHEN n % 2 = 0 THEN true END AS found, NULL::VARCHAR AS purl FROM c
+UNION ALL SELECT file, 3, 'f' || k, 'fetchcontent_declare', repeat('a', 40), true, NULL, 'pkg:github/own/r' || k || '@' || repeat('a', 40) FROM c WHERE n % 3 = 0"""),
+    "build_links": (build_links, f"""{_CUSTOMERS} SELECT recording, 'a' || k AS src_target, 'N::b' || k AS dst, 'b' || k AS dst_target, 'PRIVATE' AS visibility FROM c UNION ALL SELECT recording, 'a' || k, 'z', NULL, 'PUBLIC' FROM c
+UNION ALL SELECT recording, 'b' || k, 'a' || k, 'a' || k, 'INTERFACE' FROM c WHERE n % 2 = 0"""),
+    "provenance": (provenance, f"""{_CUSTOMERS}, p AS (SELECT 1 + (n % 2 = 0)::BIGINT AS id, n FROM c WHERE k = 7) SELECT id::INT AS path_id, 0 AS hop, 'a7' AS src, 'b7' AS dst, 'PRIVATE' AS visibility, 3::BIGINT AS line FROM p UNION ALL SELECT id::INT, 1, 'b7', '/lib/libz' || n || '.so', 'PUBLIC', 4 FROM p
+UNION ALL SELECT 1, 0, 'a7', '-lz' || n, 'PRIVATE', 5 FROM p WHERE n % 2 = 0"""),
+}
+
+
 def name_of(rule: str) -> str:
     return "rule_" + rule.replace("-", "_")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name_of(rule): _query(rule) for rule in CASES}
+    return {name_of(rule): _query(rule) for rule in CASES} | {name: _replay(name) for name in REPLAYS} | {name: run for name, (run, _) in MORE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name_of(rule): _sql(rule) for rule in CASES}
+    return {name_of(rule): _sql(rule) for rule in CASES} | {name: _replay_sql(name) for name in REPLAYS} | {name: sql for name, (_, sql) in MORE.items()}
