@@ -6,7 +6,7 @@ import time
 
 from tracemill import catalog, session
 
-QUERIES = ["event_self_time", "command_hotspots", "scope_hotspots", "profile_compare", "dead_options", "clobbers", "dominating_write", "cache_soft_hard", "duplicate_links", "shadowed_routes", "diff_requirements", "explain_arg_sets", "interval_containment", "simple_paths", "replayed_reads", "replayed_clobbers"]
+QUERIES = ["event_self_time", "command_hotspots", "scope_hotspots", "profile_compare", "dead_options", "clobbers", "dominating_write", "cache_soft_hard", "duplicate_links", "shadowed_routes", "diff_requirements", "explain_arg_sets", "interval_containment", "simple_paths", "replayed_reads", "replayed_clobbers", "ingested_recordings", "rule_clobbers", "rule_cyclic_links", "replay_function", "chain_closure"]
 
 
 def main() -> None:
