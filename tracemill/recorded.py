@@ -12,9 +12,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tracemill import questions, session, syntax
-from tracemill.replay import sequential
+from tracemill.replay import crosscheck, sequential
 from tracemill.rules import RULES, Config, Store
 from tracemill.sources import trace
 
@@ -295,7 +296,22 @@ def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return questions.why_links(t, "a7", "z{}".format(_customers(spark, sf_dir).where("k = 7").first()["n"])).select("path_id", "hop", "src", "dst", "visibility", "line")
 
 
+def snapshot_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two dumps of each file, inside a function and behind it; the second says otherwise for odd nations."""
+    lines = [
+        Line("function(f{k})", "function", ("f{k}",)), Line("  set(x{k} 5)"), Line("  file(APPEND snap x)"), Line("endfunction()"), _call("set", "x{k}", "{n}"), _call("f{k}"),
+        Line(None, "set", ("x{k}", "5"), at=2, depth=2), Line(None, "file", ("APPEND", "snap", "x"), at=3, depth=2), _call("file", "APPEND", "snap", "x"),
+    ]
+    t = store(spark, sf_dir, lines)
+    c = _customers(spark, sf_dir).withColumn("i", F.row_number().over(W.partitionBy("recording").orderBy("k")))
+    name, behind = _filled("x{k}"), F.when(F.col("n") % 2 == 0, _filled("{n}")).otherwise("other")
+    dumps = F.array(F.struct((2 * F.col("i") - 1).alias("snapshot"), F.lit("5").alias("value")), F.struct((2 * F.col("i")).alias("snapshot"), behind.alias("value")))
+    dumped = c.select("recording", _filled("c{k}").alias("tag"), name.alias("name"), F.explode(dumps).alias("d")).select("recording", "tag", "name", "d.*")
+    return crosscheck.mismatches(t.events, t.scopes, t.var_writes, dumped, "snap")
+
+
 MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str]] = {
+    "snapshot_check": (snapshot_check, f"{_CUSTOMERS} SELECT recording, 'c' || k AS tag, 'x' || k AS name, n::VARCHAR AS replayed, 'other' AS dumped FROM c WHERE n % 2 = 1"),
     "why_not": (why_not, f"""{_CUSTOMERS} SELECT file, 2::BIGINT AS line, CASE WHEN n % 5 = 0 THEN 'file-never-ran' WHEN n % 2 = 0 THEN 'ran' ELSE 'guard-failed' END AS status, (n % 5 <> 0 AND n % 2 = 0)::BIGINT AS evaluations FROM c
 UNION ALL SELECT file, 5, CASE WHEN n % 5 = 0 THEN 'file-never-ran' ELSE 'uncalled' END, 0 FROM c"""),
     "dependency_inventory": (dependency_inventory, f"""{_CUSTOMERS} SELECT file, 1::BIGINT AS line, 'P' || k AS name, 'find_package' AS how, '1.' || n AS version, true AS required, CASE WHEN n % 2 = 0 THEN true END AS found, NULL::VARCHAR AS purl FROM c

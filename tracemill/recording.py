@@ -4,21 +4,28 @@ from __future__ import annotations
 
 import uuid
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill import model, session, syntax
-from tracemill.replay import sequential
-from tracemill.sources import logs, trace
+from tracemill.replay import crosscheck, sequential
+from tracemill.sources import logs, replies, trace
 
 REQUIRED = ["events", "scopes", "var_writes", "var_reads"]
 
 
-def ingest(spark: SparkSession, traces: str | list[str], sources: DataFrame, source_dir: str, build_dir: str | None = None, stderr: str | list[str] | None = None, seeds: DataFrame | None = None) -> dict[str, DataFrame]:
+def ingest(
+    spark: SparkSession, traces: str | list[str], sources: DataFrame, source_dir: str, build_dir: str | None = None, stderr: str | list[str] | None = None, seeds: DataFrame | None = None,
+    reply_folders: dict[str, str] | None = None, deps: str | list[str] | None = None, presets: str | None = None, snapshots: str | list[str] | None = None, snapshot_file: str | None = None,
+) -> dict[str, DataFrame]:
     """All tables of the recordings whose traces these are. Raises sources.trace.TraceError before anything is built if a trace can't be used.
 
-    sources: recording, path, content. The trace's lines, events, parsed sources and the replay's rows are cut off from their lineage once each, as several tables read them.
+    sources: recording, path, content. reply_folders: of the file API, by recording. deps: texts of `ninja -t deps`.
+    presets: files whose text goes to meta. snapshots: variables dumped by file(APPEND) to snapshot_file, which the
+    replay must agree with, or replay.crosscheck.ReplayError is raised. The trace's lines, events, parsed sources and
+    the replay's rows are cut off from their lineage once each, as several tables read them.
     """
     seen = session.cut(trace.scan(spark, traces))
     trace.check(spark, traces, seen)
@@ -26,8 +33,19 @@ def ingest(spark: SparkSession, traces: str | list[str], sources: DataFrame, sou
     parsed = {n: session.cut(df) for n, df in syntax.tables(sources, source_dir, build_dir).items()}
     log = session.cut(sequential.log(events, parsed["commands"], parsed["nodes"], seeds))
     tables = parsed | sequential.tables(events, log)
+    if snapshots and snapshot_file:
+        crosscheck.check(tables["events"], tables["scopes"], tables["var_writes"], logs.snapshots(spark, snapshots), snapshot_file)
     if stderr:
         tables["configure_diagnostics"] = logs.diagnostics(spark, stderr)
+    if reply_folders:
+        replied = [replies.read(spark, folder, name, source_dir, events) for name, folder in reply_folders.items()]
+        of = {n: session.cut(reduce(DataFrame.unionByName, [r[n] for r in replied])) for n in ("targets", "usage_reqs", "tus")}
+        tables |= {"targets": replies.merge(tables["targets"], of["targets"]), "usage_reqs": tables["usage_reqs"].unionByName(of["usage_reqs"]), "tus": of["tus"]}
+        if deps:
+            tables["tu_headers"] = logs.headers(spark, deps, of["tus"], build_dir or source_dir)
+    if presets:
+        none = spark.createDataFrame([], model.TABLES["meta"])
+        tables["meta"] = put_meta(none, logs.presets(spark, presets).withColumn("seq", F.lit(1).cast("bigint")))
     return tables
 
 
