@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tests.test_replay import MAIN, SRC, STEPS, trace_lines
 from tracemill import questions as Q
 from tracemill import recording, report, rules
+from tracemill.replay import crosscheck
 from tracemill.sources import replies, trace
 
 
@@ -122,3 +123,35 @@ def test_replies(spark, store, tmp_path):
     assert [r.source_path for r in t["tus"].collect()] == ["/src/main.c"]
     m = {r.name: r for r in replies.merge(store.targets.where("recording = 'one'"), t["targets"]).collect()}
     assert m["app"].in_file_api == 1 and m["core"].in_file_api == 0 and m["app"].defined_event == 16
+
+
+def test_bill_of_materials_and_trees(spark):
+    sha = "b" * 40
+    schema = "name string, how string, version string, required boolean, found boolean, source string, problem string, purl string, file string, line long"
+    rows = [("Stub", "find_package", "1.2", True, False, None, None, None, "/src/a", 1), ("x", "fetchcontent_declare", sha, True, None, "https://github.com/Own/Lib.git", None, f"pkg:github/own/lib@{sha}", "/src/a", 2), ("y", "fetchcontent_declare", "main", True, None, "r", "can move", None, "/src/a", 3)]
+    bom = json.loads(report.bill_of_materials(spark.createDataFrame(rows, schema), "demo"))
+    assert (bom["bomFormat"], bom["specVersion"], [c["name"] for c in bom["components"]]) == ("CycloneDX", "1.5", ["Stub", "x", "y"])
+    assert [c.get("version") for c in bom["components"]] == [None, sha, None] and [c.get("purl") for c in bom["components"]] == [None, f"pkg:github/own/lib@{sha}", None]
+    assert {"name": "tracemill:found", "value": "false"} in bom["components"][0]["properties"]
+    hops = spark.createDataFrame([("r", 1, 0, "a", "z", "PUBLIC"), ("r", 2, 0, "a", "b", "PRIVATE"), ("r", 2, 1, "b", "z", "PUBLIC"), ("r", 3, 0, "a", "b", "PRIVATE"), ("r", 3, 1, "b", "c", "PUBLIC")], "recording string, path_id int, hop int, src string, dst string, visibility string")
+    assert Q.path_tree(hops) == {"r": {("a", None): {("z", "PUBLIC"): {}, ("b", "PRIVATE"): {("z", "PUBLIC"): {}, ("c", "PUBLIC"): {}}}}}
+    edges = spark.createDataFrame([("a", "b", "PUBLIC")], "src string, dst string, visibility string")
+    assert json.loads(report.graph_json(edges)) == {"nodes": ["a", "b"], "edges": [{"src": "a", "dst": "b", "visibility": "PUBLIC"}]}
+    assert json.loads(report.as_objects(edges).first().value) == {"src": "a", "dst": "b", "visibility": "PUBLIC"}
+
+
+def test_snapshots_and_second_saves(spark, tmp_path):
+    steps = [(1, "set", ["A", "1"], 1), (2, "file", ["APPEND", "snap", "x"], 1)]
+    (tmp_path / "t").write_text(trace_lines(steps))
+    src = spark.createDataFrame([(tmp_path.name, SRC, "set(A 1)\n")], "recording string, path string, content string")
+    dump = lambda v: (tmp_path / "s.tsv").write_text(f"SNAPSHOT\tend\nA\t{v.encode().hex()}\nB\t{'x'.encode().hex()}\n")
+    dump("1")
+    t = recording.ingest(spark, str(tmp_path / "t"), src, "/src", snapshots=str(tmp_path / "s.tsv"), snapshot_file="snap")
+    dump("2")
+    with pytest.raises(crosscheck.ReplayError, match="A is '1', dumped as '2'"):
+        recording.ingest(spark, str(tmp_path / "t"), src, "/src", snapshots=str(tmp_path / "s.tsv"), snapshot_file="snap")
+    (tmp_path / "db" / "files" / "left").mkdir(parents=True)  # by a save that was stopped
+    recording.save(t, str(tmp_path / "db"))
+    assert recording.load(spark, str(tmp_path / "db"))["files"].count() == 1
+    with pytest.raises(FileExistsError):
+        recording.save(t, str(tmp_path / "db"))
