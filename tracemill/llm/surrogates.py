@@ -282,7 +282,9 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", count_col: str |
     # found once and written: the segments are worked out for these texts alone
     dirty = docs.where(hit).select(text.alias("text"), F.sha2(text, 256).alias("k"), *[docs[c].alias(n) for c, n in place.items() if c not in void])
     dirty = scratch.write(dirty, "dirty")
-    segs = dirty.select("k", "text").dropDuplicates(["k"]).select("k", segments(F.col("text")).alias("segs"))
+    # the pattern costs far more than the bytes it reads, so its tasks aren't joined into fewer ones
+    tasks = 4 * docs.sparkSession.sparkContext.defaultParallelism
+    segs = dirty.select("k", "text").dropDuplicates(["k"]).repartition(tasks, "k").select("k", segments(F.col("text")).alias("segs"))
     segs = scratch.write(segs, "segments").select("k", "segs", names_of(F.col("segs")).alias("names"))
     segs = scratch.write(segs.select("k", coreferent(F.col("segs"), F.col("names")).alias("segs")), "coreferent")
     found = segs.select("k", F.posexplode("segs").alias("pos", "seg")).where("seg.kind is not null").select("k", "pos", F.col("seg.kind").alias("kind"), F.col("seg.value").alias("value"))
