@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
+from operator import sub
 
 import ahocorasick
 import numpy as np
@@ -67,8 +69,8 @@ class PrefixCounter:
         ok = self.may[a << 32 | b] = self.merge(self.names[a] + self.names[b]) == [self.names[a], self.names[b]]
         return ok
 
-    def chunk(self, text: str) -> tuple[int, ...]:
-        """Token counts at the prefixes of 1, 2, ... characters of a chunk."""
+    def chunk(self, text: str) -> list[int]:
+        """Token counts at the prefixes of 0, 1, ... characters of a chunk."""
         count, last, may, i = [0], [-1], self.may, 0
         for end, (b, n) in self.found.iter(text):  # pieces that end at a place, the longest first
             if end < i:
@@ -85,15 +87,15 @@ class PrefixCounter:
         while i < len(text):
             count.append(count[-1] + len(text[i].encode("utf-8", "surrogatepass")))
             i += 1
-        return tuple(count[1:])
+        return count
 
     def table(self, chunk: str) -> tuple[int, bytes]:
         """The count of a whole chunk, and the change of the count with each of its characters, as signed bytes."""
         if (t := self.known.get(chunk)) is None:
             if len(self.known) > KNOWN_CHUNKS:
                 self.known.clear()
-            counts = np.array(self.chunk(chunk))
-            t = int(counts[-1]), np.diff(counts, prepend=0).astype(np.int8).tobytes()
+            counts = self.chunk(chunk)
+            t = counts[-1], array("b", map(sub, counts[1:], counts)).tobytes()
             if len(chunk) <= 64:
                 self.known[chunk] = t
         return t
