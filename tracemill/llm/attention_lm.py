@@ -611,10 +611,10 @@ def score_documents(docs: DataFrame, trained, ranks_path: str, settings: Setting
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "lm")
     rows = common.spread(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.coalesce(trained, F.lit(False)).alias("on")))
-    counts = scratch.write(_word_counts(rows.where("on")), "counts")
+    counts = scratch.write(_word_counts(rows.where("on")), "counts", "zstd")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     hot = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(HOT).toLocalIterator()}
-    encoded = scratch.write(_encoded(rows.withColumn("row", F.monotonically_increasing_id()), hot, ranks_path), "encoded")
+    encoded = scratch.write(_encoded(rows.withColumn("row", F.monotonically_increasing_id()), hot, ranks_path), "encoded", "zstd")
     sub = Subwords(ranks_path)
     train = encoded.where("on")
     lm = AttentionLM(_subword_counts(train, sub.size, sub.dtype), settings)

@@ -52,10 +52,10 @@ class Scratch:
         self.spark, self.root, self.made = spark, f"{scratch_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0
         session.delete_at_exit(spark, self.root)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         self.made += 1
         path = f"{self.root}/{self.made}-{name}"
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
