@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +117,32 @@ def test_lexer_tolerates(text):
     syntax.parse(text.encode())
 
 
+def test_sources_are_parsed_once_in_many_tasks(spark, tmp_path):
+    seen = tmp_path / "seen"
+
+    def note(batches):
+        for b in batches:
+            with seen.open("a") as f:
+                f.write("x" * b.num_rows)
+            yield b
+
+    files = spark.createDataFrame([("r", f"/src/f{i}", "set(A é)\n  if(A)") for i in range(40)] + [("r", "/other/g", None)], "recording string, path string, content string").coalesce(1)
+    t = syntax.tables(files.mapInArrow(note, files.schema), "/src")
+    assert [t[n].count() for n in ("files", "nodes", "commands")] == [41, 120, 80]
+    assert seen.read_text() == "x" * 41
+    assert t["commands"].select(F.spark_partition_id()).distinct().count() > 1
+    assert {(r.in_source, r.has_errors, r.content) for r in t["files"].collect()} == {(1, 1, "set(A é)\n  if(A)"), (0, 0, None)}
+    assert {(r.name, r.args[-1].value, r.line, r.byte_end, len(r.blocks)) for r in t["commands"].collect()} == {("set", "é", 1, 9, 0), ("if", "A", 2, 17, 1)}
+
+
+def test_columns_of_lists_are_cut_apart():
+    rows = [["a", "b"], None, [], ["é", None], ["c"]]
+    lists, words, numbers = pa.array(rows, pa.list_(pa.string())), pa.array(["x", None, "z"]), pa.array([1, None, 3])
+    for a, b in ((0, 5), (1, 4), (3, 5), (1, 2), (2, 2)):
+        assert sequential._values(lists.slice(a, b - a)) == rows[a:b]
+    assert sequential._values(words.slice(1)) == [None, "z"] and sequential._values(numbers.slice(1)) == [None, 3]
+
+
 def test_conditions():
     bare = lambda s: [("bare", v) for v in s.split()]
     assert effects.conditions(bare("NOT A AND DEFINED B OR x STREQUAL ON")) == [("A", False), ("B", True), ("x", False)]
