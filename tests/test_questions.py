@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.test_replay import MAIN, SRC, STEPS, trace_lines
 from tracemill import questions as Q
-from tracemill import recording, report, rules
+from tracemill import catalog, recording, report, rules
 from tracemill.replay import crosscheck
 from tracemill.sources import replies, trace
 
@@ -100,6 +100,14 @@ def test_sql(spark, folder):
         Q.sql_rule(spark, t, "mine", "select file from events")
 
 
+def test_sql_rules_over_many_recordings_give_all_rows(spark, tmp_path):
+    spark.range(3 * (Q.MOST_ROWS + 1)).select((F.col("id") % (Q.MOST_ROWS + 1)).alias("user_id"), F.lit("error").alias("event_type"), F.current_timestamp().alias("ts")).write.parquet(str(tmp_path / "events.parquet"))
+    got = catalog.queries()["sql_rule_findings"](spark, str(tmp_path))
+    assert (got.count(), got.select("line").distinct().count()) == (Q.MOST_ROWS + 1, Q.MOST_ROWS + 1)
+    with pytest.raises(ValueError, match="more than 1 findings"):
+        Q.sql_rule(spark, {"n": spark.range(2)}, "mine", "select 'f' as file, id as line, 'm' as message from n", most=1)
+
+
 def test_dependencies(spark, tmp_path):
     sha = "b" * 40
     steps = [(1, "find_package", ["Stub", "1.2", "REQUIRED"], 1), (2, "set", ["Stub_FOUND", "TRUE"], 1), (3, "FetchContent_Declare", ["x", "GIT_REPOSITORY", "https://github.com/Own/Lib.git", "GIT_TAG", sha], 1)]

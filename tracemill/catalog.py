@@ -577,7 +577,7 @@ RULE_SQL = "SELECT 'events' AS file, user_id AS line, 'has ' || count(*) || ' er
 
 @query(f"SELECT 'too-many-errors' AS rule, 'warning' AS severity, file, line, message FROM ({RULE_SQL})")
 def sql_rule_findings(spark, sf):
-    return questions.sql_rule(spark, {"events": table(spark, sf, "events")}, "too-many-errors", RULE_SQL).select("rule", "severity", "file", "line", "message")
+    return questions.sql_rule(spark, {"events": table(spark, sf, "events")}, "too-many-errors", RULE_SQL, most=None).select("rule", "severity", "file", "line", "message")
 
 
 @query(f"""WITH e AS (SELECT user_id % 8 AS r, user_id, event_id, event_type, {CENTS} AS v FROM events WHERE event_type IN ('click', 'purchase', 'view'))

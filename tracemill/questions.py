@@ -188,13 +188,13 @@ def sql(spark: SparkSession, tables: dict[str, DataFrame], statement: str) -> Da
     return spark.sql(re.sub(r"\bjson_extract\s*\(", "get_json_object(", statement))
 
 
-def sql_rule(spark: SparkSession, tables: dict[str, DataFrame], rule: str, statement: str) -> DataFrame:
-    """Findings of a user's query with columns file, line, message, and perhaps severity and recording. More than 10,000 rows are an error, as such a query is wrong."""
+def sql_rule(spark: SparkSession, tables: dict[str, DataFrame], rule: str, statement: str, most: int | None = MOST_ROWS) -> DataFrame:
+    """Findings of a user's query with columns file, line, message, and perhaps severity and recording. More than `most` rows are an error, as such a query over one build is wrong; None, for tables of many builds, gives all rows and doesn't count them."""
     rows = sql(spark, tables, statement)
     lacking = {"file", "line", "message"} - set(rows.columns)
     if lacking:
         raise ValueError(f"{rule}: the query has no column {', '.join(sorted(lacking))}")
-    if len(rows.limit(MOST_ROWS + 1).select("file").take(MOST_ROWS + 1)) > MOST_ROWS:
-        raise ValueError(f"{rule}: more than {MOST_ROWS} findings")
+    if most is not None and len(rows.limit(most + 1).select("file").take(most + 1)) > most:
+        raise ValueError(f"{rule}: more than {most} findings")
     col = lambda n, other: F.col(n) if n in rows.columns else F.lit(other)
     return rows.select(col("recording", "").alias("recording"), F.lit(rule).alias("rule"), col("severity", "warning").alias("severity"), "file", F.col("line").cast("bigint").alias("line"), "message", F.array().cast("array<struct<file:string,line:bigint,note:string>>").alias("related"))
