@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tracemill import session
+
 RELATED = "array<struct<file:string,line:bigint,note:string>>"
 
 
@@ -39,7 +41,7 @@ class Store:
         return None
 
     def flags(self) -> DataFrame:
-        """Events with in_source, in_loop (its place in the text is inside foreach or while), in_try, in_callable, scope_kind, scope_name, chain, and kinds, blocks, args_text of their command. Built once, for all rules."""
+        """Events with in_source, in_loop (its place in the text is inside foreach or while), in_try, in_callable, scope_kind, scope_name, chain, and kinds, blocks, args_text of their command. Built once and cut off from its lineage, as rules read it several times: its joins in each of their plans fill the driver."""
         if self._flags is None:
             files = self.files.select("recording", F.col("path").alias("file"), "in_source")
             cmd = self.commands.select("recording", "file", "node_id", F.col("args.kind").alias("kinds"), "blocks", "args_text", "var_refs")
@@ -48,7 +50,7 @@ class Store:
             has = lambda *kinds: F.exists("chain", lambda c: F.substring_index(c, ":", -1).isin(*kinds))
             loop = F.exists("blocks", lambda b: b["kind"].isin("foreach_loop", "while_loop"))
             no = lambda c: F.coalesce(c, F.lit(False))
-            self._flags = e.withColumns({"in_source": F.coalesce("in_source", F.lit(0)) == 1, "in_loop": no(loop), "in_try": no(has("try_compile")), "in_callable": no(has("function", "macro"))})
+            self._flags = session.cut(e.withColumns({"in_source": F.coalesce("in_source", F.lit(0)) == 1, "in_loop": no(loop), "in_try": no(has("try_compile")), "in_callable": no(has("function", "macro"))}))
         return self._flags
 
     def at(self, rows: DataFrame, event: str = "event_id", prefix: str = "") -> DataFrame:
