@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill import rules, syntax
+from tracemill import recorded, rules, syntax
 from tracemill.replay import sequential
 from tracemill.sources import trace
 
@@ -121,3 +121,12 @@ def test_rule(store, rule):
 def test_config(store):
     got = rules.run(store, rules.Config(ignore={"": ["DE.*"]}, severity={"clobbers": "error"}, disable={"dead-modules"}), only=["dead-options", "clobbers", "dead-modules"]).collect()
     assert [(f.rule, f.severity) for f in got] == [("clobbers", "error")]
+
+
+def test_tables_of_recordings_are_not_gathered_in_the_driver(spark):
+    t = recorded.store(spark, "/root/testdata/sf0.001", recorded.CASES["overshare"][0])
+    other = spark.range(10**10).select(F.col("id").alias("event_id"))
+    for df in (t.var_reads, t.files.select(F.col("in_source").cast("long").alias("event_id")), t.flags()):
+        plan = other.join(df.select("event_id"), "event_id")._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in plan.split("+- ", 1)[1].split("\n")[0] and "SortMergeJoin" in plan
+    assert "Join" not in t.flags()._jdf.queryExecution().analyzed().toString()

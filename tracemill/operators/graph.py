@@ -21,14 +21,14 @@ AT_HAND = 100_000
 
 def closure(edges: DataFrame) -> DataFrame:
     """Pairs (src, dst) with a path of at least one edge. What a step found is joined with all found before, so paths double in length from step to step."""
-    reach = session.cut(edges.select("src", "dst").distinct())
+    reach = session.dealt(session.cut(edges.select("src", "dst").distinct()))
     new = reach
     while True:
         step = new.select("src", F.col("dst").alias("via")).join(reach.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
-        new = session.cut(step.join(reach, ["src", "dst"], "left_anti"))
+        new = session.dealt(session.cut(step.join(reach, ["src", "dst"], "left_anti")))
         if new.isEmpty():
             return reach
-        reach = session.cut(reach.unionByName(new))
+        reach = session.dealt(session.cut(reach.unionByName(new)))
 
 
 def consumers(edges: DataFrame) -> DataFrame:
@@ -188,18 +188,18 @@ def redundant(edges: DataFrame, max_hops: int = 8, barriers: DataFrame | None =
 
     Chains don't lead through src, nor through the nodes of barriers.
     """
-    direct = session.cut(edges.select("src", "dst").distinct().where("src <> dst"))
+    direct = session.dealt(session.cut(edges.select("src", "dst").distinct().where("src <> dst")))
     open_ = edges.where("visibility <> 'PRIVATE'").select(F.col("src").alias("at"), F.col("dst").alias("next")).distinct()
     if barriers is not None:
         open_ = open_.join(barriers.select(F.col("node").alias("at")), "at", "left_anti")
-    open_ = session.cut(open_)
+    open_ = session.dealt(session.cut(open_))
     new = direct.select("src", F.col("dst").alias("via"), F.col("dst").alias("at"))
     seen, found = [], []
     for hops in range(1, max_hops + 1):
         step = new.join(open_, "at").where("next <> src and next <> via").select("src", "via", F.col("next").alias("at")).distinct()
         for old in seen:
             step = step.join(old, ["src", "via", "at"], "left_anti")
-        new = session.cut(step)
+        new = session.dealt(session.cut(step))
         if new.isEmpty():
             break
         seen.append(new)
@@ -207,7 +207,7 @@ def redundant(edges: DataFrame, max_hops: int = 8, barriers: DataFrame | None =
     if not found:
         return direct.select("src", "dst", F.col("dst").alias("via"), F.lit(0).alias("hops")).limit(0)
     best = W.partitionBy("src", "dst").orderBy("hops", "via")
-    return reduce(DataFrame.unionByName, found).withColumn("_r", F.row_number().over(best)).where("_r = 1").select("src", "dst", "via", "hops")
+    return reduce(DataFrame.unionByName, found).withColumn("_r", F.row_number().over(best)).where("_r = 1").select("src", "dst", "via", "hops").transform(session.dealt)
 
 
 def ancestors(nodes: DataFrame, node: str = "id", parent: str = "parent_id") -> DataFrame:

@@ -29,9 +29,9 @@ def ingest(
     """
     seen = session.cut(trace.scan(spark, traces))
     trace.check(spark, traces, seen)
-    events = session.cut(trace.events(spark, traces, seen))
-    parsed = {n: session.cut(df) for n, df in syntax.tables(sources, source_dir, build_dir).items()}
-    log = session.cut(sequential.log(events, parsed["commands"], parsed["nodes"], seeds))
+    events = session.dealt(session.cut(trace.events(spark, traces, seen)))
+    parsed = {n: session.dealt(session.cut(df)) for n, df in syntax.tables(sources, source_dir, build_dir).items()}
+    log = session.dealt(session.cut(sequential.log(events, parsed["commands"], parsed["nodes"], seeds)))
     tables = parsed | sequential.tables(events, log)
     if snapshots and snapshot_file:
         crosscheck.check(tables["events"], tables["scopes"], tables["var_writes"], logs.snapshots(spark, snapshots), snapshot_file)

@@ -260,9 +260,9 @@ def tables(events: DataFrame, log: DataFrame) -> dict[str, DataFrame]:
     closed = of("close").select("recording", F.col("id").alias("scope_id"), F.col("event_id").alias("closed_by_event"))
     scopes = of("scope").select("recording", "scope_id", F.col("ref").alias("parent_id"), F.col("a").alias("kind"), "name", F.col("flag").alias("transparent"), F.col("event_id").alias("opened_by_event"), F.col("params").alias("chain")).join(closed, ["recording", "scope_id"], "left")
     # a name's later definition adds to the first: its type where that has none
-    named = session.cut(of("target").groupBy("recording", "name").agg(
+    named = session.dealt(session.cut(of("target").groupBy("recording", "name").agg(
         F.min_by(null("a"), F.when(null("a").isNotNull(), F.col("event_id"))).alias("type"), F.max(F.col("c").cast("int")).alias("imported"),
-        F.min_by(null("b"), F.when(null("b").isNotNull(), F.col("event_id"))).alias("alias_of"), F.min("event_id").alias("defined_event"), F.lit(0).alias("in_file_api")))
+        F.min_by(null("b"), F.when(null("b").isNotNull(), F.col("event_id"))).alias("alias_of"), F.min("event_id").alias("defined_event"), F.lit(0).alias("in_file_api"))))
     real = aliases(named)
     src = real.select("recording", "name", F.col("real").alias("target"))
     dst = real.select("recording", F.col("name").alias("b"), F.col("real").alias("dst_target"))

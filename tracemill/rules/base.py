@@ -50,7 +50,7 @@ class Store:
             has = lambda *kinds: F.exists("chain", lambda c: F.substring_index(c, ":", -1).isin(*kinds))
             loop = F.exists("blocks", lambda b: b["kind"].isin("foreach_loop", "while_loop"))
             no = lambda c: F.coalesce(c, F.lit(False))
-            self._flags = session.cut(e.withColumns({"in_source": F.coalesce("in_source", F.lit(0)) == 1, "in_loop": no(loop), "in_try": no(has("try_compile")), "in_callable": no(has("function", "macro"))}))
+            self._flags = session.dealt(session.cut(e.withColumns({"in_source": F.coalesce("in_source", F.lit(0)) == 1, "in_loop": no(loop), "in_try": no(has("try_compile")), "in_callable": no(has("function", "macro"))})))
         return self._flags
 
     def at(self, rows: DataFrame, event: str = "event_id", prefix: str = "") -> DataFrame:
@@ -64,7 +64,7 @@ class Store:
         """Commands of the project that no event evaluated."""
         ran = self.events.where("node_id is not null").select("recording", "file", "node_id")
         own = self.files.where("in_source = 1").select("recording", F.col("path").alias("file"))
-        return self.commands.join(own, ["recording", "file"], "left_semi").join(ran, ["recording", "file", "node_id"], "left_anti")
+        return session.dealt(self.commands.join(own, ["recording", "file"], "left_semi").join(ran, ["recording", "file", "node_id"], "left_anti"))
 
     def static_refs(self) -> DataFrame:
         """recording, name, file, node_id, line: references in the project's text, executed or not; conditions' bare names too."""
@@ -72,7 +72,7 @@ class Store:
         c = self.commands.join(own, ["recording", "file"], "left_semi")
         word = lambda a: (a["kind"] == "bare") & a["value"].rlike("^[A-Za-z_][A-Za-z0-9_.-]*$")
         bare = F.when(F.col("name_lower").isin("if", "elseif", "while"), F.transform(F.filter("args", word), lambda a: a["value"])).otherwise(F.array().cast("array<string>"))
-        return c.select("recording", "file", "node_id", "line", F.explode(F.array_union("var_refs", bare)).alias("name"))
+        return session.dealt(c.select("recording", "file", "node_id", "line", F.explode(F.array_union("var_refs", bare)).alias("name")))
 
     def names(self, table: str) -> DataFrame:
         return getattr(self, table).select("recording", "name").distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tracemill import session
 from tracemill.functions import text as X
 from tracemill.rules.base import Config, Store, finding, first, text
 from tracemill.rules.dead import declared_options
@@ -60,14 +61,14 @@ def constant_conditions(t: Store, c: Config) -> DataFrame:
     e = e.join(seen, ["recording", "event_id"], "left")
     # an argument that is itself a written name, but not in the text, is read a second time
     words = e.select("recording", "event_id", "args_text", F.explode("args").alias("name")).where("name rlike '^[A-Za-z_][A-Za-z0-9_]*$'").where(~F.array_contains(F.split("args_text", r"\s+"), F.col("name")))
-    twice = words.join(t.names("var_writes"), ["recording", "name"], "left_semi").select("recording", "event_id").distinct().withColumn("twice", F.lit(True))
+    twice = words.join(t.names("var_writes"), ["recording", "name"], "left_semi").select("recording", "event_id").distinct().withColumn("twice", F.lit(True)).transform(session.dealt)
     e = e.join(twice, ["recording", "event_id"], "left")
     g = e.groupBy("recording", "file", "node_id", "line").agg(
         F.count("*").alias("n"), F.countDistinct("args_json").alias("a"), F.countDistinct(F.coalesce("s", F.lit(""))).alias("v"),
         F.max(F.coalesce("loop", F.lit(False))).alias("loop"), F.max(F.coalesce("twice", F.lit(False))).alias("twice"), F.min("args_text").alias("text"))
     g = g.where("n >= 3 and a = 1 and v = 1 and not loop and not twice")
     name = F.col("name")
-    told = t.static_refs().where(~name.isin(PLATFORM) & ~c.ignored("constant-conditions", name)).join(t.names("var_writes"), ["recording", "name"], "left_semi").select("recording", "file", "node_id").distinct()
+    told = t.static_refs().where(~name.isin(PLATFORM) & ~c.ignored("constant-conditions", name)).join(t.names("var_writes"), ["recording", "name"], "left_semi").select("recording", "file", "node_id").distinct().transform(session.dealt)
     g = g.join(told, ["recording", "file", "node_id"], "left_semi")
     return finding(g, "constant-conditions", "note", text("condition `", X.shorten(F.col("text"), SHOWN), "` had the same inputs in all ", F.col("n"), " evaluations"))
 
