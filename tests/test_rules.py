@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tracemill import recorded, rules, syntax
+from tracemill import recorded, rules, session, syntax
 from tracemill.replay import sequential
 from tracemill.sources import trace
 
@@ -130,3 +130,13 @@ def test_tables_of_recordings_are_not_gathered_in_the_driver(spark):
         plan = other.join(df.select("event_id"), "event_id")._jdf.queryExecution().sparkPlan().toString()
         assert "BroadcastHashJoin" not in plan.split("+- ", 1)[1].split("\n")[0] and "SortMergeJoin" in plan
     assert "Join" not in t.flags()._jdf.queryExecution().analyzed().toString()
+
+
+def test_parsed_sources_are_written_once(spark, monkeypatch):
+    written, cut = [], session.cut
+    monkeypatch.setattr(session, "cut", lambda df: written.append(df.columns) or cut(df))
+    t = recorded.store(spark, "/root/testdata/sf0.001", recorded.CASES["constant-conditions"][0])
+    assert [c for c in written if "content" in c or "args_text" in c] == [["recording", "file", "content", "content_hash", "has_errors", "nodes", "commands"]]
+    # recordings have their events numbered from 1 without a gap, with the time to the next
+    e = t.events.groupBy("recording").agg(F.count("*").alias("n"), F.min("event_id").alias("a"), F.max("event_id").alias("b"), F.count_if("elapsed_us = 0").alias("last"))
+    assert e.count() > 1 and e.where("a <> 1 or b <> n or last <> 1").count() == 0

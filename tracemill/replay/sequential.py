@@ -131,7 +131,7 @@ class Replay:
                 scope.vars[w.name] = id
 
     def step(self, e) -> int:
-        """Takes an event (event_id, file, global_frame, cmd_lower, args; kinds, values, var_refs, env_refs, byte_start and block_end of its node or None); gives its scope."""
+        """Takes an event (event_id, file, global_frame, cmd_lower, args; kinds, values, var_refs, env_refs, byte_start and block_end of its node or None; kinds for conditions and set, values for conditions only); gives its scope."""
         self._scopes(e)
         id, cmd, args = e.event_id, e.cmd_lower, list(e.args)
         for name, value in self.seeds:
@@ -139,9 +139,9 @@ class Replay:
         self.seeds = []
         here = self.stack[-1].id
         kinds = None if e.kinds is None else list(e.kinds)
-        raw = [] if kinds is None else list(zip(kinds, e.values))
         env = set() if e.env_refs is None else set(e.env_refs)
         if cmd in E.CONDITIONS:
+            raw = [] if kinds is None else list(zip(kinds, e.values))
             env |= {v[4:-1] for k, v in raw if k == "bare" and v.startswith("ENV{") and v.endswith("}") and len(v) > 5 and "$" not in v}
         for name in sorted(env):
             self._emit("read", id, here, name, "env", ref=self.env.get(name), id=self._next("read"))
@@ -238,6 +238,9 @@ def log(events: DataFrame, commands: DataFrame | None = None, nodes: DataFrame |
         plain = lambda x: F.filter(F.arrays_zip(x["c"]["kinds"].alias("k"), x["c"]["values"].alias("v")), lambda a: (a["k"] != "bracket") & ~a["v"].contains("$"))
         fits = F.filter("all", lambda x: F.forall(plain(x), lambda a: F.array_contains("args", a["v"])))
         e = e.withColumn("c", F.coalesce(F.get(fits, F.lit(0))["c"], F.get("all", F.lit(0))["c"])).select(*[x for x in e.columns if x != "all"], "c.*")
+        # lists that a step doesn't look at, or that are empty, aren't carried to it
+        asks, some = F.col("cmd_lower").isin(*E.CONDITIONS), lambda x: F.when(F.size(x) > 0, F.col(x))
+        e = e.withColumns({"kinds": F.when(asks | (F.col("cmd_lower") == "set"), F.col("kinds")), "values": F.when(asks, F.col("values")), "var_refs": some("var_refs"), "env_refs": some("env_refs")})
     if nodes is None:
         e = e.withColumn("block_end", F.lit(None).cast("long"))
     else:
