@@ -143,6 +143,27 @@ def test_columns_of_lists_are_cut_apart():
     assert sequential._values(words.slice(1)) == [None, "z"] and sequential._values(numbers.slice(1)) == [None, 3]
 
 
+def test_the_replay_gets_no_null_lists_and_the_best_command_first(spark):
+    text = "set(A 1) set(B 2) set(${C} ${D})\nfoo()\n"
+    steps = [(1, "set", ["B", "2"]), (1, "set", ["A", "1"]), (1, "set", ["c", "d"]), (2, "foo", []), (9, "bar", ["x"])]
+    rows = [("r", i + 1, SRC, l, 1, c, a) for i, (l, c, a) in enumerate(steps)]
+    events = spark.createDataFrame(rows, "recording string, event_id long, file string, line long, global_frame long, cmd_lower string, args array<string>")
+    t = syntax.tables(spark.createDataFrame([("r", SRC, text)], "recording string, path string, content string"), "/src")
+    given = sequential.ordered(events, t["commands"], t["nodes"])
+    assert given.where("kinds is null or values is null or var_refs is null or env_refs is null or seeds is null or args is null").isEmpty() and given.count() == 11
+    log = sequential.log(events, t["commands"], t["nodes"]).collect()
+    nodes = {r.byte_start: r.node_id for r in t["commands"].collect()}
+    assert sorted((r.event_id, r.ref) for r in log if r.what == "at") == [(1, nodes[9]), (2, nodes[0]), (3, nodes[18]), (4, nodes[text.index("foo")]), (5, None)]
+    assert [r.name for r in log if r.what == "write"] == ["B", "A", "c"] and [r.name for r in log if r.what == "read"] == ["C", "D"]
+
+
+def test_plain_commands_are_lexed_as_others():
+    plain, other = syntax.commands(b"a(x ${y}\n z;w)b ( )\n\tc(1)"), syntax.commands(b"a(#[[]]x ${y}\n z;w)b (#[[]] )\n\tc(1#[[]])")
+    assert [(c.name, c.args) for c in plain[0]] == [(c.name, c.args) for c in other[0]] == [("a", [("bare", "x"), ("bare", "${y}"), ("bare", "z;w")]), ("b", []), ("c", [("bare", "1")])]
+    assert [(c.start, c.end) for c in plain[0]] == [(0, 14), (14, 19), (21, 25)] and not plain[1] and not other[1]
+    assert syntax.commands(b"a b(x)")[1] and syntax.commands(b"a-b(x)")[1] and syntax.commands(b"a(x")[1]
+
+
 def test_conditions():
     bare = lambda s: [("bare", v) for v in s.split()]
     assert effects.conditions(bare("NOT A AND DEFINED B OR x STREQUAL ON")) == [("A", False), ("B", True), ("x", False)]

@@ -140,3 +140,18 @@ def test_parsed_sources_are_written_once(spark, monkeypatch):
     # recordings have their events numbered from 1 without a gap, with the time to the next
     e = t.events.groupBy("recording").agg(F.count("*").alias("n"), F.min("event_id").alias("a"), F.max("event_id").alias("b"), F.count_if(F.expr("elapsed_us = 0")).alias("last"))
     assert e.count() > 1 and e.where("a <> 1 or b <> n or last <> 1").count() == 0
+
+
+@pytest.mark.parametrize("name", ["replay_conditions_and_lists", "rule_alias_variables", "rule_constant_conditions"])
+def test_targets_are_not_made_for_queries_on_variables(spark, monkeypatch, name):
+    written, cut = [], session.cut
+    monkeypatch.setattr(session, "cut", lambda df: written.append(df.columns) or cut(df))
+    assert recorded.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+    assert not [c for c in written if "alias_of" in c]
+
+
+def test_a_store_asks_once_for_later_tables():
+    asked = []
+    t = rules.Store({"a": 1}, later=lambda: asked.append(1) or {"a": 2, "b": 3})
+    assert (t.a, asked) == (1, [])
+    assert (t.b, t.a, t.c, asked) == (3, 1, None, [1])

@@ -138,14 +138,14 @@ class Replay:
             self.cache[name] = self._write(id, None, name, value, "cache")
         self.seeds = []
         here = self.stack[-1].id
-        kinds = None if e.kinds is None else list(e.kinds)
-        env = set() if e.env_refs is None else set(e.env_refs)
+        kinds = list(e.kinds or ())
+        env = set(e.env_refs or ())
         if cmd in E.CONDITIONS:
-            raw = [] if kinds is None else list(zip(kinds, e.values))
+            raw = list(zip(kinds, e.values or ()))
             env |= {v[4:-1] for k, v in raw if k == "bare" and v.startswith("ENV{") and v.endswith("}") and len(v) > 5 and "$" not in v}
         for name in sorted(env):
             self._emit("read", id, here, name, "env", ref=self.env.get(name), id=self._next("read"))
-        for name in [] if e.var_refs is None else e.var_refs:
+        for name in e.var_refs or ():
             self._read(id, name, "expand", True)
         if cmd in E.CONDITIONS:
             for name, force in E.conditions(raw):
@@ -191,6 +191,8 @@ def _values(column: pa.Array) -> list:
     """A column's values; those of lists are converted all at once and then cut apart, which is far faster than list by list."""
     if pa.types.is_string(column.type):
         return column.to_numpy(zero_copy_only=False).tolist()
+    if pa.types.is_list(column.type) and not len(column.flatten()):
+        return [[] if there else None for there in column.is_valid().to_pylist()]
     if not pa.types.is_list(column.type) or not pa.types.is_string(column.type.value_type):
         return column.to_pylist() if column.null_count < len(column) else [None] * len(column)
     inner, ends = _values(column.values), column.offsets.to_pylist()
@@ -202,6 +204,7 @@ def _values(column: pa.Array) -> list:
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now: Replay | None = None
+    event = None
 
     def frame(rows):
         columns = zip(*rows, strict=True) if rows else [()] * len(_NAMES)
@@ -213,7 +216,11 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if now is None or now.recording != e.recording:
                 if now:
                     out += now.finish()
-                now = Replay(e.recording, [(s["name"], s["value"]) for s in e.seeds or []])
+                now, event = Replay(e.recording, [(s["name"], s["value"]) for s in e.seeds or []]), None
+            # an event comes once with each command that it may be, the best one first
+            if e.event_id == event:
+                continue
+            event = e.event_id
             now.step(e)
             if now.rows:
                 out += now.rows
@@ -226,42 +233,67 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def log(events: DataFrame, commands: DataFrame | None = None, nodes: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame:
     """The replay's rows. commands and nodes: of the sources, else reads are those without a reference only; seeds: recording, name, value of cache entries given before the first event."""
     session.ship(events.sparkSession)
-    e = events.select("recording", "event_id", "file", "line", "global_frame", "cmd_lower", "args")
+    return ordered(events, commands, nodes, seeds).mapInArrow(_batches, LOG)
+
+
+def ordered(events: DataFrame, commands: DataFrame | None = None, nodes: DataFrame | None = None, seeds: DataFrame | None = None) -> DataFrame:
+    """The events as the replay takes them, a recording in one task: each with its command, or with each of several of that name on its line, the best one first."""
+    e, order = events.select("recording", "event_id", "file", "line", "global_frame", "cmd_lower", "args"), []
     node = "node_id bigint, byte_start bigint, kinds array<string>, values array<string>, var_refs array<string>, env_refs array<string>"
     if commands is None:
         e = e.select("*", *[F.lit(None).cast(t).alias(n) for n, t in (c.split(" ", 1) for c in node.split(", "))])
     else:
-        c = commands.select("recording", "file", "line", F.col("name_lower").alias("cmd_lower"), F.struct("node_id", "byte_start", F.col("args.kind").alias("kinds"), F.col("args.value").alias("values"), "var_refs", "env_refs").alias("c"))
-        several = c.groupBy("recording", "file", "line", "cmd_lower").agg(F.sort_array(F.collect_list(F.struct("c.byte_start", "c"))).alias("all"))
-        e = e.join(several, ["recording", "file", "line", "cmd_lower"], "left")
-        # of several commands of a name on a line, the first whose literal arguments all occur among the event's
-        plain = lambda x: F.filter(F.arrays_zip(x["c"]["kinds"].alias("k"), x["c"]["values"].alias("v")), lambda a: (a["k"] != "bracket") & ~a["v"].contains("$"))
-        fits = F.filter("all", lambda x: F.forall(plain(x), lambda a: F.array_contains("args", a["v"])))
-        e = e.withColumn("c", F.coalesce(F.get(fits, F.lit(0))["c"], F.get("all", F.lit(0))["c"])).select(*[x for x in e.columns if x != "all"], "c.*")
-        # lists that a step doesn't look at, or that are empty, aren't carried to it
-        asks, some = F.col("cmd_lower").isin(*E.CONDITIONS), lambda x: F.when(F.size(x) > 0, F.col(x))
-        e = e.withColumns({"kinds": F.when(asks | (F.col("cmd_lower") == "set"), F.col("kinds")), "values": F.when(asks, F.col("values")), "var_refs": some("var_refs"), "env_refs": some("env_refs")})
+        # lists that a step doesn't look at aren't carried to it
+        asks = F.col("name_lower").isin(*E.CONDITIONS)
+        plain = F.transform(F.filter("args", lambda a: (a["kind"] != "bracket") & ~a["value"].contains("$")), lambda a: a["value"])
+        c = commands.select(
+            "recording", "file", "line", F.col("name_lower").alias("cmd_lower"), "node_id", "byte_start", F.when(asks | (F.col("name_lower") == "set"), F.col("args.kind")).alias("kinds"),
+            F.when(asks, F.col("args.value")).alias("values"), "var_refs", "env_refs", plain.alias("plain"))
+        # of several commands of a name on a line, the first whose literal arguments all occur among the event's; a row for each, and the replay takes the event's first
+        misfit = F.exists("plain", lambda v: ~F.array_contains("args", v))
+        e = e.join(c, ["recording", "file", "line", "cmd_lower"], "left").withColumn("misfit", F.coalesce(misfit, F.lit(True))).drop("plain")
+        order = ["misfit", "byte_start"]
     if nodes is None:
         e = e.withColumn("block_end", F.lit(None).cast("long"))
     else:
         ends = nodes.where("kind = 'block_def'").select("recording", "file", "byte_start", F.col("byte_end").alias("block_end"))
         e = e.join(ends, ["recording", "file", "byte_start"], "left")
     if seeds is None:
-        e = e.withColumn("seeds", F.lit(None).cast("array<struct<name:string,value:string>>"))
+        e = e.withColumn("seeds", F.array().cast("array<struct<name:string,value:string>>"))
     else:
         given = seeds.groupBy("recording").agg(F.collect_list(F.struct("name", "value")).alias("given"))
         e = e.join(given, "recording", "left").withColumn("seeds", F.when(F.col("event_id") == 1, F.col("given"))).drop("given")
     # a replay costs far more than the bytes it reads, so its tasks aren't joined into fewer ones
-    one_task = e.repartition(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), "recording").sortWithinPartitions("recording", "event_id")
-    return one_task.mapInArrow(_batches, LOG)
+    one_task = e.repartition(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), "recording").sortWithinPartitions("recording", "event_id", *order)
+    # Spark asks for a batch's size at each row, and a list's vector then goes over all nulls since the last list: with the square of the batch, so lists are empty instead
+    lists = [f.name for f in e.schema if f.dataType.typeName() == "array"]
+    return one_task.withColumns({x: F.coalesce(x, F.array().cast(e.schema[x].dataType)) for x in lists}).select(*_Event.__slots__)
 
 
 def tables(events: DataFrame, log: DataFrame) -> dict[str, DataFrame]:
     """The recording's tables from the replay's rows. log should be written or checkpointed first: each table reads it."""
+    return steps(events, log) | targets(log)
+
+
+def steps(events: DataFrame, log: DataFrame) -> dict[str, DataFrame]:
+    """Events, scopes, variables and definitions; nothing runs for them."""
     of = lambda what: log.where(F.col("what") == what)
-    null = lambda c: F.when(F.col(c) != "", F.col(c))
     closed = of("close").select("recording", F.col("id").alias("scope_id"), F.col("event_id").alias("closed_by_event"))
     scopes = of("scope").select("recording", "scope_id", F.col("ref").alias("parent_id"), F.col("a").alias("kind"), "name", F.col("flag").alias("transparent"), F.col("event_id").alias("opened_by_event"), F.col("params").alias("chain")).join(closed, ["recording", "scope_id"], "left")
+    place = events.select("recording", "event_id", "file", "line")
+    return {
+        "events": events.join(of("at").select("recording", "event_id", "scope_id", F.col("ref").alias("node_id")), ["recording", "event_id"], "left"),
+        "scopes": scopes.select(*model.columns("scopes")),
+        "var_writes": of("write").select("recording", F.col("id").alias("write_id"), "event_id", "scope_id", "name", F.col("a").alias("value"), F.col("b").alias("write_kind")),
+        "var_reads": of("read").select("recording", F.col("id").alias("read_id"), "event_id", "scope_id", "name", F.col("ref").alias("resolved_write_id"), F.col("a").alias("read_kind")),
+        "func_defs": of("def").join(place, ["recording", "event_id"]).select("recording", F.col("id").alias("def_id"), "event_id", "name", F.lower("name").alias("name_lower"), F.col("a").alias("kind"), "file", "line", "params"),
+    }
+
+
+def targets(log: DataFrame) -> dict[str, DataFrame]:
+    """Targets with their links, properties and requirements. Targets and their aliases are written."""
+    of = lambda what: log.where(F.col("what") == what)
+    null = lambda c: F.when(F.col(c) != "", F.col(c))
     # a name's later definition adds to the first: its type where that has none
     named = session.dealt(session.cut(of("target").groupBy("recording", "name").agg(
         F.min_by(null("a"), F.when(null("a").isNotNull(), F.col("event_id"))).alias("type"), F.max(F.col("c").cast("int")).alias("imported"),
@@ -270,13 +302,7 @@ def tables(events: DataFrame, log: DataFrame) -> dict[str, DataFrame]:
     src = real.select("recording", "name", F.col("real").alias("target"))
     dst = real.select("recording", F.col("name").alias("b"), F.col("real").alias("dst_target"))
     edges = of("edge").join(src, ["recording", "name"]).join(dst, ["recording", "b"], "left")
-    place = events.select("recording", "event_id", "file", "line")
     return {
-        "events": events.join(of("at").select("recording", "event_id", "scope_id", F.col("ref").alias("node_id")), ["recording", "event_id"], "left"),
-        "scopes": scopes.select(*model.columns("scopes")),
-        "var_writes": of("write").select("recording", F.col("id").alias("write_id"), "event_id", "scope_id", "name", F.col("a").alias("value"), F.col("b").alias("write_kind")),
-        "var_reads": of("read").select("recording", F.col("id").alias("read_id"), "event_id", "scope_id", "name", F.col("ref").alias("resolved_write_id"), F.col("a").alias("read_kind")),
-        "func_defs": of("def").join(place, ["recording", "event_id"]).select("recording", F.col("id").alias("def_id"), "event_id", "name", F.lower("name").alias("name_lower"), F.col("a").alias("kind"), "file", "line", "params"),
         "targets": named,
         "tgt_edges": edges.select("recording", F.col("id").alias("edge_id"), F.col("target").alias("src_target"), F.col("b").alias("dst"), "dst_target", F.col("a").alias("visibility"), F.col("event_id").alias("origin_event")),
         "tgt_props": of("prop").join(src, ["recording", "name"]).select("recording", F.col("id").alias("prop_id"), "target", F.col("a").alias("prop"), F.col("b").alias("value"), F.col("c").cast("int").alias("appended"), F.col("event_id").alias("origin_event")),

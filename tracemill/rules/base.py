@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -29,16 +30,20 @@ class Config:
 
 
 class Store:
-    """A recording's tables by name, as attributes. Tables that were not recorded are None."""
+    """A recording's tables by name, as attributes. Tables that were not recorded are None. later: gives more tables, asked once a table is looked for that isn't there."""
 
-    def __init__(self, tables: dict[str, DataFrame]):
+    def __init__(self, tables: dict[str, DataFrame], later: Callable[[], dict[str, DataFrame]] | None = None):
         self.__dict__.update(tables)
         self._flags: DataFrame | None = None
+        self._later = later
 
     def __getattr__(self, name: str):
         if name.startswith("_"):
             raise AttributeError(name)
-        return None
+        if self._later:
+            more, self._later = self._later, None
+            self.__dict__ |= more() | self.__dict__
+        return self.__dict__.get(name)
 
     def flags(self) -> DataFrame:
         """Events with in_source, in_loop (its place in the text is inside foreach or while), in_try, in_callable, scope_kind, scope_name, chain, and kinds, blocks, args_text of their command. Built once and cut off from its lineage, as rules read it several times: its joins in each of their plans fill the driver."""
