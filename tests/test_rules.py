@@ -155,3 +155,20 @@ def test_a_store_asks_once_for_later_tables():
     t = rules.Store({"a": 1}, later=lambda: asked.append(1) or {"a": 2, "b": 3})
     assert (t.a, asked) == (1, [])
     assert (t.b, t.a, t.c, asked) == (3, 1, None, [1])
+
+
+def test_directory_words_are_held_against_what_was_asked(spark):
+    t = recorded.store(spark, "/root/testdata/sf0.001", recorded.CASES["shadowed-requirements"][0])
+    from tracemill.rules import links
+
+    calls = links._directory_calls(t).where("cmd_lower = 'include_directories'").select("recording", "call_id", "event_id", "dir_scope", "retroactive", F.col("args")[0].alias("value"))
+    asked = t.usage_reqs.select("recording", "target", F.concat("value", F.lit("/")).alias("value")).distinct()
+    assert links._affected(t, calls, asked).count() == calls.count() < links._affected(t, calls).count()
+
+
+@pytest.mark.parametrize("rule", ["shadowed-requirements", "alias-variables", "constant-conditions"])
+def test_no_join_of_a_rule_gathers_its_rows_in_the_driver(spark, rule):
+    t = recorded.store(spark, "/root/testdata/sf0.001", recorded.CASES[rule][0])
+    for df in (rules.RULES[rule](t, rules.Config()), t.tgt_edges, t.usage_reqs, t.events, t.scopes, t.func_defs):
+        df.collect()
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()

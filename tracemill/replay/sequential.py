@@ -275,19 +275,24 @@ def tables(events: DataFrame, log: DataFrame) -> dict[str, DataFrame]:
     return steps(events, log) | targets(log)
 
 
+def _dealt(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """A hint holds for what is made from one table, not for what a join gives, so each result has its own."""
+    return {name: session.dealt(df) for name, df in tables.items()}
+
+
 def steps(events: DataFrame, log: DataFrame) -> dict[str, DataFrame]:
     """Events, scopes, variables and definitions; nothing runs for them."""
     of = lambda what: log.where(F.col("what") == what)
     closed = of("close").select("recording", F.col("id").alias("scope_id"), F.col("event_id").alias("closed_by_event"))
     scopes = of("scope").select("recording", "scope_id", F.col("ref").alias("parent_id"), F.col("a").alias("kind"), "name", F.col("flag").alias("transparent"), F.col("event_id").alias("opened_by_event"), F.col("params").alias("chain")).join(closed, ["recording", "scope_id"], "left")
     place = events.select("recording", "event_id", "file", "line")
-    return {
+    return _dealt({
         "events": events.join(of("at").select("recording", "event_id", "scope_id", F.col("ref").alias("node_id")), ["recording", "event_id"], "left"),
         "scopes": scopes.select(*model.columns("scopes")),
         "var_writes": of("write").select("recording", F.col("id").alias("write_id"), "event_id", "scope_id", "name", F.col("a").alias("value"), F.col("b").alias("write_kind")),
         "var_reads": of("read").select("recording", F.col("id").alias("read_id"), "event_id", "scope_id", "name", F.col("ref").alias("resolved_write_id"), F.col("a").alias("read_kind")),
         "func_defs": of("def").join(place, ["recording", "event_id"]).select("recording", F.col("id").alias("def_id"), "event_id", "name", F.lower("name").alias("name_lower"), F.col("a").alias("kind"), "file", "line", "params"),
-    }
+    })
 
 
 def targets(log: DataFrame) -> dict[str, DataFrame]:
@@ -302,12 +307,12 @@ def targets(log: DataFrame) -> dict[str, DataFrame]:
     src = real.select("recording", "name", F.col("real").alias("target"))
     dst = real.select("recording", F.col("name").alias("b"), F.col("real").alias("dst_target"))
     edges = of("edge").join(src, ["recording", "name"]).join(dst, ["recording", "b"], "left")
-    return {
+    return _dealt({
         "targets": named,
         "tgt_edges": edges.select("recording", F.col("id").alias("edge_id"), F.col("target").alias("src_target"), F.col("b").alias("dst"), "dst_target", F.col("a").alias("visibility"), F.col("event_id").alias("origin_event")),
         "tgt_props": of("prop").join(src, ["recording", "name"]).select("recording", F.col("id").alias("prop_id"), "target", F.col("a").alias("prop"), F.col("b").alias("value"), F.col("c").cast("int").alias("appended"), F.col("event_id").alias("origin_event")),
         "usage_reqs": of("req").join(src, ["recording", "name"]).select("recording", "target", F.col("c").alias("kind"), F.col("b").alias("value"), F.col("a").alias("visibility"), F.lit("trace").alias("source"), F.col("event_id").alias("origin_event")),
-    }
+    })
 
 
 def aliases(targets: DataFrame) -> DataFrame:
@@ -318,4 +323,4 @@ def aliases(targets: DataFrame) -> DataFrame:
     for _ in range(left.bit_length()):
         doubled = link.join(link.select("recording", F.col("real").alias("alias_of"), F.col("alias_of").alias("far")), ["recording", "alias_of"], "left")
         link = session.cut(doubled.select("recording", "real", F.coalesce("far", "alias_of").alias("alias_of")))
-    return real.join(link.select("recording", F.col("real").alias("name"), "alias_of"), ["recording", "name"], "left").select("recording", "name", F.coalesce("alias_of", "real").alias("real"))
+    return session.dealt(real.join(link.select("recording", F.col("real").alias("name"), "alias_of"), ["recording", "name"], "left").select("recording", "name", F.coalesce("alias_of", "real").alias("real")))

@@ -63,7 +63,7 @@ class Store:
         f = self.flags()
         keep = ["file", "line", "node_id", "cmd_lower", "args", "args_json", "in_source", "in_loop", "in_try", "in_callable", "scope_kind", "scope_name", "opened_by_event", "blocks", "args_text", "kinds"]
         f = f.select("recording", F.col("event_id").alias(event), *[F.col(c).alias(prefix + c) for c in keep])
-        return rows.join(f, ["recording", event])
+        return session.dealt(rows.join(f, ["recording", event]))
 
     def cold(self) -> DataFrame:
         """Commands of the project that no event evaluated."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tracemill import session
 from tracemill.operators import graph
 from tracemill.replay.effects import VISIBILITY
 from tracemill.rules.base import Config, Store, finding, first, text
@@ -37,12 +38,14 @@ def _directory(chain: str = "chain"):
     return F.when((kind(top) == "directory") & ~barred, F.substring_index(top, ":", 1).cast("long"))
 
 
-def _affected(t: Store, calls: DataFrame) -> DataFrame:
-    """calls (recording, call_id, event_id, dir_scope, retroactive) with the targets they reach: made later below the directory, or, for retroactive ones, earlier in it."""
+def _affected(t: Store, calls: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """calls (recording, call_id, event_id, dir_scope, retroactive) with the targets they reach: made later below the directory, or, for retroactive ones, earlier in it. asked: recording, target and columns that calls have too; other targets of a call are left out."""
     made = t.targets.where("imported = 0 and alias_of is null and type <> 'UTILITY' and type <> 'INTERFACE'").select("recording", F.col("name").alias("target"), F.col("defined_event").alias("event_id"))
     made = made.join(t.flags().where("not in_try").select("recording", "event_id", "chain"), ["recording", "event_id"]).withColumn("own_scope", _directory())
     below = made.select("recording", "target", F.col("event_id").alias("made"), "own_scope", F.explode(F.transform("chain", lambda s: F.substring_index(s, ":", 1).cast("long"))).alias("dir_scope"))
-    reach = calls.join(below, ["recording", "dir_scope"])
+    if asked is not None:
+        below = below.join(asked, ["recording", "target"])
+    reach = calls.join(below, ["recording", "dir_scope", *[c for c in below.columns if asked is not None and c in calls.columns and c not in ("recording", "dir_scope")]])
     return reach.where((F.col("made") > F.col("event_id")) | (F.col("retroactive") & F.coalesce(F.col("own_scope") == F.col("dir_scope"), F.lit(False))))
 
 
@@ -155,11 +158,13 @@ def shadowed(t: Store, c: Config) -> DataFrame:
     edges = t.tgt_edges.where("dst_target is not null and visibility <> 'INTERFACE'").select("recording", F.col("src_target").alias("target"), F.col("dst_target").alias("dep")).distinct()
     hop = passed.join(edges, ["recording", "dep"]).select(*cols, F.lit("dependency").alias("route"))
     calls = _directory_calls(t).where(F.col("cmd_lower").isin("include_directories", "add_definitions", "add_compile_definitions"))
-    hit = _affected(t, calls.select("recording", "call_id", "event_id", "dir_scope", "retroactive", "args", "cmd_lower", "file", "line"))
     kind = F.when(F.col("cmd_lower") == "include_directories", "include").otherwise("define")
-    words = hit.select("recording", "target", kind.alias("kind"), F.array_contains("args", "SYSTEM").alias("system"), folder.alias("folder"), "event_id", "file", "line", F.explode(F.flatten(F.transform("args", lambda a: F.split(a, ";")))).alias("value"))
+    words = calls.select("recording", "call_id", "dir_scope", "retroactive", kind.alias("kind"), F.array_contains("args", "SYSTEM").alias("system"), folder.alias("folder"), "event_id", "file", "line", F.explode(F.flatten(F.transform("args", lambda a: F.split(a, ";")))).alias("value"))
     words = words.where(~F.col("value").isin("", "SYSTEM", "BEFORE", "AFTER") & ~F.col("value").contains("$<")).withColumn("value", F.when(F.col("kind") == "include", F.regexp_replace("value", "/+$", "")).otherwise(F.regexp_replace("value", "^-D", "")))
-    routes = direct.unionByName(hop).unionByName(words.select(*cols, F.lit("directory").alias("route"))).where(~c.ignored("shadowed-requirements", F.col("target")) & ~c.ignored("shadowed-requirements", F.col("value")))
+    # what a directory command alone brings is no finding, so it is held only against what targets have by other routes, not against all targets
+    routes = session.dealt(session.cut(direct.unionByName(hop)))
+    words = _affected(t, words, routes.select("recording", "target", "kind", "value", "system", "folder").distinct())
+    routes = routes.unionByName(words.select(*cols, F.lit("directory").alias("route"))).where(~c.ignored("shadowed-requirements", F.col("target")) & ~c.ignored("shadowed-requirements", F.col("value")))
     g = routes.groupBy("recording", "target", "kind", "value", "system", "folder").agg(F.array_sort(F.collect_set("route")).alias("routes"), F.min_by(F.struct("file", "line"), F.struct(F.when(F.col("route") == "direct", 0).otherwise(1), F.col("event_id"))).alias("p")).where("size(routes) > 1")
     g = g.select("*", F.col("p.file").alias("file"), F.col("p.line").alias("line"))
     return finding(g, "shadowed-requirements", "note", text(F.col("kind"), " '", F.col("value"), "' reaches '", F.col("target"), "' by several routes: ", F.array_join("routes", ", ")))

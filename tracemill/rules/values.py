@@ -133,7 +133,7 @@ def aliases(t: Store, c: Config) -> DataFrame:
     one = w.where("write_kind = 'set' and cmd_lower = 'set' and not in_loop").withColumn("of", source).where("of <> '' and of <> name")
     count = t.var_writes.groupBy("recording", "name").agg(F.count("*").alias("n")).where("n = 1").select("recording", "name")
     later = t.var_writes.groupBy("recording", F.col("name").alias("of")).agg(F.max("write_id").alias("last"))
-    stray = t.var_reads.select("recording", "name", "resolved_write_id").join(one.select("recording", "name", "write_id"), ["recording", "name"]).where("resolved_write_id is null or resolved_write_id <> write_id").select("recording", "name").distinct()
+    stray = t.var_reads.select("recording", "name", "resolved_write_id").join(one.select("recording", "name", "write_id"), ["recording", "name"]).where("resolved_write_id is null or resolved_write_id <> write_id").select("recording", "name").distinct().transform(session.dealt)
     read = t.names("var_reads")
     one = one.join(count, ["recording", "name"], "left_semi").join(read, ["recording", "name"], "left_semi").join(stray, ["recording", "name"], "left_anti").join(later, ["recording", "of"]).where("last < write_id")
     a = finding(one, "alias-variables", "note", text("'", n, "' is only another name for '", F.col("of"), "'"))
