@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import tiktoken
@@ -503,6 +504,20 @@ def test_lm_does_not_depend_on_partitions(spark):
     assert runs[0] == runs[1] == runs[2]
 
 
+def test_lm_encodes_each_word_of_a_batch_once():
+    texts = [*ODD, None, "", " \n\t a  B\x0b\x0c\rb ", "a B c " * 200, "x" * 700 + " y", "\x1c a\x85b \u00a0 <|endoftext|>"]
+    words, codes, n = attention_lm._words_in(pa.record_batch([pa.array(texts, pa.string())], ["text"]))
+    words = words.to_pylist()
+    assert len(set(words)) == len(words) and words[-1] == "\n" and "" not in words
+    wanted = [attention_lm.words_of(t or "") for t in texts]
+    assert n.tolist() == [len(t) for t in wanted] and [words[c].encode() for c in codes] == [w for t in wanted for w in t]
+    sub = attention_lm.Subwords(path("byte_bpe_50k.tiktoken"))
+    ids, at = sub.pool(words[:-1])
+    assert len(at) == len(words) and at[-1] == len(ids)
+    for w, a, b in zip(words, at, at[1:], strict=False):
+        assert ids[a:b].tolist() == sub.encoding.encode_ordinary("".join(" " + w[i : i + 256] for i in range(0, len(w), 256)))
+
+
 def test_lm_base_scores(spark, odd):
     small = attention_lm.Settings(dim=8, classes=8, steps=20)
     args = (path("byte_bpe_50k.tiktoken"), small)

@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,8 +41,12 @@ HOT = 1 << 17
 CELLS, EMBEDDED = 4096, 256
 #: Windows a task holds and shuffles before it descends on them.
 HELD = 1 << 14
+#: Texts whose windows are made together.
+TEXTS = 64
 #: Windows worked out together, few enough that their arrays stay in the cache. Always as many, so that rounding does not depend on a text's neighbours.
 TOGETHER = 16
+#: Half windows that are scored at once.
+SCORED = 32
 
 
 @dataclass(frozen=True)
@@ -73,6 +78,15 @@ def _encoding(ranks_path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("subwords", pat_str=" [^ ]+", mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.lru_cache(maxsize=1)
+def _begins(ranks_path: str) -> np.ndarray:
+    """Which ids begin with a blank, so a word or a part of one."""
+    encoding = _encoding(ranks_path)
+    out = np.zeros(encoding.max_token_value + 2, bool)
+    out[[encoding.encode_single_token(t) for t in encoding.token_byte_values() if t[:1] == b" "]] = True
+    return out
+
+
 class Subwords:
     """Subword ids of a text's words."""
 
@@ -81,17 +95,42 @@ class Subwords:
         self.size = self.encoding.max_token_value + 2
         self.end = self.size - 1
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.begins = _begins(ranks_path)
+
+    def pool(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and where each word's begin and the last one's end."""
+        if not words:
+            return np.empty(0, self.dtype), np.zeros(1, np.int64)
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        parts = np.ones(len(words), np.int64)
+        if long:
+            words = list(words)
+            for i in long:
+                cut = [words[i][at : at + LONG] for at in range(0, len(words[i]), LONG)]
+                parts[i], words[i] = len(cut), " ".join(cut)
+        ids = self.encoding.encode_to_numpy(" " + " ".join(words), disallowed_special=()).astype(self.dtype)
+        first = np.append(np.flatnonzero(self.begins[ids]), len(ids))
+        return ids, first[np.concatenate([[0], parts.cumsum()])]
 
     def ids_of(self, words: list[bytes]) -> np.ndarray:
         """Of words that end with the end token."""
-        if len(words) == 1:
-            return np.array([self.end], self.dtype)
-        text = b" ".join(words[:-1]).decode("utf-8", "replace")
-        if len(max(words, key=len)) > LONG:
-            text = " ".join(w[at : at + LONG] for w in text.split(" ") for at in range(0, len(w), LONG))
-        ids = self.encoding.encode_ordinary(" " + text)
-        ids.append(self.end)
-        return np.array(ids, self.dtype)
+        return np.append(self.pool([w.decode("utf-8", "replace") for w in words[:-1]])[0], np.array(self.end, self.dtype))
+
+
+def _words_in(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """What words_of gives for all texts of a batch: the different words, the end token last; which of them stand in the texts, one text after the other; how many each text has."""
+    texts = pc.fill_null(batch.column("text"), "")
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    flat = parts.flatten().dictionary_encode()
+    words, codes = flat.dictionary, flat.indices.to_numpy().astype(np.int64)
+    ends = np.cumsum(pc.list_value_length(parts).to_numpy())
+    blank = pc.index(words, "").as_py()  # before, between or behind white space
+    kept = codes != blank
+    n = np.diff(np.concatenate([[0], kept.cumsum()])[ends], prepend=0)
+    if blank >= 0:
+        words, codes = pa.concat_arrays([words[:blank], words[blank + 1 :]]), codes[kept]
+        codes -= codes > blank
+    return pa.concat_arrays([words, pa.array([END.decode()], words.type)]), np.insert(codes, n.cumsum(), len(words)), n + 1
 
 
 def _ids_in(batch: pa.RecordBatch, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
@@ -136,6 +175,25 @@ def whole(ids: np.ndarray, lengths: np.ndarray, bos: int, pad: int) -> tuple[np.
     return inputs.reshape(-1, WIDE), targets.reshape(-1, WIDE), starts
 
 
+def blocks_of(inputs: np.ndarray, lengths: np.ndarray, pad: int, several: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each text's inputs in blocks of HALF of its own, behind one that is no text's; where each input is; which block begins a text that isn't empty, the first not counted. There are as many blocks beside the first as a multiple of several."""
+    blocks = -(-lengths // HALF)
+    first = blocks.cumsum() - blocks
+    total = -(-int(blocks.sum()) // several) * several
+    out = np.full((total + 1) * HALF, pad, inputs.dtype)
+    at = np.repeat((first + 1) * HALF - (lengths.cumsum() - lengths), lengths) + np.arange(len(inputs))
+    out[at] = inputs
+    return out, at, first[lengths > 0]
+
+
+def _before(ids: np.ndarray, lengths: np.ndarray, bos: int) -> np.ndarray:
+    """The id before each, or the start of a text."""
+    out = np.empty_like(ids)
+    out[1:] = ids[:-1]
+    out[(lengths.cumsum() - lengths)[lengths > 0]] = bos
+    return out
+
+
 CAUSAL = np.tril(np.ones((WIDE, WIDE), np.float32))
 
 
@@ -162,9 +220,7 @@ class AttentionLM:
 
     def paired(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Cells of a table of rows x columns: the id before, the start of a text included, and the id."""
-        before = np.concatenate([[self.bos], ids[:-1]])
-        before[(lengths.cumsum() - lengths)[lengths > 0]] = self.bos
-        return self.row[before] * self.columns + self.column[ids]
+        return self.row[_before(ids, lengths, self.bos)] * self.columns + self.column[ids]
 
     def count(self, pairs: np.ndarray) -> None:
         """Classes and the tables that follow from the counts of all pairs."""
@@ -222,68 +278,85 @@ class Gradients:
     """Of the summed loss over TOGETHER windows at a time, in arrays that are used again."""
 
     def __init__(self, lm: AttentionLM, dtype: type = np.float32):
-        self.lm, d, n, c = lm, lm.s.dim, TOGETHER, lm.s.classes
+        d, n, c = lm.s.dim, TOGETHER, lm.s.classes
         room = lambda *shape: np.empty(shape, dtype)
-        self.x, self.z, self.dz, self.kt = room(n, WIDE, d), room(n * WIDE, 4 * d), room(n * WIDE, 4 * d), room(n, d, WIDE)
-        self.a, self.da, self.dat, self.h, self.dh = room(n, WIDE, WIDE), room(n, WIDE, WIDE), room(n, WIDE, WIDE), room(n, WIDE, d), room(n * WIDE, d)
-        self.l, self.follow, self.at = room(n * WIDE, c), np.empty((n * WIDE, c), np.float32), np.arange(n * WIDE)
-        self.ones, self.wide, self.each = np.ones(c, dtype), np.ones(WIDE, dtype), np.ones(n * WIDE, dtype)
-
-    def add(self, rows: np.ndarray, targets: np.ndarray, starts: np.ndarray, dx: np.ndarray, out: dict[str, np.ndarray]) -> None:
-        """rows: TOGETHER x WIDE rows of the embedding; targets: columns, or -1. dx takes the gradient of each input."""
-        p, d, n = self.lm.params, self.lm.s.dim, TOGETHER
-        x, z, a, h, dl, dh, dz, da = self.x, self.z, self.a, self.h, self.l, self.dh, self.dz, self.da
-        np.take(p["e"], rows, axis=0, out=x, mode="clip")
-        x += p["p"]
-        x2 = x.reshape(-1, d)
-        np.matmul(x2, p["w"], out=z)
-        apart = lambda y, k: y.reshape(n, WIDE, 4 * d)[:, :, k * d : (k + 1) * d]
-        q, k, v = (apart(z, i) for i in range(3))
-        np.copyto(self.kt, k.transpose(0, 2, 1))
-        np.matmul(q, self.kt, out=a)
+        self.x, self.met, self.h, self.dh, self.scaled = (room(n, WIDE, d) for _ in range(5))
+        self.z, self.dz, self.turned = room(n, WIDE, 4 * d), room(n, WIDE, 4 * d), room(n, d, WIDE)
+        self.a, self.da, self.causal = room(n, WIDE, WIDE), room(n, WIDE, WIDE), np.tile(CAUSAL, (n, 1, 1)).astype(dtype)
+        self.l, self.follow, self.at = room(n * WIDE, c), room(n * WIDE, c), np.arange(n * WIDE) * c
+        self.ones, self.wide, self.each, self.row = np.ones(c, dtype), np.ones(WIDE, dtype), np.ones(d, dtype), np.ones(n * WIDE, dtype)
+
+    def add(self, rows: np.ndarray, labels: np.ndarray, ok: np.ndarray, starts: np.ndarray, at: Batch, dx: np.ndarray, out: dict[str, np.ndarray]) -> None:
+        """rows: of what the batch has of the embedding, for each place; labels: classes, of the targets where ok is 1. dx takes the gradient of each input."""
+        x, a, l, da, met = self.x, self.a, self.l, self.da, self.met
+        n, _, d = x.shape
+        shaped = rows.reshape(n, WIDE)
+        np.take(at.e, shaped, axis=0, out=x, mode="clip")
+        x += at.p
+        # in halves, that are small enough for the library's short way
+        x2, z, dz = (y.reshape(2, n // 2 * WIDE, -1) for y in (x, self.z, self.dz))
+        np.matmul(x2, at.w, out=z)
+        q, k, v, own = (self.z[:, :, i * d : (i + 1) * d] for i in range(4))
+        np.copyto(self.turned, k.transpose(0, 2, 1))
+        np.matmul(q, self.turned, out=a)
         np.clip(a, -20, 20, out=a)
         np.exp(a, out=a)
-        a *= CAUSAL
+        a *= self.causal
         a[starts, HALF:, :HALF] = 0  # the empty block; its own places have no targets
-        a /= (a @ self.wide)[:, :, None]
-        np.matmul(a, v, out=h)
-        h2 = h.reshape(-1, d)
-        h2 += z[:, 3 * d :]
-        h2 += p["b"]
-        np.tanh(h2, out=h2)
-        np.matmul(h2, p["o"], out=dl)
-        np.take(self.lm.follow, rows.ravel(), axis=0, out=self.follow, mode="clip")
-        dl += self.follow
-        dl += p["c"]
-        np.exp(dl, out=dl)
-        t = targets.ravel()
-        share = (t >= 0).astype(dl.dtype)
-        np.divide(share, dl @ self.ones, out=share)
-        dl *= share[:, None]
-        hit = self.at[t >= 0]
-        dl[hit, self.lm.label[t[hit]]] -= 1
-        out["o"] += h2.T @ dl
-        out["c"] += self.each @ dl
-        np.matmul(dl, p["o"].T, out=dh)
-        h2 *= h2
-        np.subtract(1, h2, out=h2)
-        dh *= h2
-        out["b"] += self.each @ dh
-        dh3 = dh.reshape(n, WIDE, d)
-        np.copyto(self.kt, v.transpose(0, 2, 1))
-        np.matmul(dh3, self.kt, out=da)
-        np.copyto(self.dat, a.transpose(0, 2, 1))
-        np.matmul(self.dat, dh3, out=apart(dz, 2))
+        whole = (1 / (a @ self.wide))[:, :, None]
+        np.matmul(a, v, out=met)
+        met *= whole
+        np.add(met, own, out=self.h)
+        self.h += at.b
+        h = self.h.reshape(-1, d)
+        np.tanh(h, out=h)
+        np.matmul(h, at.o, out=l)
+        np.take(at.follow, rows, axis=0, out=self.follow, mode="clip")
+        l += self.follow
+        np.exp(l, out=l)
+        total = l @ self.ones
+        l.reshape(-1)[self.at + labels] -= total
+        share = ok / total
+        l *= share[:, None]
+        out["o"] += h.T @ l
+        out["c"] += self.row @ l
+        dh = self.dh.reshape(-1, d)
+        np.matmul(l, at.turned, out=dh)
+        h *= h
+        np.subtract(1, h, out=h)
+        dh *= h
+        # a, divided by its sums, has weights; what they sum to times dh is taken off
+        np.multiply(self.dh, whole, out=self.scaled)
+        met *= self.scaled
+        off = met @ self.each
+        np.copyto(self.turned, v.transpose(0, 2, 1))
+        np.matmul(self.scaled, self.turned, out=da)
+        da -= off[:, :, None]
         da *= a
-        a *= (da @ self.wide)[:, :, None]
-        da -= a
-        np.matmul(da, k, out=apart(dz, 0))
-        np.copyto(self.dat, da.transpose(0, 2, 1))
-        np.matmul(self.dat, q, out=apart(dz, 1))
-        dz[:, 3 * d :] = dh
-        np.matmul(dz, p["w"].T, out=dx)
+        dq, dk, dv = (self.dz[:, :, i * d : (i + 1) * d] for i in range(3))
+        np.matmul(da, k, out=dq)
+        np.matmul(da.transpose(0, 2, 1), q, out=dk)
+        np.matmul(a.transpose(0, 2, 1), self.scaled, out=dv)
+        self.dz[:, :, 3 * d :] = self.dh
+        np.matmul(dz, at.back, out=dx.reshape(2, -1, d))
+        out["w"] += x2[0].T @ dz[0]
+        out["w"] += x2[1].T @ dz[1]
+        out["b"] += self.row @ self.dh.reshape(-1, d)
         out["p"] += dx.reshape(n, WIDE, d).sum(0)
-        out["w"] += x2.T @ dz
+
+
+@dataclass
+class Batch:
+    """What a batch needs of the weights."""
+
+    e: np.ndarray  # rows of the embedding, and below of what follows them, that it has
+    follow: np.ndarray
+    p: np.ndarray
+    w: np.ndarray
+    back: np.ndarray  # w's transpose
+    b: np.ndarray
+    o: np.ndarray
+    turned: np.ndarray  # o's transpose
 
 
 class Descent:
@@ -292,33 +365,59 @@ class Descent:
     def __init__(self, lm: AttentionLM, seed: int = 0):
         self.lm, self.rng, self.t, self.done = lm, np.random.default_rng((lm.s.seed, seed)), 0, 0
         kind = lm.params["e"].dtype
-        self.m, self.v = ({k: np.zeros_like(x) for k, x in lm.params.items()} for _ in range(2))
-        self.work, self.dx = Gradients(lm, kind), np.empty((lm.s.batch * WIDE, lm.s.dim), kind)
+        self.names = [k for k in lm.params if k != "e"]
+        # all weights but the embedding lie in one array, so that they move at once
+        self.flat = np.concatenate([lm.params[k].ravel() for k in self.names])
+        lm.params = {"e": lm.params["e"]} | self._views(self.flat)
+        self.m, self.v = ({"e": np.zeros_like(lm.params["e"]), "": np.zeros_like(self.flat)} for _ in range(2))
+        self.work, self.dx = Gradients(lm, kind), np.empty((-(-lm.s.batch // TOGETHER) * TOGETHER * WIDE, lm.s.dim), kind)
         self.met = np.zeros(lm.rows)  # how often each row of the embedding was met
 
+    def _views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for k in self.names:
+            x = self.lm.params[k]
+            out[k] = flat[at : at + x.size].reshape(x.shape)
+            at += x.size
+        return out
+
     def gradients(self, rows: np.ndarray, targets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
         """Of the mean loss over a batch of windows or less; that of the embedding for the rows in them, which come first."""
-        g = {k: np.zeros_like(x) for k, x in self.lm.params.items() if k != "e"}
+        met, e, flat = self._gradients(rows, targets, starts)
+        return met, {"e": e} | self._views(flat)
+
+    def _gradients(self, rows: np.ndarray, targets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p, d = self.lm.params, self.lm.s.dim
+        flat = np.zeros_like(self.flat)
+        g = self._views(flat)
         n = len(rows)
         if n % TOGETHER:
             more = TOGETHER - n % TOGETHER
             rows, targets, starts = np.pad(rows, ((0, more), (0, 0)), constant_values=self.lm.rows - 1), np.pad(targets, ((0, more), (0, 0)), constant_values=-1), np.pad(starts, (0, more))
-        for at in range(0, len(rows), TOGETHER):
-            part = slice(at, at + TOGETHER)
-            self.work.add(rows[part], targets[part], starts[part], self.dx[at * WIDE : (at + TOGETHER) * WIDE], g)
-        flat = rows.ravel()
-        order = flat.astype(np.int32 if self.lm.rows > 1 << 15 else np.int16).argsort(kind="stable")
-        ranked = flat[order]
-        first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        g["e"] = np.add.reduceat(self.dx[: len(flat)][order], first)
-        total = max(1, int((targets >= 0).sum()))
-        for x in g.values():
-            x /= total
-        return ranked[first], g
+        each = rows.ravel()
+        here = np.zeros(self.lm.rows, bool)
+        here[each] = True
+        met = np.flatnonzero(here)
+        place = (here.cumsum() - 1).take(each)
+        t = targets.ravel()
+        ok = (t >= 0).astype(flat.dtype)
+        labels = self.lm.label.take(np.maximum(t, 0))
+        at = Batch(p["e"].take(met, 0), self.lm.follow.take(met, 0) + p["c"], p["p"], p["w"], np.ascontiguousarray(p["w"].T), p["b"], p["o"], np.ascontiguousarray(p["o"].T))
+        dx = self.dx[: len(each)]
+        for low in range(0, len(rows), TOGETHER):
+            part = slice(low * WIDE, (low + TOGETHER) * WIDE)
+            self.work.add(place[part], labels[part], ok[part], starts[low : low + TOGETHER], at, dx[part], g)
+        total = max(1, int(ok.sum()))
+        flat /= total
+        of_e = np.empty((len(met), d), flat.dtype)
+        for i, x in enumerate(dx.T.astype(np.float64)):
+            of_e[:, i] = np.bincount(place, weights=x, minlength=len(met))
+        of_e /= total
+        return met, of_e, flat
 
     def run(self, inputs: np.ndarray, targets: np.ndarray, starts: np.ndarray, passes: int, progress: Callable[[int], float]) -> None:
         """Each window once in each pass; progress tells from the windows done how far the whole descent is."""
-        s, p, m, v = self.lm.s, self.lm.params, self.m, self.v
+        s, e, m, v = self.lm.s, self.lm.params["e"], self.m, self.v
         rows, columns = self.lm.row[inputs], np.where(targets >= 0, self.lm.column[targets], -1)
         self.met += np.bincount(rows.ravel(), minlength=len(self.met))
         for _ in range(passes):
@@ -328,134 +427,161 @@ class Descent:
                 self.t += 1
                 rate = (s.rate * (1 - min(1.0, progress(self.done))) + 1e-4) * min(1, len(part) / s.batch)
                 self.done += len(part)
-                met, gradients = self.gradients(rows[part], columns[part], starts[part])
-                for k, g in gradients.items():
-                    # rows of the embedding move when they are met
-                    at_k = met if k == "e" else slice(None)
-                    mk, vk = m[k][at_k], v[k][at_k]
-                    mk *= 0.9
-                    mk += 0.1 * g
-                    vk *= 0.99
-                    g *= g
-                    g *= 0.01
-                    vk += g
-                    m[k][at_k], v[k][at_k] = mk, vk
-                    step = np.sqrt(vk)
-                    step *= (1 - 0.99**self.t) ** -0.5
-                    step += 1e-8
-                    np.divide(mk, step, out=step)
-                    step *= rate / (1 - 0.9**self.t)
-                    p[k][at_k] -= step
+                met, of_e, rest = self._gradients(rows[part], columns[part], starts[part])
+                self.flat -= self._step(m[""], v[""], rest, rate)
+                # rows of the embedding move when they are met
+                mk, vk = m["e"].take(met, 0), v["e"].take(met, 0)
+                moved = e.take(met, 0)
+                moved -= self._step(mk, vk, of_e, rate)
+                m["e"][met], v["e"][met], e[met] = mk, vk, moved
+
+    def _step(self, m: np.ndarray, v: np.ndarray, g: np.ndarray, rate: float) -> np.ndarray:
+        """How far the weights go, with the means m and v moved by their gradient, which is used up."""
+        m *= 0.9
+        v *= 0.99
+        step = g * 0.1
+        m += step
+        g *= g
+        g *= 0.01
+        v += g
+        np.sqrt(v, out=step)
+        step *= (1 - 0.99**self.t) ** -0.5
+        step += 1e-8
+        np.divide(m, step, out=step)
+        step *= rate / (1 - 0.9**self.t)
+        return step
 
 
 class Scorer:
     """Log10 probabilities with all products of the embeddings worked out beforehand."""
 
     def __init__(self, lm: AttentionLM):
-        p, d, n = lm.params, lm.s.dim, TOGETHER
+        p, d = lm.params, lm.s.dim
         self.row, self.bos, self.pad, self.last = lm.row, lm.bos, lm.pad, lm.rows - 1
         q, k, v, s = (p["w"][:, i * d : (i + 1) * d] for i in range(4))
         e, pos = p["e"], p["p"]
         self.tables = [np.ascontiguousarray(z, np.float32) for z in (e @ k, e @ v, e @ q, e @ s)]
-        self.places = [np.ascontiguousarray(z, np.float32) for z in (pos @ k, pos @ v, pos[HALF:] @ q, pos[HALF:] @ s + p["b"])]
-        self.o, self.c = p["o"], p["c"]
-        self.follow, self.within, self.own, self.label, self.column = lm.follow, lm.within.ravel(), lm.own, lm.label, lm.column
-        self.columns = lm.columns
-        self.d, self.n = d, n
+        self.places = [np.ascontiguousarray(z, np.float32) for z in ((pos @ k).T, pos @ v, pos[HALF:] @ q, pos[HALF:] @ s + p["b"])]
+        self.o, self.follow = p["o"].astype(np.float32), (lm.follow + p["c"]).astype(np.float32)
+        self.within, self.own, self.label, self.column = lm.within.ravel(), lm.own, lm.label, lm.column
+        self.columns, self.d = lm.columns, d
 
     def score(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Of each text the sum over its ids."""
-        d, n, c = self.d, self.n, self.follow.shape[1]
-        inputs, targets, text, first = windows(ids, lengths, self.bos, self.pad)
-        total = len(text)
-        rows = np.full((-(-total // n) * n, WIDE), self.last)
-        np.take(self.row, inputs, out=rows[:total], mode="clip")
-        starts = np.zeros(len(rows), bool)
-        starts[first[lengths > 0]] = True
-        t = targets.ravel()
-        ok = np.flatnonzero(t >= 0)
-        column, before = self.column[t[ok]], rows[:total, HALF:].ravel()[ok]
-        log_p = self.within.take(before * self.columns + column) + self.own[t[ok]]
-        label = np.zeros(len(rows) * HALF, np.int64)
-        label[ok] = self.label[column]
-        of_class = np.empty(len(rows) * HALF, np.float32)
+        d, n, c = self.d, SCORED, self.follow.shape[1]
+        inputs, at, first = blocks_of(self.row[_before(ids, lengths, self.bos)], lengths, self.last, n)
+        column = self.column[ids]
+        # places of the blocks' targets; the block before the first is no text's
+        at -= HALF
+        label = np.zeros(len(inputs) - HALF, np.int64)
+        label[at] = self.label[column]
+        of_class = np.empty(len(label), np.float32)
+        starts = np.zeros(len(label) // HALF, bool)
+        starts[first] = True
         room = lambda *shape: np.empty(shape, np.float32)
-        k, v, q, h, kt, a = room(n, WIDE, d), room(n, WIDE, d), room(n, HALF, d), room(n, HALF, d), room(n, d, WIDE), room(n, HALF, WIDE)
-        logits, follow, ones, wide, places = room(n * HALF, c), room(n * HALF, c), np.ones(c, np.float32), np.ones(WIDE, np.float32), np.arange(n * HALF)
-        causal = CAUSAL[HALF:]
-        for at in range(0, len(rows), n):
-            r = rows[at : at + n]
-            now = r[:, HALF:]
-            for z, table, place, which in zip((k, v, q), self.tables, self.places, (r, r, now), strict=False):
+        k, v, kt = room((n + 1) * HALF, d), room((n + 1) * HALF, d), room(d, (n + 1) * HALF)
+        q, own, h, a, of_place, met = room(n, HALF, d), room(n, HALF, d), room(n, HALF, d), room(n, HALF, WIDE), room(n * HALF, WIDE), room(n * HALF, d)
+        logits, follow, ones, wide, cells = room(n * HALF, c), room(n * HALF, c), np.ones(c, np.float32), np.ones(WIDE, np.float32), np.arange(n * HALF) * c
+        # each block's keys and values, seen with those of the one before it
+        keys = np.lib.stride_tricks.as_strided(kt, (n, d, WIDE), (HALF * kt.itemsize, *kt.strides))
+        values = np.lib.stride_tricks.as_strided(v, (n, WIDE, d), (HALF * v.strides[0], *v.strides))
+        causal = np.tile(CAUSAL[HALF:], (n, 1, 1))
+        for low in range(0, len(label), n * HALF):
+            r = inputs[low : low + (n + 1) * HALF]
+            now = r[HALF:].reshape(n, HALF)
+            for z, table, which in zip((k, v, q, own), self.tables, (r, r, now, now), strict=True):
                 np.take(table, which, axis=0, out=z, mode="clip")
-                z += place
-            np.copyto(kt, k.transpose(0, 2, 1))
-            np.matmul(q, kt, out=a)
+            np.copyto(kt, k.T)
+            q += self.places[2]
+            np.matmul(q, keys, out=a)
+            np.matmul(q.reshape(-1, d), self.places[0], out=of_place)
+            a += of_place.reshape(a.shape)
             np.clip(a, -20, 20, out=a)
             np.exp(a, out=a)
             a *= causal
-            a[starts[at : at + n], :, :HALF] = 0
-            np.matmul(a, v, out=h)
+            a[starts[low // HALF : low // HALF + n], :, :HALF] = 0
+            np.matmul(a, values, out=h)
+            np.matmul(a.reshape(-1, WIDE), self.places[1], out=met)
+            h += met.reshape(h.shape)
             h /= (a @ wide)[:, :, None]
-            np.take(self.tables[3], now, axis=0, out=q, mode="clip")
-            h += q
+            h += own
             h += self.places[3]
             np.tanh(h, out=h)
             np.matmul(h.reshape(-1, d), self.o, out=logits)
-            np.take(self.follow, now.ravel(), axis=0, out=follow, mode="clip")
+            np.take(self.follow, r[HALF:], axis=0, out=follow, mode="clip")
             logits += follow
-            logits += self.c
-            got = logits[places, label[at * HALF : (at + n) * HALF]]
+            got = logits.reshape(-1).take(cells + label[low : low + n * HALF])
             np.exp(logits, out=logits)
             got -= np.log(logits @ ones)
-            of_class[at * HALF : (at + n) * HALF] = got
-        log_p = log_p.astype(np.float64) + of_class[ok]
-        return np.bincount(np.repeat(text, HALF)[ok], weights=log_p, minlength=len(lengths)) / np.log(10)
+            of_class[low : low + n * HALF] = got
+        log_p = self.within.take(inputs[at + HALF] * self.columns + column).astype(np.float64)
+        log_p += self.own[ids]
+        log_p += of_class[at]
+        return np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=log_p, minlength=len(lengths)) / np.log(10)
 
 
 def _word_counts(train: DataFrame) -> DataFrame:
     def count(batches):
-        held: dict[bytes, int] = {}
-
-        def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-            held.clear()
-            return out
-
+        held, rows = [], 0
         for b in batches:
-            for t in common.texts_of(b):
-                for w in words_of(t):
-                    held[w] = held.get(w, 0) + 1
-                if len(held) > 200_000:
-                    yield flush()
-        yield flush()
+            words, codes, _ = _words_in(b)
+            n = np.bincount(codes, minlength=len(words))
+            some = np.flatnonzero(n)
+            held.append(pa.table({"word": words.take(pa.array(some)).cast(pa.binary()), "n": n[some]}))
+            rows += len(some)
+            if rows > 400_000:
+                held = [pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["word", "n"]).combine_chunks()]
+                rows = held[0].num_rows
+                if rows > 200_000:
+                    yield from held[0].to_batches()
+                    held, rows = [], 0
+        for t in held:
+            yield from t.to_batches()
 
     return train.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
-def _encoded(rows: DataFrame, hot: dict[bytes, int], ranks_path: str) -> DataFrame:
-    """Of each row the subword ids, how many words it has, how many of them are hot, the sum of their logarithms, and the other words."""
-    shared = rows.sparkSession.sparkContext.broadcast(hot)
+def _encoded(rows: DataFrame, hot: dict[str, int], ranks_path: str) -> DataFrame:
+    """Of each row the subword ids, how many words it has, how many of them are hot, the sum of their logarithms, and the other words with their counts."""
+    logs = np.log10(np.array(list(hot.values()), np.float64) + 1)
+    shared = rows.sparkSession.sparkContext.broadcast((pa.array(list(hot), pa.string()), logs, *Subwords(ranks_path).pool(list(hot))))
 
     def make():
-        sub, logs = Subwords(ranks_path), {w: float(np.log10(c + 1.0)) for w, c in shared.value.items()}
+        sub = Subwords(ranks_path)
+        hot_words, hot_logs, hot_pool, hot_starts = shared.value
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [words_of(t) for t in common.texts_of(b)]
-            n = np.array([len(t) for t in texts])
+            words, codes, n = _words_in(b)
             starts = n.cumsum() - n
-            flat = [w for t in texts for w in t]
-            of_word = np.array([logs.get(w, 0.0) for w in flat])
-            is_hot = of_word > 0
-            cold = pa.array([flat[i] for i in np.flatnonzero(~is_hot)], pa.binary())
-            offsets = np.concatenate([[0], np.add.reduceat(~is_hot, starts, dtype=np.int64).cumsum()]).astype(np.int32)
-            ids = [sub.ids_of(t) for t in texts]
-            columns = [pa.array(n), pa.array(np.add.reduceat(is_hot, starts, dtype=np.int64)), pa.array(np.add.reduceat(of_word, starts)), pa.ListArray.from_arrays(pa.array(offsets), cold), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
+            end = len(words) - 1
+            which = pc.fill_null(pc.index_in(words, hot_words), -1).to_numpy()
+            is_cold = which < 0
+            # the end token, cold or hot, has one id
+            apart = np.flatnonzero(is_cold[:-1])
+            cold_pool, cold_starts = sub.pool(words.take(pa.array(apart)).to_pylist())
+            pool = np.concatenate([hot_pool, cold_pool, np.array([sub.end], sub.dtype)])
+            begin, size = np.empty(end + 1, np.int64), np.empty(end + 1, np.int64)
+            warm = np.flatnonzero(~is_cold[:-1])
+            begin[warm], size[warm] = hot_starts[which[warm]], np.diff(hot_starts)[which[warm]]
+            begin[apart], size[apart] = len(hot_pool) + cold_starts[:-1], np.diff(cold_starts)
+            begin[end], size[end] = len(pool) - 1, 1
+            sizes = size[codes]
+            ends = sizes.cumsum()
+            ids = pool[np.repeat(begin[codes] - (ends - sizes), sizes) + np.arange(ends[-1])]
+            n_ids = np.add.reduceat(sizes, starts)
+            logs = np.where(is_cold, 0.0, hot_logs[which] if len(hot_logs) else 0.0)
+            cold_at = is_cold[codes]
+            pairs, times = np.unique(np.repeat(np.arange(len(n)), n)[cold_at] * (end + 1) + codes[cold_at], return_counts=True)
+            cold = pa.StructArray.from_arrays([words.take(pa.array(pairs % (end + 1))).cast(pa.binary()), pa.array(times, pa.int64())], ["word", "n"])
+            offsets = np.searchsorted(pairs // (end + 1), np.arange(len(n) + 1)).astype(np.int32)
+            bytes_at = np.concatenate([[0], n_ids.cumsum()]).astype(np.int32) * np.int32(sub.dtype.itemsize)
+            blobs = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bytes_at), pa.py_buffer(ids)])
+            columns = [pa.array(n), pa.array(np.add.reduceat((~is_cold)[codes], starts, dtype=np.int64)), pa.array(np.add.reduceat(logs[codes], starts)), pa.ListArray.from_arrays(pa.array(offsets), cold), pa.array(n_ids), blobs]
             return pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "row", "on")), *columns], ["doc_id", "row", "on", "n_tokens", "hot", "hot_log", "cold", "n_ids", "ids"])
 
         return run
 
-    return common.map_batches(rows, make, "doc_id long, row long, on boolean, n_tokens long, hot long, hot_log double, cold array<binary>, n_ids long, ids binary")
+    return common.map_batches(rows, make, "doc_id long, row long, on boolean, n_tokens long, hot long, hot_log double, cold array<struct<word: binary, n: long>>, n_ids long, ids binary")
 
 
 def _subword_counts(train: DataFrame, size: int, dtype: np.dtype) -> np.ndarray:
@@ -521,7 +647,7 @@ def _round(texts: DataFrame, lm: AttentionLM, k: int, passes: int, each: int, dt
     def descend(batches):
         lm = shared.value
         start = lm.params
-        group, descent, held, seen = None, None, [], 0
+        group, descent, held, seen, waiting = None, None, [], 0, 0
 
         def run():
             descent.run(*(np.concatenate(z) for z in zip(*held, strict=True)), passes, lambda done: (k + min(1.0, done / each)) / lm.s.rounds)
@@ -542,17 +668,23 @@ def _round(texts: DataFrame, lm: AttentionLM, k: int, passes: int, each: int, dt
                 if of[part[0]] != group:
                     if group is not None:
                         yield finished()
-                    group, seen = int(of[part[0]]), 0
+                    group, seen, waiting = int(of[part[0]]), 0, 0
                     lm.params = {x: v.copy() for x, v in start.items()}
                     descent = Descent(lm, group * lm.s.rounds + k)
-                # a window at a time or more: what is held when the descent goes on depends on the texts alone
-                for at in part:
-                    x, y, starts = whole(*_ids_in(b.slice(at, 1), dtype), lm.bos, lm.pad)
-                    for i in range(0, len(x), HELD):
-                        held.append((x[i : i + HELD], y[i : i + HELD], starts[i : i + HELD]))
-                        seen += len(held[-1][0])
-                        if sum(len(h[0]) for h in held) >= HELD:
-                            run()
+                for low in range(part[0], part[-1] + 1, TEXTS):
+                    ids, n = _ids_in(b.slice(low, min(TEXTS, part[-1] + 1 - low)), dtype)
+                    x, y, starts = whole(ids, n, lm.bos, lm.pad)
+                    ends = (-(-n // HALF) // 2 + 1).cumsum().tolist()
+                    # a text's windows at a time, or HELD: what is held when the descent goes on depends on the texts alone
+                    for first, end in zip([0, *ends[:-1]], ends, strict=True):
+                        for i in range(first, end, HELD):
+                            j = min(i + HELD, end)
+                            held.append((x[i:j], y[i:j], starts[i:j]))
+                            seen += j - i
+                            waiting += j - i
+                            if waiting >= HELD:
+                                run()
+                                waiting = 0
         if group is not None:
             yield finished()
 
@@ -613,7 +745,7 @@ def score_documents(docs: DataFrame, trained, ranks_path: str, settings: Setting
     rows = common.spread(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), F.coalesce(trained, F.lit(False)).alias("on")))
     counts = scratch.write(_word_counts(rows.where("on")), "counts", "zstd")
     totals = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    hot = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(HOT).toLocalIterator()}
+    hot = {bytes(r["word"]).decode(): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(HOT).toLocalIterator()}
     encoded = scratch.write(_encoded(rows.withColumn("row", F.monotonically_increasing_id()), hot, ranks_path), "encoded", "zstd")
     sub = Subwords(ranks_path)
     train = encoded.where("on")
@@ -621,7 +753,7 @@ def score_documents(docs: DataFrame, trained, ranks_path: str, settings: Setting
     lm.count(_pair_counts(train, lm, sub.dtype))
     lm.start()
     _fit(train, lm, sub.dtype)
-    cold = encoded.select("row", F.explode("cold").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
+    cold = encoded.select("row", F.inline("cold"))  # a word once for each row
     found = cold.join(counts, "word").groupBy("row").agg(F.sum("n").alias("cold_known"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("cold_log"))
     all_rows = _score(encoded, lm, sub.dtype).join(found, "row", "left")
     log_total = float(np.log10(totals["n"] + totals["v"] + 1))
